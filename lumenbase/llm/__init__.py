@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["quality", "token_file", "packing"]
+_MODULES = ["quality", "token_file", "simhash", "packing", "line_dedup"]
 
 
 def queries() -> dict:
