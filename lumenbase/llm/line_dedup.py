@@ -3,8 +3,8 @@
 Pass one builds two Bloom filters over the hashes of line keys, one of those seen and one of those seen by a second
 document. Each task builds them for its own documents and writes only the segments in which it set bits, compressed;
 a merge by segment adds what two tasks have in common to the second filter (``t1 | t2 | (o1 & o2)``), so no repeated
-key is ever missed. The second filter has ``BITS`` bits whatever the input, which bounds the broadcast; a fuller
-filter only suspects more lines. Pass two shuffles the 128-bit hashes of suspected lines alone, with the doc_ids that
+key is ever missed. The second filter has a fixed number of bits whatever the input, which bounds the
+broadcast; a fuller filter only suspects more lines. Pass two shuffles the 128-bit hashes of suspected lines alone, with the doc_ids that
 a task found them in already gathered, counts documents exactly, and picks the document that keeps the line. Pass
 three joins each document with the hashes it must lose.
 
@@ -16,18 +16,15 @@ of the input give way to the result's.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import SCHEMA, Filter, collected, filter_rows
 from .common import BLANKS, documents, steps, written
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
-#: Bits of a filter, bits of a segment, and bits that a hash sets.
-BITS, SEGMENT, PROBES = 1 << 27, 1 << 16, 2
 
 
 def _key(line: str) -> bytes | None:
@@ -39,40 +36,6 @@ def _keys(text: str | None) -> set[bytes]:
     return {k for line in text.split("\n") if (k := _key(line))} if text and len(text) >= LEAST_CHARS else set()
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Bit numbers of each hash, all in one segment: shape (n, PROBES)."""
-    segment = (hashes >> np.uint64(32)) % np.uint64(BITS // SEGMENT)
-    inside = [(hashes >> np.uint64(16 * i)) & np.uint64(SEGMENT - 1) for i in range(PROBES)]
-    return np.stack([segment * np.uint64(SEGMENT) + x for x in inside], axis=1).astype(np.int64)
-
-
-def _segments(once: np.ndarray, twice: np.ndarray):
-    """(segment, packed once bits, packed twice bits) for each segment with a bit."""
-    once, twice = np.unique(_bits(once)), np.unique(_bits(twice))
-    for s in np.unique(once // SEGMENT):
-        packed = []
-        for bits in (once, twice):
-            a, b = np.searchsorted(bits, [s * SEGMENT, (s + 1) * SEGMENT])
-            flags = np.zeros(SEGMENT, np.uint8)
-            flags[bits[a:b] - s * SEGMENT] = 1
-            packed.append(zlib.compress(np.packbits(flags).tobytes(), 1))
-        yield int(s), *packed
-
-
-def _batches(rows, names, types, size=512):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-
-
-_FILTER = (["segment", "once", "twice"], [pa.int32(), pa.binary(), pa.binary()])
-
-
 def seen_twice(docs: DataFrame) -> dict[int, bytes]:
     """Segments of the filter of keys that at least two documents hold; at most BITS bits reach the driver."""
 
@@ -83,23 +46,9 @@ def seen_twice(docs: DataFrame) -> dict[int, bytes]:
         for batch in steps(batches, "text"):
             found.append(np.array([digest(k) for t in batch.column(0).to_pylist() for k in _keys(t)], np.uint64))
         hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        yield from _batches(_segments(hashes, hashes[counts > 1]), *_FILTER)
-
-    def merge(batches):
-        merged: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for s, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                once, twice = (np.frombuffer(zlib.decompress(p), np.uint8) for p in packed)
-                if s in merged:
-                    o, t = merged[s]
-                    merged[s] = [o | once, t | twice | (o & once)]
-                else:
-                    merged[s] = [once, twice]
-        yield from _batches(((s, b"", zlib.compress(t.tobytes(), 1)) for s, (_, t) in merged.items() if t.any()), *_FILTER)
+        yield from filter_rows(hashes, hashes[counts > 1])
 
-    schema = "segment int, once binary, twice binary"
-    built = docs.select("text").mapInArrow(build, schema)
-    return {r["segment"]: r["twice"] for r in built.repartition("segment").mapInArrow(merge, schema).collect()}
+    return collected(docs.select("text").mapInArrow(build, SCHEMA), "twice")
 
 
 def suspects(docs: DataFrame, segments: dict[int, bytes]) -> DataFrame:
@@ -109,9 +58,7 @@ def suspects(docs: DataFrame, segments: dict[int, bytes]) -> DataFrame:
     def find(batches):
         import xxhash
 
-        whole = np.zeros(BITS // 8, np.uint8)
-        for s, packed in shared.value.items():
-            whole[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        known = Filter(shared.value)
         digest, exact = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
         for batch in steps(batches, "text"):
             keys, owners = [], []
@@ -121,8 +68,7 @@ def suspects(docs: DataFrame, segments: dict[int, bytes]) -> DataFrame:
                 owners += [doc_id] * len(own)
             if not keys:
                 continue
-            bits = _bits(np.array([digest(k) for k in keys], np.uint64))
-            hit = (whole[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1).all(axis=1)
+            hit = known.holds(np.array([digest(k) for k in keys], np.uint64))
             groups: dict[bytes, list] = {}
             for i in np.flatnonzero(hit).tolist():
                 groups.setdefault(exact(keys[i]), []).append(owners[i])
