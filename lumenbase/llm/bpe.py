@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, ragged
-from .tokens import Coder, binaries, encoded, split_spaces
+from .tokens import Coder, binaries, encoded, spaced, split_spaces
 
 #: White space as Unicode has it; the pattern that byte-level vocabularies of this kind cut pieces with.
 _SPACES = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -155,8 +155,8 @@ def _vocabulary(path: str) -> tuple[Merges, Coder]:
 
         merges, cut = Merges(path), regex.compile(_PIECES)
 
-        def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            parts = [cut.findall(c) for c in chunks]
+        def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
+            parts = [cut.findall(c) for c in spaced(chunks)]
             distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
             ids, counts = merges.encode([p.encode() for p in distinct])
             number = np.array([distinct[p] for ps in parts for p in ps], np.int64)

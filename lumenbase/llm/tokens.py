@@ -107,10 +107,18 @@ class Coder:
 _SPACE = re.compile(r" (?=\S)")
 
 
-def split_spaces(text: str) -> list[str]:
-    """Chunks of a byte-level vocabulary: each but the first begins with the space that it is split at."""
-    first, *rest = _SPACE.split(text)
-    return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
+def split_spaces(text: str) -> list:
+    """Chunks of a byte-level vocabulary, each without the space that it begins with; the first, which has none, in a tuple."""
+    parts = _SPACE.split(text)
+    if parts[0]:
+        parts[0] = (parts[0],)
+        return parts
+    return parts[1:]
+
+
+def spaced(chunks: list) -> list[str]:
+    """The texts of such chunks."""
+    return [c[0] if type(c) is tuple else " " + c for c in chunks]
 
 
 def split_words(text: str) -> list[bytes]:
@@ -118,6 +126,13 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+#: A word of Latin-1 letters, alone or with a space before and a mark after: pieces that need no normalization.
+_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: How byte-level vocabularies write the two UTF-8 bytes of U+00C0 to U+00FF: bytes from 0xA1 stand for themselves
+#: (but 0xAD), those from 0x80 to 0xA0 for U+0122 on.
+_BYTE_CHARS = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else "\u0143" if b == 0xAD else chr(0x122 + b - 0x80) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 def library_coder(path: str) -> Coder:
     """A coder on the tokenizers library; ids as ``encode(text, add_special_tokens=False)`` gives."""
     import json
@@ -132,10 +147,25 @@ def library_coder(path: str) -> Coder:
     tokenizer.no_padding()
     drops_space = bool(spec.get("normalizer"))
 
+    tokenize = tokenizer.model.tokenize
+    marks = {m: [t.id for t in tokenize(m)] for m in ".,;:!?"}
+
     def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode_batch_fast([c.decode() for c in chunks] if drops_space else chunks, add_special_tokens=False)
-        counts = np.fromiter((len(e) for e in found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, int(counts.sum())), counts
+        texts = [c.decode() for c in chunks] if drops_space else spaced(chunks)
+        found: list = [None] * len(texts)
+        for i, text in enumerate(texts):
+            if plain := _PLAIN.fullmatch(text):  # one word is one piece: straight to the merges
+                space, word, mark = plain.groups()
+                word = word.lower() if drops_space else word
+                word = word if word.isascii() else word.translate(_BYTE_CHARS)
+                found[i] = [t.id for t in tokenize("\u0120" + word if space else word)]
+                if mark:
+                    found[i] += marks[mark]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, encoding in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            found[i] = encoding.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     special = {} if drops_space else {t["content"]: t["id"] for t in spec["added_tokens"]}
     return Coder(encode_chunks, split_words if drops_space else split_spaces, special)
