@@ -1,11 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-A word's input is a hashed word embedding plus the mean of its hashed character trigram embeddings. Windows of
+A word's input is a hashed word embedding plus the scaled sum of its hashed character n-gram embeddings (3 to 5, with ends). Windows of
 ``WINDOW`` words that overlap by half cover the whole text; in each, two gated recurrent units read the words forward
-and backward, attention pools their states, and a linear layer gives a logit. A text's score is the sigmoid of its
-highest window. Training, in numpy on the driver, sees at most ``TOXIC + CLEAN`` labelled documents (those with the
-smallest hashes), at most ``PER_DOC`` evenly spaced windows of each; a document's logit is then the log-sum-exp of its
-windows, so the toxic ones need no marking. Scoring runs in Arrow batches over all windows of all documents.
+and backward, attention pools their states, and a linear layer gives a logit. A text's logit is the mean of its
+``TOP`` highest windows (of all, if fewer), so that one chance likeness does not condemn a long text. Training, in numpy on the driver, sees at most ``TOXIC + CLEAN`` labelled documents (those with the
+smallest hashes), at most ``PER_DOC`` evenly spaced windows of each; the document's
+label trains the windows that make its logit, so toxic ones need no marking. Scoring runs in Arrow batches over all windows of all documents.
 
 Defined results: null or empty text scores as no evidence (the output bias); repeated rows score alike; with no
 labelled document to learn from, or labels of one kind only, every score is that kind's share (0 without labels); an
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import documents, ragged, steps
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.7
-TOXIC, CLEAN, PER_DOC, EPOCHS, BATCH, RATE = 700, 900, 12, 6, 48, 0.015
-WORD_SLOTS, CHAR_SLOTS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 13, 16, 8, 8
+TOP, TOXIC, CLEAN, PER_DOC, EPOCHS, BATCH, RATE, DECAY = 4, 700, 900, 8, 4, 48, 0.02, 0.05
+WORD_SLOTS, CHAR_SLOTS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 15, 16, 8, 8
 #: Words that a worker remembers the inputs of.
 MOST_WORDS = 200_000
 
@@ -43,7 +43,7 @@ def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word slot of each, character slots of all, and how many each word has."""
     crc = zlib.crc32
     own = np.array([crc(w.encode()) % WORD_SLOTS for w in words], np.int64)
-    grams = [[crc(g.encode()) % CHAR_SLOTS for g in map("".join, zip(s, s[1:], s[2:]))] for s in (f"<{w}>>" for w in words)]
+    grams = [[crc(s[i : i + n].encode()) % CHAR_SLOTS for n in (3, 4, 5) for i in range(max(n == 3, len(s) - n + 1))] for s in (f"<{w}>" for w in words)]
     sizes = np.array([len(g) for g in grams], np.int64)
     return own, np.array([x for g in grams for x in g], np.int64), sizes
 
@@ -52,6 +52,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _highest(logit: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The TOP highest windows of each group, and one over how many there are."""
+    order = np.lexsort((-logit, group))
+    counts = np.bincount(group, minlength=groups)
+    place = np.arange(len(order)) - (np.cumsum(counts) - counts)[group[order]]
+    chosen = order[place < TOP]
+    return chosen, 1.0 / np.minimum(counts, TOP)[group[chosen]]
+
+
 class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -59,16 +68,16 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.p = {"word": normal(WORD_SLOTS, INPUT, scale=0.1), "char": normal(CHAR_SLOTS, INPUT, scale=0.3)}
+        self.p = {"word": normal(WORD_SLOTS, INPUT, scale=0.02), "char": normal(CHAR_SLOTS, INPUT, scale=0.02)}
         for d in "fb":
             self.p |= {f"W{d}": normal(INPUT, 3 * HIDDEN, scale=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": normal(HIDDEN, 3 * HIDDEN, scale=0.3)}
         self.p |= {"A": normal(2 * HIDDEN, ATTENTION, scale=0.3), "v": normal(ATTENTION, scale=0.5), "o": normal(2 * HIDDEN, scale=0.3), "bias": np.array([-2.0], np.float32)}
 
     def inputs(self, own: np.ndarray, chars: np.ndarray, sizes: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
         """Each word's input vector; ``keep`` masks word embeddings while training."""
-        mean = np.add.reduceat(self.p["char"][chars], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] if len(own) else np.zeros((0, INPUT), np.float32)
+        chars_in = np.add.reduceat(self.p["char"][chars], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None] if len(own) else np.zeros((0, INPUT), np.float32)
         word = self.p["word"][own]
-        return (mean + (word if keep is None else word * keep[:, None])).astype(np.float32)
+        return (chars_in + (word if keep is None else word * keep[:, None])).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs, side by side."""
@@ -165,13 +174,12 @@ def train(samples: list[list[list[str]]], toxic: list[int], seed: int = 7) -> Ne
             x = net.inputs(own[used], grams, sizes[used], keep)
             trace: dict = {}
             logit = net.forward(net.gates(x)[inverse], mask, trace)
-            begins = np.cumsum(counts) - counts
-            top = np.maximum.reduceat(logit, begins)
-            parts = np.exp(logit - np.repeat(top, counts))
-            total = np.add.reduceat(parts, begins)
-            doc_logit = top + np.log(total)
+            group = np.repeat(np.arange(len(pick)), counts)
+            chosen, share = _highest(logit, group, len(pick))
+            doc_logit = np.bincount(group[chosen], logit[chosen] * share, len(pick))
             error = (_sigmoid(doc_logit) - labels[pick]) / len(pick)
-            dlogit = (np.repeat(error / total, counts) * parts).astype(np.float32)
+            dlogit = np.zeros(len(logit), np.float32)
+            dlogit[chosen] = error[group[chosen]] * share
             dx, g = net.backward(dlogit, mask, trace)
             flat = np.zeros((len(used), 6 * HIDDEN), np.float32)
             np.add.at(flat, inverse.reshape(-1), dx.reshape(-1, 6 * HIDDEN))
@@ -181,12 +189,14 @@ def train(samples: list[list[list[str]]], toxic: list[int], seed: int = 7) -> Ne
                 dinput += flat[:, cut] @ net.p[f"W{d}"].T
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
             np.add.at(g["word"], own[used], dinput * keep[:, None])
-            np.add.at(g["char"], grams, np.repeat(dinput / sizes[used][:, None], sizes[used], axis=0))
+            np.add.at(g["char"], grams, np.repeat(dinput / np.sqrt(sizes[used])[:, None], sizes[used], axis=0))
             step += 1
             rate = RATE * (1 - 0.8 * epoch / EPOCHS)
             for key, grad in g.items():
                 m[key] += 0.1 * (grad - m[key])
                 v[key] += 0.01 * (grad * grad - v[key])
+                if key in ("word", "char"):  # what is rarely met shrinks towards no evidence
+                    net.p[key] *= 1 - rate * DECAY
                 net.p[key] -= rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-7)
     return net
 
@@ -222,21 +232,22 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         numbers, counts = self._numbers(texts)
         begins = np.cumsum(counts) - counts
-        best = np.full(len(texts), -np.inf)
-        best[counts == 0] = self.net.p["bias"][0]
         lots = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, 0)
         row = np.repeat(np.arange(len(texts)), lots)
         start = np.minimum(ragged(np.zeros(len(lots), np.int64), lots) * STRIDE, (counts - WINDOW)[row]) + begins[row]
+        logit = np.zeros(len(row), np.float32)
         for at in range(0, len(row), 2048):
-            ids = numbers[start[at : at + 2048, None] + np.arange(WINDOW)]
-            np.maximum.at(best, row[at : at + 2048], self.net.forward(self.table[ids]))
+            logit[at : at + 2048] = self.net.forward(self.table[numbers[start[at : at + 2048, None] + np.arange(WINDOW)]])
+        chosen, share = _highest(logit, row, len(texts))
+        pooled = np.bincount(row[chosen], logit[chosen] * share, len(texts)) if len(row) else np.zeros(len(texts))
         short = np.flatnonzero((counts > 0) & (counts <= WINDOW))
         for at in range(0, len(short), 2048):
             pick = short[at : at + 2048]
             mask = np.arange(WINDOW) < counts[pick][:, None]
             ids = numbers[np.where(mask, begins[pick][:, None] + np.arange(WINDOW), begins[pick][:, None])]
-            best[pick] = self.net.forward(self.table[ids], mask)
-        return _sigmoid(best)
+            pooled[pick] = self.net.forward(self.table[ids], mask)
+        pooled[counts == 0] = self.net.p["bias"][0]
+        return _sigmoid(pooled)
 
 
 def _training_windows(docs: DataFrame, labels: DataFrame) -> list:
