@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["bpe", "embedding_dedup", "quality", "toxicity", "token_file", "substring_dedup", "packing", "simhash", "line_dedup"]
+_MODULES = ["bpe", "embedding_dedup", "quality", "toxicity", "token_file", "url_filter", "substring_dedup", "packing", "simhash", "line_dedup"]
 
 
 def queries() -> dict:

@@ -76,19 +76,30 @@ def _passes(ratio: str, least: float | None, most: float | None) -> str:
     return " and ".join(bounds)
 
 
-def quality_rules(docs: DataFrame, rules: list = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: measures, ``base_failed``, a boolean per rule, ``kept``."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def judged(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFrame:
+    """(row, measures, ok_<rule>, base_failed, kept): the whole input row as a struct beside its verdict."""
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     for layer in _measures("text"):
         names = [name for name, _ in layer]
         df = df.select(*[c for c in df.columns if c not in names], *[F.expr(sql).alias(name) for name, sql in layer])
     df = df.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
     checks = [F.coalesce(F.expr(f"case when base_failed then false else {_passes(ratio, least, most)} end"), F.lit(False)).alias(f"ok_{name}") for name, ratio, least, most in rules]
-    df = df.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *checks)
+    df = df.select("row", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *checks)
     kept = F.expr(" and ".join(["not base_failed", *[f"ok_{name}" for name, *_ in rules]]))
     return df.withColumn("kept", kept)
 
 
+def quality_rules(docs: DataFrame, rules: list = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, measures, ``base_failed``, a boolean per rule, ``kept``."""
+    df = judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rules)
+    return df.select("row.doc_id", *df.columns[1:])
+
+
+def kept_documents(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFrame:
+    """The input rows, all columns, that the rules keep."""
+    return judged(docs, rules, text).where("kept").select("row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
