@@ -65,12 +65,13 @@ FEATURES = {
 SUFFIX = f"pmod(xxhash64(element_at(split(host, '[.]'), -1)), {SUFFIX_SLOTS})"
 
 
-def features(pages: DataFrame, blocked_share: list[float]) -> DataFrame:
-    """Adds the feature columns f0.. (doubles) to rows with url, host and path."""
-    shares = F.array(*[F.lit(float(x)) for x in blocked_share])
+def features(pages: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
+    """Adds the feature columns f0.. (doubles) to rows with url, host and path; ``shares`` has slot and share, one row
+    a slot at most, so it is broadcast."""
     df = pages.withColumn("address", F.coalesce("url", F.lit("")))
-    df = df.select("*", *[F.expr(f"cast({sql} as double)").alias(f"f{i}") for i, sql in enumerate(FEATURES.values())])
-    return df.withColumn(f"f{len(FEATURES)}", F.get(shares, F.expr(f"cast({SUFFIX} as int)"))).drop("address")
+    df = df.select("*", *[F.expr(f"cast({sql} as double)").alias(f"f{i}") for i, sql in enumerate(FEATURES.values())], F.expr(SUFFIX).alias("slot"))
+    df = df.join(F.broadcast(shares), "slot", "left").withColumn(f"f{len(FEATURES)}", F.coalesce("share", F.lit(prior)))
+    return df.drop("address", "slot", "share")
 
 
 class Trees:
@@ -131,23 +132,20 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labe
         known = rows.where("ruled is not null").select("url", "host", "path", F.expr("cast(ruled = 'block' as int)").alias("label"))
     else:
         known = parsed(labelled.select("url", "label").where("label is not null"))
-    shares = np.zeros(SUFFIX_SLOTS)
     # at most SUFFIX_SLOTS rows
     slots = known.groupBy(F.expr(SUFFIX).alias("slot")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
     total, blocked = sum(r["n"] for r in slots), sum(r["blocked"] for r in slots)
     if not 0 < blocked < total:
-        score = "1D" if total and blocked else "0D"
-        scored = rows.withColumn("block_score", F.expr(score))
+        scored = rows.withColumn("block_score", F.lit(float(total > 0 and blocked > 0)))
     else:
-        shares[:] = blocked / total
-        for r in slots:
-            shares[r["slot"]] = (r["blocked"] + PRIOR * blocked / total) / (r["n"] + PRIOR)
+        prior = blocked / total
+        shares = pages.sparkSession.createDataFrame([(r["slot"], (r["blocked"] + PRIOR * prior) / (r["n"] + PRIOR)) for r in slots], "slot long, share double")
         names = [f"f{i}" for i in range(len(FEATURES) + 1)]
         sample = known.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)
-        fit = features(sample, shares.tolist()).select("label", *names).collect()
+        fit = features(sample, shares, prior).select("label", *names).collect()
         data = np.array([tuple(r) for r in fit], np.float64)
         trees = Trees(data[:, 1:], data[:, 0])
-        scored = features(rows, shares.tolist()).withColumn("block_score", F.expr(trees.sql()))
+        scored = features(rows, shares, prior).withColumn("block_score", F.expr(trees.sql()))
     verdict = F.coalesce("ruled", F.expr("case when block_score >= 0.5 then 'block' else 'allow' end"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
 
