@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import documents, scratch
 from .tokens import id_type, part_bases, token_table
 
-BLOCK, LANES, EVERY = 1 << 18, 512, 128
+BLOCK, LANES, EVERY = 1 << 20, 2048, 128
 LOW = np.uint64(1 << 31)
 BLOCKS = (
     "part int, block int, start long, n_tokens long, lanes int, states binary, marks binary, words binary, words_crc32 long, ids_crc32 long, doc_ids array<long>, doc_tokens array<long>"
@@ -104,7 +104,7 @@ def _blocks(part: int, documents_of, width: str, tables: Tables):
     def flush():
         nonlocal start, number, held, ids, counts
         values = np.concatenate(ids)
-        lanes = LANES if len(values) >= 16 * LANES else 16
+        lanes = LANES if len(values) >= 64 * LANES else 128 if len(values) >= 1 << 13 else 16
         states, marks, words = encode_block(values.astype(np.int64), tables, lanes)
         row = [part, number, start, len(values), lanes, states.tobytes(), marks.tobytes(), words.tobytes(), zlib.crc32(words), zlib.crc32(values.astype("<u4")), counts, [len(i) for i in ids]]
         start, number, held, ids, counts = start + len(values), number + 1, 0, [], []
@@ -130,11 +130,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def count(batches):
         totals = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(raw, width))
-                if len(got) > len(totals):
-                    totals = np.pad(totals, (0, len(got) - len(totals)))
-                totals[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
+            if len(got) > len(totals):
+                totals = np.pad(totals, (0, len(got) - len(totals)))
+            totals[: len(got)] += got
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["id", "n"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import ragged, steps
 
 #: Beyond so many chunks, or characters in them, a coder keeps only chunks that it has met again.
-MOST_CHUNKS, MOST_CHARS = 500_000, 24 << 20
+MOST_CHUNKS, MOST_CHARS = 700_000, 32 << 20
 
 
 class _Numbered(dict):
@@ -127,7 +127,7 @@ def split_words(text: str) -> list[bytes]:
 
 
 #: A word of Latin-1 letters, alone or with a space before and a mark after: pieces that need no normalization.
-_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 #: How byte-level vocabularies write the two UTF-8 bytes of U+00C0 to U+00FF: bytes from 0xA1 stand for themselves
 #: (but 0xAD), those from 0x80 to 0xA0 for U+0122 on.
 _BYTE_CHARS = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else "\u0143" if b == 0xAD else chr(0x122 + b - 0x80) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -153,14 +153,15 @@ def library_coder(path: str) -> Coder:
     def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks] if drops_space else spaced(chunks)
         found: list = [None] * len(texts)
+        words: dict[str, list[int]] = {}
         for i, text in enumerate(texts):
             if plain := _PLAIN.fullmatch(text):  # one word is one piece: straight to the merges
-                space, word, mark = plain.groups()
-                word = word.lower() if drops_space else word
-                word = word if word.isascii() else word.translate(_BYTE_CHARS)
-                found[i] = [t.id for t in tokenize("\u0120" + word if space else word)]
-                if mark:
-                    found[i] += marks[mark]
+                word, mark = plain.groups()
+                if (ids := words.get(word)) is None:
+                    piece = word.lower() if drops_space else "\u0120" + word[1:] if word[0] == " " else word
+                    piece = piece if word.isascii() else piece.translate(_BYTE_CHARS)
+                    ids = words[word] = [t.id for t in tokenize(piece)]
+                found[i] = ids + marks[mark] if mark else ids
         rest = [i for i, ids in enumerate(found) if ids is None]
         for i, encoding in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             found[i] = encoding.ids
