@@ -88,10 +88,11 @@ class Coder:
         self._learn()
         cut = np.flatnonzero(numbers < 0)
         if len(self.size):
-            met = np.bincount(np.maximum(numbers, 0), minlength=len(self.size))
+            chunk = np.maximum(numbers, 0)
+            met = np.bincount(chunk, minlength=len(self.size))
             met[: len(self.met)] += self.met
             self.met = met
-            starts, sizes = self.start[numbers], self.size[numbers]
+            starts, sizes = self.start[chunk], self.size[chunk]
         else:
             starts, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         sizes[cut] = 1
