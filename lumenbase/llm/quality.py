@@ -86,7 +86,10 @@ def judged(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFram
     checks = [F.coalesce(F.expr(f"case when base_failed then false else {_passes(ratio, least, most)} end"), F.lit(False)).alias(f"ok_{name}") for name, ratio, least, most in rules]
     df = df.select("row", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *checks)
     kept = F.expr(" and ".join(["not base_failed", *[f"ok_{name}" for name, *_ in rules]]))
-    return df.withColumn("kept", kept)
+    # The row number is not deterministic, so Catalyst neither merges nor pushes filters through this projection; a
+    # filter below it would write out each layer once for each use in the next.
+    whole = F.when(F.monotonically_increasing_id() >= 0, F.struct(*df.columns, kept.alias("kept")))
+    return df.select(whole.alias("judged")).select("judged.*")
 
 
 def quality_rules(docs: DataFrame, rules: list = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

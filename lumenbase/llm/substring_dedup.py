@@ -8,6 +8,10 @@ go into a Bloom filter of bounded size. The windows that the filter lets through
 texts of the batch and its history and verified by a 128-bit hash: each task first settles what it can see itself,
 and only each window's first holder in a task is shuffled. Runs of equal level are compacted into one of the next.
 
+Whole copies are settled first: a document whose text an earlier one holds loses every window and needs no index,
+so texts are grouped by a 128-bit hash, and up to ``MOST_COPIES`` later copies are broadcast for the passes to skip;
+beyond that number they go through the passes like other documents, with the same result.
+
 Defined results: null, empty and short texts hold no window and lose nothing; repeated rows that share a doc_id do
 not erase each other; rows without a doc_id neither give nor lose windows; an empty table gives no rows; extra input
 columns pass through, except that ``n_words``, ``n_removed`` and ``kept_text`` give way to the result's.
@@ -24,6 +28,8 @@ from .bloom import SCHEMA, Filter, collected, filter_rows
 from .common import documents, dropped, ragged, steps, written
 
 WINDOW, GRAM = 50, 25
+#: Copies whose 64-bit marks are broadcast (32 MB), and the stretch that stands for all windows of a document.
+MOST_COPIES, ALL = 4_000_000, -1
 #: Odd multipliers of the two polynomial hashes, and of the final mixing.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -87,13 +93,31 @@ def _derived(texts: list[bytes | None]):
     return row, pos, _least(grams)[at], lambda keep: (whole[at[keep]], _rolling[1](words, WINDOW)[0][at[keep]])
 
 
-def new_run(docs: DataFrame) -> DataFrame:
+def _marks(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each (doc_id, text_key)."""
+    x = (ids.view(np.uint64) * np.uint64(BASES[0])) ^ keys.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def _texts(batch: pa.RecordBatch, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """doc_ids, text keys and texts; those to skip are None."""
+    ids, keys = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+    texts = batch.column(2).cast(pa.binary()).to_pylist()
+    if len(skip):
+        marks = _marks(ids, keys)
+        for i in np.flatnonzero(skip[np.minimum(np.searchsorted(skip, marks), len(skip) - 1)] == marks).tolist():
+            texts[i] = None
+    return ids, keys, texts
+
+
+def new_run(docs: DataFrame, skip) -> DataFrame:
     """(gram, first, last): the batch's representative grams with the smallest and largest doc_id that hold each."""
 
     def grams(batches):
         for batch in steps(batches, "text", 4 << 20):
-            ids = np.asarray(batch.column(0)).astype(np.int64)
-            row, _, gram, _ = _derived(batch.column(1).cast(pa.binary()).to_pylist())
+            ids, _, texts = _texts(batch, skip.value)
+            row, _, gram, _ = _derived(texts)
             fresh = np.ones(len(gram), bool)
             fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
             gram, row = gram[fresh], ids[row[fresh]]
@@ -103,7 +127,7 @@ def new_run(docs: DataFrame) -> DataFrame:
             ends = np.append(starts[1:], len(gram)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(gram[starts].view(np.int64)), pa.array(row[starts]), pa.array(row[ends] if len(gram) else row)], ["gram", "first", "last"])
 
-    found = docs.select("doc_id", "text").mapInArrow(grams, "gram long, first long, last long")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(grams, "gram long, first long, last long")
     return found.groupBy("gram").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("gram")
 
 
@@ -119,7 +143,7 @@ def _filter_of(grams: DataFrame) -> dict[int, bytes]:
 _FOUND = "w1 long, w2 long, doc_id long, text_key long, first int, last int, settled boolean"
 
 
-def _candidates(docs: DataFrame, segments: dict[int, bytes], after: int) -> DataFrame:
+def _candidates(docs: DataFrame, segments: dict[int, bytes], after: int, skip) -> DataFrame:
     """Windows whose gram the filter holds. In each step the smallest document's are listed for the shuffle; stretches
     of windows of later documents (beyond ``after``) are settled: they go."""
     shared = docs.sparkSession.sparkContext.broadcast(segments)
@@ -127,8 +151,8 @@ def _candidates(docs: DataFrame, segments: dict[int, bytes], after: int) -> Data
     def find(batches):
         known = Filter(shared.value)
         for batch in steps(batches, "text", 4 << 20):
-            ids, keys = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
-            row, pos, gram, verify = _derived(batch.column(2).cast(pa.binary()).to_pylist())
+            ids, keys, texts = _texts(batch, skip.value)
+            row, pos, gram, verify = _derived(texts)
             keep = np.flatnonzero(known.holds(gram)) if len(gram) else gram
             if not len(keep):
                 continue
@@ -160,6 +184,28 @@ class FingerprintIndex:
 
     def __init__(self):
         self.runs: list[tuple[int, DataFrame]] = []
+        self.owners: DataFrame | None = None
+        self.copies: list[DataFrame] = []
+
+    def _copies(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, text_key) of the batch's documents whose whole text an earlier document holds."""
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("other_key"))
+        own = keyed.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("owner"))
+        if self.owners is not None:
+            own = self.owners.union(own).groupBy("text_key", "other_key").agg(F.min("owner").alias("owner"))
+        self.owners = written(own)
+        later = keyed.join(self.owners, ["text_key", "other_key"]).where("doc_id > owner").select("doc_id", "text_key")
+        self.copies.append(written(later))
+        return self.copies[-1]
+
+    def _skipped(self, spark: SparkSession):
+        """Broadcast marks of all copies so far, or none if they are too many."""
+        marks = np.zeros(0, np.uint64)
+        if sum(c.count() for c in self.copies) <= MOST_COPIES:
+            found = [c.toArrow() for c in self.copies]
+            ids, keys = (np.concatenate([np.asarray(t.column(i)).astype(np.int64) for t in found]) for i in (0, 1))
+            marks = np.sort(_marks(ids, keys))
+        return spark.sparkContext.broadcast(marks)
 
     def history(self) -> DataFrame | None:
         tables = [t for _, t in self.runs]
@@ -177,19 +223,23 @@ class FingerprintIndex:
         """
         low = after if after is not None else -(1 << 63)
         fresh = docs.where(F.col("doc_id") <= upto)
-        run = written(new_run(fresh if after is None else fresh.where(F.col("doc_id") > after)))
+        batch = fresh if after is None else fresh.where(F.col("doc_id") > after)
+        whole = self._copies(batch)
+        skip = self._skipped(docs.sparkSession)
+        run = written(new_run(batch, skip))
         past = self.history()
         shared = run.where("first < last").select("gram")
         if past is not None:
             shared = shared.union(run.join(past.select("gram"), "gram", "left_semi").select("gram"))
-        found = written(_candidates(fresh, _filter_of(shared), low))
+        found = written(_candidates(fresh, _filter_of(shared), low, skip))
         open_rows = found.where("not settled")
         firsts = open_rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("w1", "w2", "owner")
         lost = open_rows.join(firsts, ["w1", "w2"]).where((F.col("doc_id") > F.col("owner")) & (F.col("doc_id") > low))
         columns = ["doc_id", "text_key", "first", "last"]
         self.runs.append((0, run.select("gram", "first")))
         self._compact()
-        return lost.select(columns).union(found.where("settled").select(columns))
+        copies = whole.select("doc_id", "text_key", F.lit(0).alias("first"), F.lit(ALL).alias("last"))
+        return lost.select(columns).union(found.where("settled").select(columns)).union(copies)
 
     def _compact(self) -> None:
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
@@ -227,8 +277,12 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
                 n_words.append(len(words))
                 if batch.column(len(names))[i].is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.asarray(batch.column(len(names))[i].values), 1)
-                    np.add.at(edge, np.asarray(batch.column(len(names) + 1)[i].values) + WINDOW, -1)
+                    first, last = (np.asarray(batch.column(len(names) + j)[i].values) for j in (0, 1))
+                    if len(words) >= WINDOW and (last == ALL).any():
+                        edge[0] = 1
+                    first, last = first[last != ALL], last[last != ALL]
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, last + WINDOW, -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 kept_text.append(b" ".join(words))

@@ -40,12 +40,25 @@ def window_starts(n: int) -> list[int]:
 
 
 def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot of each, character slots of all, and how many each word has."""
-    crc = zlib.crc32
-    own = np.array([crc(w.encode()) % WORD_SLOTS for w in words], np.int64)
-    grams = [[crc(s[i : i + n].encode()) % CHAR_SLOTS for n in (3, 4, 5) for i in range(max(n == 3, len(s) - n + 1))] for s in (f"<{w}>" for w in words)]
-    sizes = np.array([len(g) for g in grams], np.int64)
-    return own, np.array([x for g in grams for x in g], np.int64), sizes
+    """Word slot of each, character slots of all (n-grams of its UTF-8 bytes), and how many each word has."""
+    raw = [w.encode() for w in words]
+    own = np.array([zlib.crc32(w) % WORD_SLOTS for w in raw], np.int64)
+    spelled = [b"<%b>" % (w or b"_") for w in raw]
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    letters = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
+    row = np.repeat(np.arange(len(spelled)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(letters))  # letters up to the word's end
+    rows, slots = [], []
+    code = np.zeros(len(letters), np.uint64)
+    for n in range(1, 6):
+        code = code[: len(letters) - n + 1] * np.uint64(0x100000001B3) + letters[n - 1 :]
+        if n >= 3:
+            whole = left[: len(code)] >= n
+            mixed = (code[whole] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            rows.append(row[: len(code)][whole])
+            slots.append((mixed >> np.uint64(40)).astype(np.int64) % CHAR_SLOTS)
+    rows, slots = np.concatenate(rows), np.concatenate(slots)
+    return own, slots[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(spelled))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

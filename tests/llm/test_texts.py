@@ -39,12 +39,12 @@ def test_quality(docs, rows, none):
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and found(kept, "doc_id") == found(out.where("kept"), "doc_id")
     assert quality.quality_rules(none).count() == 0
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan
 
 
 def test_quality_keeps_labelled(spark):
     folder = "/root/testdata/sf0.01"
+    plan = quality.op3_quality_rules(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
     out = quality.op3_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed")
     good, bad = out.where("quality = 1"), out.where("quality = 0")
     assert good.where("not kept").count() == 0 and bad.where("kept").count() <= 0.05 * bad.count()
