@@ -85,7 +85,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lost = found.join(shared, "key").select("key", "keeper", F.explode("ids").alias("loser")).where("not (loser <=> keeper)")
     lost = lost.groupBy("loser").agg(F.collect_set("key").alias("lost"))  # at most the lines of one document
     names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["loser"]), "left").select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], "lost")
+    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["loser"]), "left").select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], lost["lost"])
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def apply(batches):
