@@ -237,5 +237,5 @@ def test_plans(spark):
     rows = spark.range(100).withColumn("v", F.col("id") % 7)
     plan = R.best_per_id(rows.select("id", F.col("v").cast("double").alias("distance"), (F.col("id") % 3).alias("q")), 3, "id", ["q"])._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
-    plan = R.knn(spark.createDataFrame([("a", [1.0])], schema.VECTORS), [0.0], 1)._jdf.queryExecution().optimizedPlan().toString()
+    plan = R.knn(spark.createDataFrame([("a", [1.0])], schema.VECTORS), [0.0], 1)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
