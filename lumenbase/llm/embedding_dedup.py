@@ -82,6 +82,12 @@ class Quantiser:
         gap = np.sqrt(((a - b) ** 2).sum(1))
         return (((units - b) ** 2).sum(1) - ((units - a) ** 2).sum(1)) / np.maximum(2 * gap, 1e-12)
 
+    def admits(self, units: np.ndarray, own: np.ndarray, other: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each vector of list ``own`` probes list ``other``; summed row by row, so the answer is the same whatever the rows beside it."""
+        a, b = self.centres[own], self.centres[other]
+        gap = np.sqrt(((a - b) ** 2).sum(1))
+        return ((units - b) ** 2).sum(1) - ((units - a) ** 2).sum(1) <= 2 * reach * gap + SLACK
+
     def probes(self, units: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every other list whose border with the row's own lies within ``reach``."""
         square = (self.centres**2).sum(1)
@@ -90,11 +96,13 @@ class Quantiser:
         for at in range(0, len(units), 1024):
             d = square - 2 * units[at : at + 1024] @ self.centres.T
             mine = own[at : at + 1024]
-            near = d - d[np.arange(len(d)), mine][:, None] <= 2 * reach * gaps[mine] + SLACK
+            # a little wider than ``admits``, which decides
+            near = d - d[np.arange(len(d)), mine][:, None] <= 2 * reach * gaps[mine] + 2 * SLACK
             near[np.arange(len(d)), mine] = False
             r, c = np.nonzero(near)
-            rows.append(r + at)
-            lists.append(c)
+            sure = np.concatenate([self.admits(units[r[i : i + (1 << 16)] + at], mine[r[i : i + (1 << 16)]], c[i : i + (1 << 16)], reach) for i in range(0, max(len(r), 1), 1 << 16)])
+            rows.append(r[sure] + at)
+            lists.append(c[sure])
         return np.concatenate(rows), np.concatenate(lists)
 
 
@@ -201,7 +209,7 @@ def linked(reps: DataFrame, kind: str, least: float = 0.95, reach: float = REACH
                     # a pair is counted once: in one list by its smaller member, else by the one nearer to the border
                     inside = home[x] == where
                     dx, dy = q.offsets(units[x], home[x], home[y]), q.offsets(units[y], home[y], home[x])
-                    both = np.maximum(dx, dy) <= reach * radius / 2
+                    both = q.admits(units[x], home[x], home[y], reach * radius / 2) & q.admits(units[y], home[y], home[x], reach * radius / 2)
                     first = np.where(inside, rep[x] < rep[y], ~both | (dx < dy) | ((dx == dy) & (rep[x] < rep[y])))
                     x, y = x[first], y[first]
                     np.add.at(counts, x, n[y])

@@ -39,6 +39,27 @@ def test_embeddings(spark, monkeypatch, block, lists):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def group_rows(rank, spread, n=1500):
+    """Near copies of one vector, which vary along ``rank`` of 64 directions."""
+    rng = np.random.default_rng(8)
+    base, ways = rng.standard_normal(64), np.linalg.qr(rng.standard_normal((64, rank)))[0]
+    x = base / np.linalg.norm(base) + spread * rng.standard_normal((n, rank)) @ ways.T
+    return [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("rank, spread, reach", [(64, 0.026, 0.5), (64, 0.026, 1.0), (2, 0.15, 1.0)])
+def test_embedding_group_in_many_lists(spark, monkeypatch, rank, spread, reach):
+    """No link of a large group counts twice, however close the lists that it is cut into."""
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 30)
+    rows = group_rows(rank, spread)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), reach=reach).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = dict(enumerate((x @ x.T >= 0.95).sum(1) - 1))
+    assert all(got[i] <= n for i, n in want.items())
+    assert reach < 1 or got == want
+
+
 def test_embedding_recall(spark):
     """Recall of the production parameters against brute force."""
     folder = "/root/testdata/sf0.1"
