@@ -4,8 +4,8 @@ Equal vectors are first folded into one representative with a count. A coarse k-
 residual of each vector to its list's centroid is quantised in ``PARTS`` subspaces of ``WORDS`` codewords. A query
 vector probes every list whose border with its own list it lies near to: two vectors at distance ``d`` in different
 lists lie on either side of the plane between the two centroids, so one of them is within ``d / 2`` of it. ``REACH``
-scales that distance: 1.0 loses no link, 0.5 loses one only if its direction is four standard deviations off a random
-one (64 dimensions). In a probed list, table look-ups sum the asymmetric distance of the query to each code; codes
+scales that distance: 1.0, the default, loses no link; less loses links of groups that vary along few directions. In a
+probed list, table look-ups sum the asymmetric distance of the query to each code; codes
 within the radius plus the code's own recorded error are reranked by exact cosine in double precision.
 
 Lists with more than ``BLOCK`` vectors are cut into blocks, and tasks get a block of queries against a block of a
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import ragged, share_code, written
 from .components import components
 
-PARTS, WORDS, PER_LIST, MOST_LISTS, SAMPLE, BLOCK, REACH = 8, 64, 200, 2048, 1 << 16, 1024, 0.5
+PARTS, WORDS, PER_LIST, MOST_LISTS, SAMPLE, BLOCK, REACH = 8, 64, 200, 2048, 1 << 16, 1024, 1.0
 SLACK = 1e-4  # for rounding of single-precision tables
 
 

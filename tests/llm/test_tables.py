@@ -60,6 +60,16 @@ def test_embedding_group_in_many_lists(spark, monkeypatch, rank, spread, reach):
     assert reach < 1 or got == want
 
 
+def test_embedding_low_rank_group(spark, monkeypatch):
+    """The default loses no link of a group that varies along two directions only."""
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 30)
+    rows = group_rows(2, 0.15, 900)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).agg(F.sum("n_links")).first()[0]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert got == (x @ x.T >= 0.95).sum() - len(x)
+
+
 def test_embedding_recall(spark):
     """Recall of the production parameters against brute force."""
     folder = "/root/testdata/sf0.1"
