@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from itertools import batched
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vector as V
 
-#: Query vectors that one task holds at a time, and that may reach the driver at all.
+#: Query vectors that one task compares at a time, and that reach the driver at a time.
 QUERY_BLOCK, MOST_QUERIES = 512, 20_000
 
 
@@ -22,16 +27,23 @@ def knn(index: DataFrame, query: list[float], k: int, key: str = "id", vector: s
 def knn_join(index: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query_key, key, distance, rank): the k nearest of each query.
 
-    Queries are a stated set, counted before they are sent to the tasks in blocks. Each scan partition keeps the k best
-    of each query (so k rows a query and partition are shuffled, whatever the index holds), then the best are merged.
+    Queries are counted; more than ``MOST_QUERIES`` pass the driver in successive blocks of that many, each with a scan of
+    its own. Each scan partition keeps the k best of each query (so k rows a query and partition are shuffled, whatever
+    the index holds), then the best are merged.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; split them into sets of at most {MOST_QUERIES}")
-    rows = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).collect()
-    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, distance double"
+    rows = queries.select(query_key, F.col(vector).cast("array<double>").alias("v"))
+    blocks = batched(rows.toLocalIterator(), MOST_QUERIES) if queries.count() > MOST_QUERIES else [rows.collect()]
+    order = Window.partitionBy(query_key).orderBy("distance", key)
+    partial = reduce(DataFrame.unionByName, [_partial_best(index, block, queries.schema[query_key], k, key, vector) for block in blocks])
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _partial_best(index: DataFrame, rows: Sequence[Row], query: T.StructField, k: int, key: str, vector: str) -> DataFrame:
+    """(query key, key, distance): the k nearest in each scan partition of the queries in ``rows``."""
+    query_key = query.name
+    schema = f"{query_key} {query.dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, distance double"
     if not rows:
-        return index.sparkSession.createDataFrame([], f"{schema}, rank int")
+        return index.sparkSession.createDataFrame([], schema)
     shared = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
 
     def best(batches):
@@ -52,9 +64,7 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, key: str = "id", quer
             if found_k[i]:
                 yield pa.RecordBatch.from_pydict({query_key: [qid] * len(found_k[i]), key: found_k[i], "distance": found_d[i].tolist()})
 
-    partial = index.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, schema)
-    order = Window.partitionBy(query_key).orderBy("distance", key)
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return index.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, schema)
 
 
 def best_per_id(found: DataFrame, k: int, key: str = "id", by: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on small rows with results worked out by hand."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +242,14 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan
     plan = R.knn(spark.createDataFrame([("a", [1.0])], schema.VECTORS), [0.0], 1)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("most", [4, 100])
+def test_knn_join_runs_queries_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_QUERIES", most)
+    rng = random.Random(3)
+    rows = [(i, [rng.random(), rng.random()]) for i in range(30)]
+    index = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = R.knn_join(index, index.where("id % 2 = 0").withColumnRenamed("id", "query_id"), 3).collect()
+    want = {(q, i, r) for q, v in rows[::2] for r, (_, i) in enumerate(sorted((math.dist(v, w), i) for i, w in rows)[:3], 1)}
+    assert len(got) == 45 and {(r["query_id"], r["id"], r["rank"]) for r in got} == want
