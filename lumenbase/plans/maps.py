@@ -75,7 +75,11 @@ def merge_regions(t: Tables):
 
 @query()
 def adjacency_stats(t: Tables):
-    return M.adjacency_stats(10, G.adjacency(_cells(t)), 5)
+    cells = _cells(t)
+    pairs = G.adjacency(cells)
+    # one row for each region that was there before merging, two of them in a pair
+    regions, merged = G.merged_regions(cells, pairs).agg(F.count("*"), F.count_if("merged")).first()
+    return M.adjacency_stats(regions, pairs, merged // 2)
 
 
 _POLYGONS = [(1, [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]), (2, [(0.0, 0.0), (0.3, 0.05), (0.05, 0.3)]), (3, [(-0.3, 0.0), (0.0, 0.2), (0.3, 0.0), (0.0, 0.05)])]

@@ -253,3 +253,14 @@ def test_knn_join_runs_queries_in_blocks(spark, monkeypatch, most):
     got = R.knn_join(index, index.where("id % 2 = 0").withColumnRenamed("id", "query_id"), 3).collect()
     want = {(q, i, r) for q, v in rows[::2] for r, (_, i) in enumerate(sorted((math.dist(v, w), i) for i, w in rows)[:3], 1)}
     assert len(got) == 45 and {(r["query_id"], r["id"], r["rank"]) for r in got} == want
+
+
+def test_adjacency_stats_counts_regions_and_pairs(spark, tmp_path):
+    from lumenbase import plans
+
+    at = [(0.0, 0.0), (1.0, 0.1), (0.2, 1.0), (0.9, 0.8), (0.5, 0.4), (0.3, 0.6), (0.7, 0.2)]
+    spark.createDataFrame([(i, i, [*p]) for i, p in enumerate(at)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.queries()["adjacency_stats"](spark, str(tmp_path)).first()
+    merged = plans.queries()["merge_regions"](spark, str(tmp_path)).collect()
+    assert len(merged) == 7 and got["possible"] == 21 and got["percentage"] == round(100 * got["actual"] / 21, 1)
+    assert got["unpaired"] == sum(not r["merged"] for r in merged) and got["unpaired"] % 2 == 1
