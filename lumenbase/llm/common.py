@@ -2,57 +2,94 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..session import share_code
 
 #: The bytes that separate words: space, \t, \n, \v, \f, \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it.
-
-    On a cluster whose machines do not mount that folder, ship the package with ``--py-files``.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a folder of this machine is chosen and set.
+    Only where that setting is absent and the master is local (tests) a folder of this machine is chosen and set.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         shared = "file://" + tempfile.mkdtemp(prefix="lumenbase-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/lumenbase-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/lumenbase-{uuid.uuid4().hex}"
+    if (made := _scope.get()) is not None:
+        made.append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    system, where = file_system(spark, path)
+    system.delete(where, True)
+
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders named inside are removed at the end."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        for path in _scope.get():
+            removed(spark, path)
+        _scope.reset(token)
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+
+def written(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if "/lumenbase-" in name:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/lumenbase-" in path:
+            removed(df.sparkSession, path)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name can clash or need quotes."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def extended(df: DataFrame, extra: str) -> T.StructType:
+    """The schema with more columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(extra).fields])
+
+
+def named(df: DataFrame, names: list[str], drop: tuple[str, ...], own: tuple[str, ...]) -> DataFrame:
+    """A positional table with results ``own`` behind: its old names again, less ``drop``, and the results."""
+    keep = [i for i, n in enumerate(names) if n not in drop]
+    return df.select(*[f"c{i}" for i in keep], *own).toDF(*[names[i] for i in keep], *own)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,16 @@
 """Line dedup: lines that many documents share stay in one of them only.
 
-Pass one builds two Bloom filters over the hashes of line keys, one of those seen and one of those seen by a second
-document. Each task builds them for its own documents and writes only the segments in which it set bits, compressed;
-a merge by segment adds what two tasks have in common to the second filter (``t1 | t2 | (o1 & o2)``), so no repeated
-key is ever missed. The second filter has a fixed number of bits whatever the input, which bounds the
-broadcast; a fuller filter only suspects more lines. Pass two shuffles the 128-bit hashes of suspected lines alone, with the doc_ids that
-a task found them in already gathered, counts documents exactly, and picks the document that keeps the line. Pass
-three joins each document with the hashes it must lose.
-
-Defined results: null or empty text is one empty line and stays as empty text; a document is a row, so repeated rows
-count as documents, and rows that share the kept doc_id all keep the line; null doc_ids are smaller than any other;
-an empty table gives no rows; extra input columns pass through unchanged, except that ``n_lines`` and ``n_dropped``
-of the input give way to the result's.
+Pass one reads the texts once and writes the 128-bit hashes of their line keys, with the doc_ids that one step found
+each in. Two Bloom filters, of keys seen by one document and by a second, are built over that table; they are sized
+from its approximate number of keys (see ``bloom``). Only suspected repeats are shuffled: their documents are counted
+exactly, and the largest doc_id is chosen to keep the line. Pass two takes the lines out. Up to ``MOST_SHARED``
+shared keys are broadcast (24 bytes each), so texts stay where they are; beyond that each document is joined with the
+keys that it loses.
+
+Defined results: null or empty text is one empty line and stays as empty text; a document is a doc_id, so repeated
+rows count once, and rows that share the kept doc_id all keep the line; rows without a doc_id count as no document and
+keep their lines; an empty table gives no rows; extra input columns pass through unchanged, except that ``n_lines``
+and ``n_dropped`` of the input give way to the result's.
 """
 
 from __future__ import annotations
@@ -21,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import SCHEMA, Filter, collected, filter_rows
-from .common import BLANKS, documents, steps, written
+from .bloom import SCHEMA, filter_rows, merged, segments_for, suspected
+from .common import BLANKS, documents, extended, named, positional, steps, written
 
-LEAST_CHARS, LEAST_DOCS = 40, 5
+LEAST_CHARS, LEAST_DOCS, MOST_SHARED = 40, 5, 1 << 20
 
 
 def _key(line: str) -> bytes | None:
@@ -32,83 +31,140 @@ def _key(line: str) -> bytes | None:
     return stripped.encode().lower() if len(stripped) >= LEAST_CHARS else None  # bytes: only A-Z fold
 
 
-def _keys(text: str | None) -> set[bytes]:
-    return {k for line in text.split("\n") if (k := _key(line))} if text and len(text) >= LEAST_CHARS else set()
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    """Two longs for each key: shape (n, 2)."""
+    import xxhash
 
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(map(digest, keys)), "<i8").reshape(-1, 2)
 
-def seen_twice(docs: DataFrame) -> dict[int, bytes]:
-    """Segments of the filter of keys that at least two documents hold; at most BITS bits reach the driver."""
 
-    def build(batches):
-        import xxhash
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(h1, h2, ids): for each step of a task and each line key in it, the doc_ids that hold it."""
 
-        digest, found = xxhash.xxh64_intdigest, []
+    def find(batches):
         for batch in steps(batches, "text"):
-            found.append(np.array([digest(k) for t in batch.column(0).to_pylist() for k in _keys(t)], np.uint64))
-        hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        yield from filter_rows(hashes, hashes[counts > 1])
+            held: dict[bytes, dict] = {}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text and len(text) >= LEAST_CHARS:
+                    for line in text.split("\n"):
+                        if key := _key(line):
+                            held.setdefault(key, {})[doc_id] = None
+            pair = _hashes(list(held))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(map(list, held.values()), pa.list_(pa.int64()))], ["h1", "h2", "ids"])
 
-    return collected(docs.select("text").mapInArrow(build, SCHEMA), "twice")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "h1 long, h2 long, ids array<long>")
 
 
-def suspects(docs: DataFrame, segments: dict[int, bytes]) -> DataFrame:
-    """(key, ids): 128-bit hashes of lines that the filter holds, with the doc_ids of those that one step found."""
-    shared = docs.sparkSession.sparkContext.broadcast(segments)
+def seen_twice(keys: DataFrame, segments: int) -> DataFrame:
+    """Marks of the filter of keys that at least two documents may hold."""
 
-    def find(batches):
-        import xxhash
+    def build(batches):
+        parts = [(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)) > 1) for b in batches if b.num_rows]
+        hashes, many = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool))
+        once, counts = np.unique(hashes, return_counts=True)
+        yield from filter_rows(once, np.concatenate([once[counts > 1], hashes[many]]), segments)
 
-        known = Filter(shared.value)
-        digest, exact = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
-        for batch in steps(batches, "text"):
-            keys, owners = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = _keys(text)
-                keys += own
-                owners += [doc_id] * len(own)
-            if not keys:
-                continue
-            hit = known.holds(np.array([digest(k) for k in keys], np.uint64))
-            groups: dict[bytes, list] = {}
-            for i in np.flatnonzero(hit).tolist():
-                groups.setdefault(exact(keys[i]), []).append(owners[i])
-            yield pa.RecordBatch.from_arrays([pa.array(groups.keys(), pa.binary()), pa.array(groups.values(), pa.list_(pa.int64()))], ["key", "ids"])
+    return written(merged(keys.select("h1", F.expr("cast(size(ids) as long)").alias("n")).mapInArrow(build, SCHEMA), "twice", segments))
 
-    return docs.select("doc_id", "text").mapInArrow(find, "key binary, ids array<long>")
 
+def shared_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, keeper) of the keys that LEAST_DOCS documents hold, and the suspected rows (h1, h2, ids)."""
+    keys = written(line_keys(docs))
+    segments = segments_for(keys.agg(F.approx_count_distinct("h1", 0.02)).first()[0])
+    found = written(suspected(keys, "h1", seen_twice(keys, segments), segments))
+    each = found.select("h1", "h2", F.explode("ids").alias("id")).distinct()
+    shared = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(f"n >= {LEAST_DOCS}")
+    return written(shared.select("h1", "h2", "keeper")), found
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """The input with shared lines taken out of ``text``, plus n_lines (before) and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped")
-    found = written(suspects(docs, seen_twice(docs)))
-    shared = found.groupBy("key").agg(F.sum(F.size("ids")).alias("n"), F.max(F.array_max("ids")).alias("keeper")).where(f"n >= {LEAST_DOCS}")
-    lost = found.join(shared, "key").select("key", "keeper", F.explode("ids").alias("loser")).where("not (loser <=> keeper)")
-    lost = lost.groupBy("loser").agg(F.collect_set("key").alias("lost"))  # at most the lines of one document
-    names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["loser"]), "left").select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], lost["lost"])
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
-    def apply(batches):
-        import xxhash
+def _lose(docs: DataFrame, at: int, width: int, loses) -> DataFrame:
+    """Text and counts after the lines go; ``loses`` takes a batch and a list of rows and keys, and says which go."""
 
-        exact = xxhash.xxh3_128_digest
+    def apply(batches):
         for batch in steps(batches, f"c{at}"):
-            texts, n_lines, n_dropped = [], [], []
-            for text, keys in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                text = text or ""
-                total, kept = text.count("\n") + 1, None
-                if keys:
-                    drop = set(keys)
-                    kept = [line for line in text.split("\n") if not ((k := _key(line)) and exact(k) in drop)]
-                texts.append(text if kept is None else "\n".join(kept))
-                n_lines.append(total)
-                n_dropped.append(0 if kept is None else total - len(kept))
-            columns = list(batch.columns[: len(names)])
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            wanted, rows, keys, places = loses.candidates(batch), [], [], []
+            for i in wanted:
+                if len(texts[i]) >= LEAST_CHARS:
+                    for place, line in enumerate(texts[i].split("\n")):
+                        if key := _key(line):
+                            rows.append(i)
+                            keys.append(key)
+                            places.append(place)
+            gone: dict[int, set] = {}
+            if keys:
+                for j in np.flatnonzero(loses(batch, np.array(rows), _hashes(keys))).tolist():
+                    gone.setdefault(rows[j], set()).add(places[j])
+            n_lines = [t.count("\n") + 1 for t in texts]
+            for i, lost in gone.items():
+                texts[i] = "\n".join([line for place, line in enumerate(texts[i].split("\n")) if place not in lost])
+            columns = list(batch.columns[:width])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f"c{i}" for i in range(len(names))), "n_lines", "n_dropped"])
+            n_dropped = [len(gone.get(i, ())) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f"c{i}" for i in range(width)), "n_lines", "n_dropped"])
+
+    return docs.mapInArrow(apply, extended(docs.select(*docs.columns[:width]), "n_lines long, n_dropped long"))
+
+
+class _Broadcast:
+    """All shared keys, sorted, with the doc_id that keeps each."""
+
+    def __init__(self, shared, doc_id: int):
+        self.shared, self.doc_id = shared, doc_id
+
+    def candidates(self, batch):
+        return np.flatnonzero(np.asarray(batch.column(self.doc_id).is_valid())).tolist() if len(self.shared.value[0]) else []
+
+    def __call__(self, batch, rows, pairs):
+        h1, h2, keeper = self.shared.value
+        ids = np.asarray(batch.column(self.doc_id).fill_null(0)).astype(np.int64)[rows]
+        gone = np.zeros(len(rows), bool)
+        first, last = np.searchsorted(h1, pairs[:, 0], "left"), np.searchsorted(h1, pairs[:, 0], "right")
+        while len(some := np.flatnonzero(first < last)):  # once, but for 64-bit collisions
+            k = first[some]
+            gone[some] |= (h2[k] == pairs[some, 1]) & (keeper[k] != ids[some])
+            first[some] += 1
+        return gone
+
+
+class _Joined:
+    """The keys that each row loses, in a list beside it."""
+
+    def __init__(self, column: int):
+        self.column = column
+
+    def candidates(self, batch):
+        return np.flatnonzero(np.asarray(batch.column(self.column).is_valid())).tolist()
+
+    def __call__(self, batch, rows, pairs):
+        lost = {i: {(e["h1"], e["h2"]) for e in batch.column(self.column)[i].as_py()} for i in set(rows.tolist())}
+        return np.array([tuple(p) in lost[i] for i, p in zip(rows.tolist(), pairs.tolist())])
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The input by position (c0, c1, ...) with shared lines taken out of its text, n_lines (before) and n_dropped."""
+    names, df = docs.columns, positional(docs)
+    at, doc_id = names.index("text"), names.index("doc_id")
+    shared, found = shared_keys(df.select(F.col(f"c{doc_id}").cast("long").alias("doc_id"), F.col(f"c{at}").alias("text")))
+    if shared.count() <= MOST_SHARED:
+        table = shared.toArrow().sort_by("h1")
+        held = docs.sparkSession.sparkContext.broadcast(tuple(np.asarray(table.column(c)).astype(np.int64) for c in ("h1", "h2", "keeper")))
+        return _lose(df, at, len(names), _Broadcast(held, doc_id))
+    lost = found.join(shared, ["h1", "h2"]).select("h1", "h2", "keeper", F.explode("ids").alias("loser")).where("loser <> keeper")
+    lost = lost.groupBy("loser").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))  # at most the lines of one document
+    joined = df.join(lost, df[f"c{doc_id}"] == lost["loser"], "left").select(*df.columns, "lost")
+    return _lose(joined, at, len(names), _Joined(len(names)))
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """The input with shared lines taken out of ``text``, plus n_lines (before) and n_dropped."""
+    return named(cleaned(docs), docs.columns, ("n_lines", "n_dropped"), ("n_lines", "n_dropped"))
+
 
-    out = joined.mapInArrow(apply, f"{fields}, n_lines long, n_dropped long")
-    return out.toDF(*names, "n_lines", "n_dropped")
+def without_shared_lines(docs: DataFrame) -> DataFrame:
+    """The input, all columns as they were, with shared lines taken out of ``text``."""
+    return named(cleaned(docs), docs.columns, (), ())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
