@@ -2,15 +2,19 @@
 
 A window is ``WINDOW`` consecutive words. Each window is represented by the least hash of the 25-word grams inside it
 (equal windows have equal ones, neighbouring windows mostly share theirs, so about one hash in 13 windows is indexed).
-The index is a list of immutable runs, tables of (gram, smallest doc_id) sorted by gram. A batch of documents, in
-ascending doc_id, is turned into a new run, merge-joined with the runs of history, and grams that two documents hold
-go into a Bloom filter of bounded size. The windows that the filter lets through are then derived again from the
-texts of the batch and its history and verified by a 128-bit hash: each task first settles what it can see itself,
-and only each window's first holder in a task is shuffled. Runs of equal level are compacted into one of the next.
-
-Whole copies are settled first: a document whose text an earlier one holds loses every window and needs no index,
-so texts are grouped by a 128-bit hash, and up to ``MOST_COPIES`` later copies are broadcast for the passes to skip;
-beyond that number they go through the passes like other documents, with the same result.
+The index is a folder of immutable runs: tables of (gram, doc_id), bucketed and sorted by gram, one for each batch of
+documents. ``add`` merge-joins a new batch's run with the runs of history, which are neither shuffled nor sorted
+again. Grams that two documents hold are suspects; a Bloom filter sized from their number picks the windows to verify,
+in the batch and in those historical texts alone that the runs name for a suspected gram. Windows are verified by two
+64-bit hashes over independent word hashes: each task first settles what it can see itself, and only each window's
+first holder in a task is shuffled. Two runs of equal level are compacted into one of the next when a later batch
+comes, which then joins the merged run. The list of runs is committed last, so a broken ``add`` leaves the index as it
+was, and a later session that opens the folder goes on from there.
+
+Whole copies are settled first: a document whose text an earlier one holds loses every window and needs no entry, so
+the index keeps a second table a run of (text hashes, first doc_id), bucketed and merge-joined alike. Up to
+``MOST_COPIES`` marks of later copies are broadcast for the passes to skip; beyond that bound copies go through the
+passes like other documents, with the same result.
 
 Defined results: null, empty and short texts hold no window and lose nothing; repeated rows that share a doc_id do
 not erase each other; rows without a doc_id neither give nor lose windows; an empty table gives no rows; extra input
@@ -19,17 +23,21 @@ columns pass through, except that ``n_words``, ``n_removed`` and ``kept_text`` g
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import SCHEMA, Filter, collected, filter_rows
-from .common import documents, dropped, ragged, steps, written
+from .bloom import SCHEMA, Filter, filter_rows, merged, segments_for, small
+from .common import documents, extended, file_system, named, positional, ragged, removed, scratch, steps, written
 
 WINDOW, GRAM = 50, 25
-#: Copies whose 64-bit marks are broadcast (32 MB), and the stretch that stands for all windows of a document.
-MOST_COPIES, ALL = 4_000_000, -1
+#: Copies whose 64-bit marks are broadcast (32 MB), documents whose lost stretches are broadcast to their texts, and
+#: the stretch that stands for all windows of a document.
+MOST_COPIES, MOST_LOSERS, ALL = 4_000_000, 500_000, -1
 #: Odd multipliers of the two polynomial hashes, and of the final mixing.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -59,12 +67,14 @@ _rolling = [_Rolling(b) for b in BASES]
 
 
 def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every word, shape (2, n), and the words of each text."""
     import xxhash
 
     split = [t.split() if t else [] for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for words in split for w in words), np.uint64, int(counts.sum())), counts
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(w) for words in split for w in words]), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both.T), counts
 
 
 def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,71 +99,77 @@ def _derived(texts: list[bytes | None]):
     row, pos, at = _windows(counts)
     if not len(at):
         return row, pos, np.zeros(0, np.uint64), None
-    grams, whole = _rolling[0](words, GRAM, WINDOW)
-    return row, pos, _least(grams)[at], lambda keep: (whole[at[keep]], _rolling[1](words, WINDOW)[0][at[keep]])
+    grams, whole = _rolling[0](words[0], GRAM, WINDOW)
+    return row, pos, _least(grams)[at], lambda keep: (whole[at[keep]], _rolling[1](words[1], WINDOW)[0][at[keep]])
 
 
-def _marks(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each (doc_id, text_key)."""
-    x = (ids.view(np.uint64) * np.uint64(BASES[0])) ^ keys.view(np.uint64)
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
+#: Columns of the documents inside: the mark stands for the row's doc_id and text together.
+_KEYED = ["doc_id", "xxhash64(text) as text_key", "xxhash64(doc_id, text) as mark", "text"]
 
 
 def _texts(batch: pa.RecordBatch, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
     """doc_ids, text keys and texts; those to skip are None."""
-    ids, keys = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
-    texts = batch.column(2).cast(pa.binary()).to_pylist()
+    ids, keys, marks = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1, 2))
+    texts = batch.column(3).cast(pa.binary()).to_pylist()
     if len(skip):
-        marks = _marks(ids, keys)
         for i in np.flatnonzero(skip[np.minimum(np.searchsorted(skip, marks), len(skip) - 1)] == marks).tolist():
             texts[i] = None
     return ids, keys, texts
 
 
-def new_run(docs: DataFrame, skip) -> DataFrame:
-    """(gram, first, last): the batch's representative grams with the smallest and largest doc_id that hold each."""
+def grams(docs: DataFrame, skip) -> DataFrame:
+    """(gram, doc_id): the representative grams of each document, each once, as a rule."""
 
-    def grams(batches):
+    def find(batches):
         for batch in steps(batches, "text", 4 << 20):
             ids, _, texts = _texts(batch, skip.value)
             row, _, gram, _ = _derived(texts)
             fresh = np.ones(len(gram), bool)
             fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-            gram, row = gram[fresh], ids[row[fresh]]
-            order = np.lexsort((row, gram))
-            gram, row = gram[order], row[order]
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(gram)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(gram[starts].view(np.int64)), pa.array(row[starts]), pa.array(row[ends] if len(gram) else row)], ["gram", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[fresh].view(np.int64)), pa.array(ids[row[fresh]])], ["gram", "doc_id"])
+
+    return docs.selectExpr(*_KEYED).mapInArrow(find, "gram long, doc_id long")
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(grams, "gram long, first long, last long")
-    return found.groupBy("gram").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("gram")
 
+def _filter(suspects: DataFrame) -> tuple[list | None, int]:
+    """Marks of a Bloom filter of the suspected grams (None if too many to broadcast) and its segments."""
+    segments = segments_for(suspects.count())
 
-def _filter_of(grams: DataFrame) -> dict[int, bytes]:
     def build(batches):
         found = [np.asarray(b.column(0)).view(np.uint64) for b in batches if b.num_rows]
         hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        yield from filter_rows(hashes, hashes[:0])
+        yield from filter_rows(hashes, hashes[:0], segments)
 
-    return collected(grams.select("gram").mapInArrow(build, SCHEMA), "once")
+    return small(written(merged(suspects.mapInArrow(build, SCHEMA), "once", segments))), segments
 
 
 _FOUND = "w1 long, w2 long, doc_id long, text_key long, first int, last int, settled boolean"
 
 
-def _candidates(docs: DataFrame, segments: dict[int, bytes], after: int, skip) -> DataFrame:
-    """Windows whose gram the filter holds. In each step the smallest document's are listed for the shuffle; stretches
-    of windows of later documents (beyond ``after``) are settled: they go."""
-    shared = docs.sparkSession.sparkContext.broadcast(segments)
+def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after: int, skip) -> DataFrame:
+    """Windows whose gram is suspected. In each step the smallest document's are listed for the shuffle; stretches of
+    windows of later documents (beyond ``after``) are settled: they go. Where the filter is too large to broadcast,
+    ``holders`` (gram, doc_id) gives each document its own suspected grams instead."""
+    marks, segments = _filter(suspects)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    keyed = docs.selectExpr(*_KEYED)
+    if marks is None:
+        own = holders.join(suspects, "gram", "left_semi").groupBy(F.col("doc_id").alias("holder")).agg(F.collect_set("gram").alias("grams"))
+        keyed = keyed.join(own, keyed["doc_id"] == own["holder"]).drop("holder")
 
     def find(batches):
-        known = Filter(shared.value)
+        known = Filter(shared.value, segments) if shared.value is not None else None
         for batch in steps(batches, "text", 4 << 20):
             ids, keys, texts = _texts(batch, skip.value)
             row, pos, gram, verify = _derived(texts)
-            keep = np.flatnonzero(known.holds(gram)) if len(gram) else gram
+            if not len(gram):
+                continue
+            if known:
+                keep = np.flatnonzero(known.holds(gram))
+            else:
+                named = [np.asarray(batch.column(4)[i].values).view(np.uint64) for i in range(len(ids))]
+                edges = np.searchsorted(row, np.arange(len(ids) + 1))
+                keep = np.flatnonzero(np.concatenate([np.isin(gram[a:b], g) for a, b, g in zip(edges, edges[1:], named)]))
             if not len(keep):
                 continue
             row, pos, (w1, w2) = row[keep], pos[keep], verify(keep)
@@ -176,98 +192,143 @@ def _candidates(docs: DataFrame, segments: dict[int, bytes], after: int, skip) -
             for a, b, r, first, last, settled in parts:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[r]), pa.array(keys[r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(r), settled))], ["w1", "w2", "doc_id", "text_key", "first", "last", "settled"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(find, _FOUND)
+    return keyed.mapInArrow(find, _FOUND)
+
+
+def met(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The grams of a new run that an old one holds: a merge join of two sorted runs."""
+    return new.select("gram").join(old.select("gram").hint("merge"), "gram", "left_semi")
+
+
+LOST = "doc_id long, text_key long, first int, last int"
+_TABLES = {"grams": ("gram", "gram BIGINT, doc_id BIGINT"), "texts": ("text_key", "text_key BIGINT, other_key BIGINT, owner BIGINT")}
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (gram, smallest doc_id); ``add`` takes batches in ascending doc_id."""
-
-    def __init__(self):
-        self.runs: list[tuple[int, DataFrame]] = []
-        self.owners: DataFrame | None = None
-        self.copies: list[DataFrame] = []
-
-    def _copies(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, text_key) of the batch's documents whose whole text an earlier document holds."""
-        keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("other_key"))
-        own = keyed.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("owner"))
-        if self.owners is not None:
-            own = self.owners.union(own).groupBy("text_key", "other_key").agg(F.min("owner").alias("owner"))
-        self.owners = written(own)
-        later = keyed.join(self.owners, ["text_key", "other_key"]).where("doc_id > owner").select("doc_id", "text_key")
-        self.copies.append(written(later))
-        return self.copies[-1]
-
-    def _skipped(self, spark: SparkSession):
-        """Broadcast marks of all copies so far, or none if they are too many."""
-        marks = np.zeros(0, np.uint64)
-        if sum(c.count() for c in self.copies) <= MOST_COPIES:
-            found = [c.toArrow() for c in self.copies]
-            ids, keys = (np.concatenate([np.asarray(t.column(i)).astype(np.int64) for t in found]) for i in (0, 1))
-            marks = np.sort(_marks(ids, keys))
-        return spark.sparkContext.broadcast(marks)
-
-    def history(self) -> DataFrame | None:
-        tables = [t for _, t in self.runs]
-        if not tables:
-            return None
-        merged = tables[0]
-        for t in tables[1:]:
-            merged = merged.union(t)
-        return merged
-
-    def add(self, docs: DataFrame, after: int | None, upto: int) -> DataFrame:
-        """Index the documents of (after, upto]; (doc_id, text_key, first, last): stretches of windows that they lose.
-
-        ``docs`` holds the history as well: its texts verify what the runs suggest.
-        """
-        low = after if after is not None else -(1 << 63)
-        fresh = docs.where(F.col("doc_id") <= upto)
-        batch = fresh if after is None else fresh.where(F.col("doc_id") > after)
-        whole = self._copies(batch)
-        skip = self._skipped(docs.sparkSession)
-        run = written(new_run(batch, skip))
-        past = self.history()
-        shared = run.where("first < last").select("gram")
-        if past is not None:
-            shared = shared.union(run.join(past.select("gram"), "gram", "left_semi").select("gram"))
-        found = written(_candidates(fresh, _filter_of(shared), low, skip))
+    """Immutable bucketed and sorted runs in ``folder``; opening a folder that holds an index goes on with it.
+
+    ``add`` takes batches in ascending doc_id. A state file lists the runs; it is written last."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        system, root = file_system(spark, self.folder)
+        states = sorted(s.getPath().toString() for s in system.listStatus(root)) if system.exists(root) else []
+        states = [s for s in states if "/state-" in s and system.exists(file_system(spark, s + "/_SUCCESS")[1])]
+        if states:
+            self.state = json.loads(spark.read.text(states[-1]).first()[0])
+        else:
+            self.state = {"version": 0, "upto": None, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": []}
+
+    def _write(self, kind: str, rows: DataFrame, path: str) -> None:
+        """One file for each bucket, sorted, so that readers need neither exchange nor sort."""
+        key, n, name = _TABLES[kind][0], self.state["buckets"], f"run_{uuid.uuid4().hex}"
+        rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # external: the files stay
+
+    def run(self, kind: str, path: str) -> DataFrame:
+        """A run as a table; in a new session it is declared again."""
+        key, columns = _TABLES[kind]
+        name = f"run_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # buckets of one file keep their order
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def history(self, kind: str) -> list[DataFrame]:
+        return [self.run(kind, r[kind]) for r in self.state["runs"]]
+
+    def _copies(self, docs: DataFrame, path: str) -> DataFrame:
+        """(mark, doc_id, text_key) of the batch's documents whose whole text an earlier document holds."""
+        keyed = docs.selectExpr(*_KEYED[:3], "xxhash64(1, text) as other_key")
+        first = written(keyed.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("owner")))
+        self._write("texts", first, path)
+        own, both = self.run("texts", path), ["text_key", "other_key"]
+        for past in self.history("texts"):
+            past = past.select(F.col("text_key").alias("k"), F.col("other_key").alias("o"), F.col("owner").alias("before"))
+            own = own.join(past.hint("merge"), (own["text_key"] == past["k"]) & (own["other_key"] == past["o"]), "left").select(*both, F.least("owner", "before").alias("owner"))
+        return written(keyed.join(own, both).where("doc_id > owner").select("mark", "doc_id", "text_key"))
+
+    def add(self, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Index new documents (doc_id, text); LOST: stretches of windows that they lose.
+
+        ``known`` are the documents added before, of which only those are read that hold a suspected gram."""
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is None:
+            return self.spark.createDataFrame([], LOST)
+        upto = self.state["upto"]
+        if upto is not None and low <= upto:
+            raise ValueError(f"doc_id {low} is not beyond {upto}, the largest in the index")
+        self._compact()
+        level = f"{self.folder}/run-{uuid.uuid4().hex}"
+        copies = self._copies(docs, f"{level}/texts")
+        marks = np.zeros(0, np.int64)
+        if copies.count() <= MOST_COPIES:
+            marks = np.sort(np.asarray(copies.select("mark").toArrow().column(0)).astype(np.int64))
+        skip = self.spark.sparkContext.broadcast(marks)
+        self._write("grams", grams(docs, skip), f"{level}/grams")
+        run, past = self.run("grams", f"{level}/grams"), self.history("grams")
+        shared = [run.groupBy("gram").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")).where("shared").select("gram")]
+        shared += [met(run, old) for old in past]
+        suspects = written(_union(shared).distinct())
+        after = upto if upto is not None else -(1 << 63)
+        found = _candidates(docs, suspects, run, after, skip)
+        if past and known is not None:
+            # the runs say which historical documents hold a suspected gram
+            holders = [old.join(suspects, "gram", "left_semi") for old in past]
+            holders = written(_union(holders))
+            named_ids = holders.select("doc_id").distinct()
+            old_docs = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id") <= upto).join(named_ids, "doc_id", "left_semi")
+            found = found.union(_candidates(old_docs, suspects, holders, after, self.spark.sparkContext.broadcast(np.zeros(0, np.int64))))
+        found = written(found)
         open_rows = found.where("not settled")
         firsts = open_rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("w1", "w2", "owner")
-        lost = open_rows.join(firsts, ["w1", "w2"]).where((F.col("doc_id") > F.col("owner")) & (F.col("doc_id") > low))
+        lost = open_rows.join(firsts, ["w1", "w2"]).where((F.col("doc_id") > F.col("owner")) & (F.col("doc_id") > after))
         columns = ["doc_id", "text_key", "first", "last"]
-        self.runs.append((0, run.select("gram", "first")))
-        self._compact()
-        copies = whole.select("doc_id", "text_key", F.lit(0).alias("first"), F.lit(ALL).alias("last"))
-        return lost.select(columns).union(found.where("settled").select(columns)).union(copies)
+        whole = copies.select("doc_id", "text_key", F.lit(0).alias("first"), F.lit(ALL).alias("last"))
+        self._commit([*self.state["runs"], {"level": 0, "grams": f"{level}/grams", "texts": f"{level}/texts"}], high)
+        return lost.select(columns).union(found.where("settled").select(columns)).union(whole)
+
+    def _commit(self, runs: list[dict], upto: int | None) -> None:
+        self.state |= {"version": self.state["version"] + 1, "runs": runs, "upto": upto}
+        state = self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1)
+        state.write.text(f"{self.folder}/state-{self.state['version']:08d}")
 
     def _compact(self) -> None:
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (level, a), (_, b) = self.runs[-2:]
-            merged = written(a.union(b).groupBy("gram").agg(F.min("first").alias("first")).sortWithinPartitions("gram"))
+        """Merge the last two runs while their levels agree; old files go once the new state is written."""
+        while len(runs := self.state["runs"]) > 1 and runs[-1]["level"] == runs[-2]["level"]:
+            a, b = runs[-2:]
+            new, path = {"level": a["level"] + 1}, f"{self.folder}/run-{uuid.uuid4().hex}"
+            for kind in _TABLES:
+                rows = self.run(kind, a[kind]).union(self.run(kind, b[kind]))
+                if kind == "texts":
+                    rows = rows.groupBy("text_key", "other_key").agg(F.min("owner").alias("owner"))
+                new[kind] = f"{path}/{kind}"
+                self._write(kind, rows, new[kind])
+            self._commit([*runs[:-2], new], self.state["upto"])
             for old in (a, b):
-                dropped(old)
-            self.runs[-2:] = [(level + 1, merged)]
+                for kind in _TABLES:
+                    self.spark.sql(f"DROP TABLE IF EXISTS run_{uuid.uuid5(uuid.NAMESPACE_URL, old[kind]).hex}")
+                    removed(self.spark, old[kind])
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """The input columns, n_words, n_removed and kept_text (words joined by one space)."""
-    docs = docs.drop("n_words", "n_removed", "kept_text")
-    shares = [(i + 1) / batches for i in range(batches - 1)]
-    row = docs.agg(F.percentile_approx("doc_id", shares or [0.5]).alias("cuts"), F.max("doc_id").alias("most")).first()
-    spark, lost = docs.sparkSession, None
-    if row["most"] is not None:
-        index, after = FingerprintIndex(), None
-        for upto in sorted({*(row["cuts"] if shares else []), row["most"]}):
-            part = index.add(docs.select("doc_id", "text"), after, upto)
-            lost, after = part if lost is None else lost.union(part), upto
-    if lost is None:
-        lost = spark.createDataFrame([], "doc_id long, text_key long, first int, last int")
-    lost = lost.groupBy(F.col("doc_id").alias("loser"), F.col("text_key").alias("lost_key")).agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(lost, (docs["doc_id"] == lost["loser"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left")
-    joined = joined.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], "firsts", "lasts")
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def without_windows(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The input by position (c0, c1, ...), n_words, n_removed and kept_text, given LOST of its documents.
+
+    Texts stay where they are if few documents lose anything, else they meet their stretches in a shuffle."""
+    names, df = docs.columns, positional(docs)
+    at, doc_id = names.index("text"), f"c{names.index('doc_id')}"
+    lists = lost.groupBy(F.col("doc_id").alias("loser"), F.col("text_key").alias("lost_key")).agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    lists = written(lists)
+    if lists.count() <= MOST_LOSERS:
+        lists = F.broadcast(lists)
+    joined = df.join(lists, (df[doc_id].cast("long") == F.col("loser")) & (F.xxhash64(df[f"c{at}"]) == F.col("lost_key")), "left").select(*df.columns, "firsts", "lasts")
 
     def apply(batches):
         for batch in steps(batches, f"c{at}"):
@@ -288,7 +349,36 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
                 kept_text.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string())], [*(f"c{i}" for i in range(len(names))), "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(apply, f"{fields}, n_words long, n_removed long, kept_text string").toDF(*names, "n_words", "n_removed", "kept_text")
+    return joined.mapInArrow(apply, extended(df, "n_words long, n_removed long, kept_text string"))
+
+
+def cleaned(docs: DataFrame, batches: int = 3, folder: str | None = None) -> DataFrame:
+    """``without_windows`` of documents that enter a new index in so many batches of ascending doc_id."""
+    spark, names = docs.sparkSession, docs.columns
+    df = positional(docs).select(F.col(f"c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
+    shares = [(i + 1) / batches for i in range(batches - 1)]
+    row = df.agg(F.percentile_approx("doc_id", shares or [0.5]).alias("cuts"), F.max("doc_id").alias("most")).first()
+    lost = [spark.createDataFrame([], LOST)]
+    if row["most"] is not None:
+        index, after = FingerprintIndex(spark, folder or scratch(spark)), None
+        for upto in sorted({*(row["cuts"] if shares else []), row["most"]}):
+            batch = df.where(F.col("doc_id") <= upto)
+            lost.append(index.add(batch if after is None else batch.where(F.col("doc_id") > after), df))
+            after = upto
+    return without_windows(docs, _union(lost))
+
+
+def substring_dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
+    """The input columns, n_words, n_removed and kept_text (words joined by one space)."""
+    own = ("n_words", "n_removed", "kept_text")
+    return named(cleaned(docs, batches), docs.columns, own, own)
+
+
+def without_repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
+    """The input, all columns as they were, but for texts that lose words."""
+    at = f"c{docs.columns.index('text')}"
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(at))
+    return named(cleaned(docs, batches).withColumn(at, text), docs.columns, (), ())
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,4 +387,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_substring_dedup": op7_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_substring_dedup": rf"""
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM split, unnest(range(1, len(w) - {WINDOW - 2})) AS r(i)
+), firsts AS (
+    SELECT h, min(doc_id) AS owner FROM windows GROUP BY h
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN firsts USING (h), range({WINDOW}) AS o(k) WHERE doc_id > owner
+), words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM split
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)
+"""
+}
