@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
+#: Nodes that a task holds before it writes its forest and starts another.
+MOST_NODES = 1 << 20
+
 
 def _forest(batches):
-    """A spanning forest of this partition's edges, each node linked to the smallest of its tree."""
+    """Spanning forests of this partition's edges, each node linked to the smallest of its tree. A forest of more than
+    MOST_NODES nodes is written and forgotten, so memory is bounded; later rounds connect what two forests share."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -21,15 +25,21 @@ def _forest(batches):
             parent[x], x = top, parent[x]
         return top
 
+    def rows():
+        nodes = [n for n in parent if root(n) != n]
+        for i in range(0, len(nodes), 1 << 16):
+            part = nodes[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[n] for n in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(parent.setdefault(a, a) if a not in parent else a), root(parent.setdefault(b, b) if b not in parent else b)
+            a, b = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [n for n in parent if root(n) != n]
-    for i in range(0, len(nodes), 1 << 16):
-        part = nodes[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[n] for n in part], pa.int64())], ["a", "b"])
+        if len(parent) > MOST_NODES:
+            yield from rows()
+            parent.clear()
+    yield from rows()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ fingerprints agree on at least one whole segment (pigeonhole), and the next segm
 perfect [23,12] Golay code decodes each 23-bit word to one codeword, so two words at most two bits apart have a word
 between them, at most one bit from both, that decodes to the same codeword: the codeword indices of a segment's
 one-bit neighbourhood (one or six, as a rule) are keys that the two share. A key is (segment number, that whole
-segment, codeword index of the next). Equal keys are joined and every pair is verified.
+segment, codeword index of the next).
 
-A key with more than ``PAIRS_UP_TO`` fingerprints is not paired: its fingerprints are listed at each of the 65 words
-within one bit, where two fingerprints meet exactly if they differ in at most two bits; at most 65 meet at a word, and
-each links to the smallest. So no link is lost and no bucket makes pairs with the square of its size.
+Fingerprints that share a key with another are candidates, whatever the size of the key's bucket. Buckets are not
+paired: each candidate is listed at itself and at the 64 words one bit away, where two fingerprints meet exactly if they
+differ in at most two bits. At most 65 distinct ones can meet at a word, the smallest is verified against the others and
+linked, so no link is lost and no bucket makes pairs with the square of its size.
 
 Defined results: null or empty text and text without words has fingerprint zero and links like any other; repeated
 rows and equal doc_ids each get a row; a null doc_id is never the smallest of a component that has another; an empty
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, steps, written
+from .common import documents, positional, steps, written
 from .components import components
 
-SHINGLE, SEED, MOST_BITS, PAIRS_UP_TO = 3, 42, 2, 32
+SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Generator polynomial of the binary [23,12,7] Golay code.
 GOLAY = 0xC75
 #: Width and lowest bit of each segment.
@@ -141,16 +142,13 @@ def _keyed(batches):
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column ``print``) that connect all that link, possibly repeated."""
     keys = written(prints.mapInArrow(_keyed, "key long, print long"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = written(keys.join(shared, "key"))
-    few = keyed.where(f"n <= {PAIRS_UP_TO}").select("key", "print")
-    other = few.select(F.col("key").alias("other_key"), F.col("print").alias("other"))
-    pairs = few.join(other, F.expr(f"key = other_key and print < other and bit_count(print ^ other) <= {MOST_BITS}")).select(F.col("print").alias("a"), F.col("other").alias("b"))
-    many = keyed.where(f"n > {PAIRS_UP_TO}").select("print").distinct()
-    around = many.select("print", F.explode(F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")).alias("word"))
-    met = around.groupBy("word").agg(F.collect_list("print").alias("prints")).where("size(prints) > 1")  # 65 at most
-    stars = met.select(F.array_min("prints").alias("a"), F.explode("prints").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    # a key's count and the join on it are combined before the shuffle; Spark splits a crowded key in the join
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    near = keys.join(shared, "key", "left_semi").select("print").distinct()
+    around = near.select("print", F.explode(F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")).alias("word"))
+    firsts = around.groupBy("word").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = around.join(firsts, "word").where(f"a <> print and bit_count(a ^ print) <= {MOST_BITS}")
+    return met.select("a", F.col("print").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,6 +162,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return table.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The input, all columns as they were, less the documents whose component has a smaller doc_id.
+
+    Only the doc_ids that go are joined; Spark broadcasts them where they are few. Rows that repeat a doc_id stay or go
+    together: they go if one of them has a smaller doc_id in its component. Rows without one, which cannot be told apart,
+    stay."""
+    df, at = positional(docs), f"c{docs.columns.index('doc_id')}"
+    table = df.select(F.col(at).cast("long").alias("doc_id"), F.col(f"c{docs.columns.index('text')}").alias("text"))
+    found = written(near_duplicates(table))
+    gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct())
+    return df.join(gone, df[at].cast("long") == gone["gone"], "left_anti").toDF(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
