@@ -77,8 +77,9 @@ def _passes(ratio: str, least: float | None, most: float | None) -> str:
 
 
 def judged(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFrame:
-    """(row, measures, ok_<rule>, base_failed, kept): the whole input row as a struct beside its verdict."""
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    """(row, measures, ok_<rule>, base_failed, kept): the whole input row as a struct (c0, c1, ...) beside its verdict."""
+    df = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # by position: any name will do
+    df = df.select(F.struct(*df.columns).alias("row"), F.col(f"c{docs.columns.index(text)}").alias("text"))
     for layer in _measures("text"):
         names = [name for name, _ in layer]
         df = df.select(*[c for c in df.columns if c not in names], *[F.expr(sql).alias(name) for name, sql in layer])
@@ -95,12 +96,12 @@ def judged(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFram
 def quality_rules(docs: DataFrame, rules: list = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, measures, ``base_failed``, a boolean per rule, ``kept``."""
     df = judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rules)
-    return df.select("row.doc_id", *df.columns[1:])
+    return df.select(F.col("row.c0").alias("doc_id"), *df.columns[1:])
 
 
 def kept_documents(docs: DataFrame, rules: list = RULES, text: str = "text") -> DataFrame:
     """The input rows, all columns, that the rules keep."""
-    return judged(docs, rules, text).where("kept").select("row.*")
+    return judged(docs, rules, text).where("kept").select("row.*").toDF(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +109,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+_FORMS = ", ".join(f"'{form}'" for w in STOP_WORDS for form in dict.fromkeys((w, w.capitalize())))
+_CHECKS = {f"ok_{name}": _passes(ratio, least, most).replace("D", "") for name, ratio, least, most in RULES}
+ORACLE_SQL = {
+    "op3_quality_rules": rf"""
+WITH split AS (
+    SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+    SELECT doc_id, i, w[i:i + {WINDOW - 1}] AS h FROM split, unnest(range(1, len(w) - {WINDOW - 2})) AS r(i)
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS met FROM windows), range({WINDOW}) AS o(k) WHERE met > 1 GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
+           len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(list_filter(w, lambda x: x IN ({_FORMS}))) AS n_stop_words,
+           coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN covered USING (doc_id)
+), based AS (
+    SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured
+), ruled AS (
+    SELECT *, {", ".join(f"CASE WHEN base_failed THEN false ELSE {sql} END AS {name}" for name, sql in _CHECKS.items())} FROM based
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {", ".join(_CHECKS)}, NOT base_failed AND {" AND ".join(_CHECKS)} AS kept FROM ruled
+"""
+}
