@@ -74,7 +74,7 @@ def line_dedup(rows):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= 40:
                 held.setdefault(k, []).append(d)
-    keeper = {k: max(ds) for k, ds in held.items() if len(ds) >= 5}
+    keeper = {k: max(ds) for k, ds in held.items() if len(set(ds)) >= 5}
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbase.llm import bpe, components, line_dedup, packing, quality, simhash, substring_dedup, token_file, tokens, toxicity
+from lumenbase.llm import bloom, bpe, components, line_dedup, packing, quality, simhash, substring_dedup, token_file, tokens, toxicity
 from lumenbase.llm.common import scratch
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -57,6 +57,51 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_beyond_broadcast_bounds(docs, rows, monkeypatch):
+    """Suspects found by a shuffle of bit numbers, lost keys joined with their documents."""
+    monkeypatch.setattr(line_dedup, "MOST_SHARED", 0)
+    monkeypatch.setattr(bloom, "MOST_MARKS", 0)
+    assert found(line_dedup.line_dedup(docs), "doc_id", "n_lines", "n_dropped", "text") == sorted(brute.line_dedup(rows), key=repr)
+
+
+def test_line_dedup_counts_documents(spark):
+    """Repeated rows count once; rows without a doc_id neither count nor lose lines."""
+    line = "a line that several documents hold, more than forty characters of it"
+    rows = [(1, line), (1, line), (2, line), (3, line), (4, line), (None, line), (None, line)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.line_dedup(make(rows)).where("n_dropped > 0").count() == 0
+    out = found(line_dedup.line_dedup(make([*rows, (5, line)])), "doc_id", "n_dropped")
+    assert out == sorted([(d, int(d is not None and d < 5)) for d, _ in [*rows, (5, line)]], key=repr)
+
+
+@pytest.mark.parametrize("bits", [1, 20])
+def test_filter_load(spark, monkeypatch, bits):
+    """At the size that is chosen few unique hashes are suspected; at a twentieth of it more, and none is missed either way."""
+    monkeypatch.setattr(bloom, "BITS_PER_KEY", bits)
+    rng = np.random.default_rng(3)
+    unique, again = rng.integers(-(1 << 63), 1 << 63, 20000), rng.integers(-(1 << 63), 1 << 63, 300)
+    keys = spark.createDataFrame([(int(h), 0, [1]) for h in [*unique, *again, *again]], "h1 long, h2 long, ids array<long>").repartition(6)
+    segments = bloom.segments_for(20300)
+    out = {r["h1"] for r in bloom.suspected(keys, "h1", line_dedup.seen_twice(keys, segments), segments).collect()}
+    assert out >= set(again.tolist())
+    false = len(out - set(again.tolist())) / len(unique)
+    assert false < 0.02 if bits == 20 else false > 0.1
+
+
+def test_clashing_names_keep_their_values(docs, rows):
+    """Columns named like those inside, with dots and with blanks, pass through every operator that passes columns."""
+    import corpus_pipeline
+
+    names = ["firsts", "lasts", "lost", "a.b", "n words", "n_words", "n_lines", "n_removed", "kept_text", "loser", "h1", "mark", "first_id"]
+    wide = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names])
+    mine = lambda df, own: found(df.select("doc_id", *[f"`{n}`" for n in names if n not in own]), "*")
+    for out, own in ((line_dedup.line_dedup(wide), ("n_lines",)), (substring_dedup.substring_dedup(wide), ("n_words", "n_removed", "kept_text"))):
+        assert mine(out, own) == mine(wide, own)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(docs.sparkSession, wide, "")
+        assert out.columns == wide.columns and out.where(" or ".join(f"`{n}` <> concat('{n} of ', doc_id)" for n in names)).count() == 0
+
+
 def test_substring_dedup(docs, rows, none):
     want = sorted(brute.substring_dedup(repeated(rows)), key=repr)
     assert sum(w[2] for w in want) > 400
@@ -68,25 +113,51 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup.substring_dedup(nulls).where("n_removed > 0").count() == 0
 
 
-def test_substring_without_broadcast_copies(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MOST_COPIES", 0)
+def test_substring_beyond_broadcast_bounds(docs, rows, monkeypatch):
+    """Copies that no task skips, stretches joined by a shuffle, suspected grams beside each text instead of a filter."""
+    for name in ("MOST_COPIES", "MOST_LOSERS"):
+        monkeypatch.setattr(substring_dedup, name, 0)
+    monkeypatch.setattr(bloom, "MOST_MARKS", 0)
     out = substring_dedup.substring_dedup(docs, 3)
     assert found(out, "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.substring_dedup(rows), key=repr)
 
 
-@pytest.mark.parametrize("pairs", [1, 32])
-def test_simhash(docs, rows, none, monkeypatch, pairs):
-    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs)
+def test_substring_index_in_later_calls(spark, docs, rows):
+    """Three batches, each by an index that opens the folder anew; the third joins the compacted run of the first two."""
+    folder, lost = scratch(spark), []
+    edges = [0, 22, 40, 10**6]
+    for low, high in zip(edges, edges[1:]):
+        index = substring_dedup.FingerprintIndex(spark, folder)
+        lost.append(index.add(docs.where(f"doc_id >= {low} and doc_id < {high}"), docs))
+    assert [r["level"] for r in substring_dedup.FingerprintIndex(spark, folder).state["runs"]] == [1, 0]
+    out = substring_dedup.without_windows(docs, substring_dedup._union(lost))
+    assert found(out.select(*[f"c{i}" for i in (0,)], "n_words", "n_removed", "kept_text"), "c0", "n_words", "n_removed", "kept_text") == sorted(brute.substring_dedup(rows), key=repr)
+    with pytest.raises(ValueError):
+        index.add(docs.where("doc_id = 30"), docs)
+
+
+def test_substring_history_is_not_shuffled(spark, docs):
+    """The merge join of a new run with one of history has neither an exchange nor a sort."""
+    index = substring_dedup.FingerprintIndex(spark, scratch(spark), 4)
+    index.add(docs.where("doc_id < 25"), docs)
+    index.add(docs.where("doc_id >= 25"), docs)
+    new, old = index.history("grams")[::-1]
+    joined = substring_dedup.met(new, old)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_simhash(docs, rows, none):
     got = found(simhash.near_duplicates(twice(docs)), "doc_id", "fingerprint", "component_id")
     assert got == sorted(brute.simhash(repeated(rows)), key=repr)
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("pairs", [1, 8, 10**6])
-def test_links_lose_none(spark, monkeypatch, pairs):
-    """Random walks of one-bit steps: dense buckets, every link within two bits must connect."""
-    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs)
-    rng = np.random.default_rng(pairs)
+@pytest.mark.parametrize("seed, most", [(1, 1 << 20), (8, 10), (10**6, 100)])
+def test_links_lose_none(spark, monkeypatch, seed, most):
+    """Random walks of one-bit steps: dense buckets, every link within two bits must connect, in forests of any size."""
+    monkeypatch.setattr(components, "MOST_NODES", most)
+    rng = np.random.default_rng(seed)
     prints = []
     for _ in range(30):
         x = rng.integers(0, 1 << 63, dtype=np.uint64)
