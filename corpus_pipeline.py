@@ -1,17 +1,18 @@
 """A corpus pipeline of five stages: quality rules, line dedup, SimHash near-dedup, substring dedup, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; ``run`` writes each result to
-the shared folder and reads it again. Documents are identified by doc_id: rows that repeat one stay or go together.
-All stages but the last return the columns of the documents they were given.
+the shared folder and reads it again. All stages but the last return the columns of the documents they were given, with
+whatever names and values. Documents are identified by doc_id: rows that repeat one stay or go together. Null, empty and
+short texts fail the quality rules and go there; rows without a doc_id lose no lines and no passages and are dropped by the
+quality rules only; very long texts are handled whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenbase.llm import line_dedup, packing, quality, simhash, substring_dedup
-from lumenbase.llm.common import share_code, written
+from lumenbase.llm.common import removed, scratch, share_code, temporary, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,22 +24,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that another document keeps."""
     share_code(spark)
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.without_shared_lines(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
     share_code(spark)
-    firsts = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first_id"]), "left_semi")
+    return simhash.without_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; a text that loses nothing stays as it is."""
     share_code(spark)
-    found = substring_dedup.substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return substring_dedup.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +55,20 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Tokenizing cannot be said in SQL; tests/llm/test_pipeline.py holds the result against a plain program.
+#: Tokenizing cannot be said in SQL; tests/llm/test_tables.py holds the result against plain programs.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's own intermediate tables and its input go once its result is written; those of the last stay, as its
+    result is read from them."""
     share_code(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = scratch(spark)
+        with temporary(spark):
+            docs = written(stage(spark, docs, sf_dir), path=path)
+        if old:
+            removed(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
