@@ -1,10 +1,13 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Host, path, rule and features are Spark SQL expressions. Labelled URLs are those that a rule decides, or any table with
-a ``label``. Suffix statistics (how often URLs with a host suffix are blocked, smoothed) count all labelled rows, in
-``SUFFIX_SLOTS`` hashed slots so that their size is fixed. The trees (second-order boosting on feature histograms) are
-fitted in numpy on at most ``SAMPLE`` labelled rows, those with the smallest hashes, and compiled to CASE expressions,
-so that scoring is a projection without user functions or shuffles.
+a ``label``. Beside the lexical features stand smoothed suffix statistics: how often labelled URLs with the same last one,
+two or three labels of the host, or the same first part of the path, are blocked, and how many there are. They count all
+labelled rows in ``SLOTS`` hashed slots a kind, so their size is fixed. Rows that the trees are fitted on get them from the
+other ``FOLDS`` only, and one fold each sees none of the host's statistics, only the last label's, or none of the
+path's, so that the trees also learn what to do with hosts and paths that nobody has labelled. The trees (second-order
+boosting on feature histograms) are fitted in numpy on at most ``SAMPLE`` labelled rows, those with the smallest hashes,
+and compiled to CASE expressions, so that scoring is a projection without user functions or shuffles.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, and is judged by the trees
 like any other; repeated rows are judged alike; without labelled rows of both kinds every verdict is that of the kind
@@ -21,7 +24,7 @@ from .common import share_code
 
 #: action, host, path
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-SAMPLE, SUFFIX_SLOTS, PRIOR = 20_000, 1024, 8
+SAMPLE, SLOTS, FOLDS, PRIOR = 20_000, 4096, 5, 8
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT = 30, 4, 32, 0.3, 1.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,18 +63,51 @@ FEATURES = {
     "fragment": "cast(instr(address, '#') > 0 as int)",
     "secure": "cast(startswith(address, 'https') as int)",
     "first_segment_length": "length(regexp_extract(path, '^/([^/]*)', 1))",
-    "first_segment_hash": "pmod(hash(regexp_extract(path, '^/([^/]*)', 1)), 61)",
 }
-SUFFIX = f"pmod(xxhash64(element_at(split(host, '[.]'), -1)), {SUFFIX_SLOTS})"
-
-
-def features(pages: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
-    """Adds the feature columns f0.. (doubles) to rows with url, host and path; ``shares`` has slot and share, one row
-    a slot at most, so it is broadcast."""
+#: What statistics are kept of, and the folds that see none of them in the fit.
+KINDS = {
+    "label1": ("substring_index(host, '.', -1)", {0}),
+    "label2": ("substring_index(host, '.', -2)", {0, 1}),
+    "label3": ("substring_index(host, '.', -3)", {0, 1}),
+    "segment": ("regexp_extract(path, '^/([^/]*)', 1)", {2}),
+}
+FOLD, ALL = f"cast(pmod(xxhash64(url), {FOLDS}) as int)", -1
+N_FEATURES = len(FEATURES) + 2 * len(KINDS)
+
+
+def _slot(kind: str) -> str:
+    return f"cast(pmod(xxhash64({KINDS[kind][0]}), {SLOTS}) as int)"
+
+
+def statistics(known: DataFrame) -> tuple[DataFrame | None, float | None]:
+    """(kind, slot, fold, share, seen) of labelled rows, where a fold's figures leave its own rows out and ALL has every
+    row; and the share of blocked rows overall. At most SLOTS * FOLDS counts a kind come to the driver."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(_slot(k)).alias("slot")) for k in KINDS])).alias("k")
+    counts = known.select(each, F.expr(FOLD).alias("fold"), "label").groupBy("k.kind", "k.slot", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
+    one = [r for r in counts if r["kind"] == "label1"]
+    total, blocked = sum(r["n"] for r in one), sum(r["blocked"] for r in one)
+    if not 0 < blocked < total:
+        return None, float(total > 0 and blocked > 0)
+    prior, sums = blocked / total, {}
+    for r in counts:
+        for fold in [ALL, *(f for f in range(FOLDS) if f != r["fold"] and f not in KINDS[r["kind"]][1])]:
+            n, b = sums.get((r["kind"], r["slot"], fold), (0, 0))
+            sums[r["kind"], r["slot"], fold] = n + r["n"], b + r["blocked"]
+    rows = [(*key, (b + PRIOR * prior) / (n + PRIOR), float(np.log1p(n))) for key, (n, b) in sums.items()]
+    return known.sparkSession.createDataFrame(rows, "kind string, slot int, fold int, share double, seen double"), prior
+
+
+def features(pages: DataFrame, shares: DataFrame, prior: float, fold: str = str(ALL)) -> DataFrame:
+    """Adds the feature columns f0.. (doubles) to rows with url, host and path. ``shares`` comes from ``statistics``, a
+    bounded number of rows, so it is broadcast; what it does not know has the prior share and is seen zero times."""
     df = pages.withColumn("address", F.coalesce("url", F.lit("")))
-    df = df.select("*", *[F.expr(f"cast({sql} as double)").alias(f"f{i}") for i, sql in enumerate(FEATURES.values())], F.expr(SUFFIX).alias("slot"))
-    df = df.join(F.broadcast(shares), "slot", "left").withColumn(f"f{len(FEATURES)}", F.coalesce("share", F.lit(prior)))
-    return df.drop("address", "slot", "share")
+    df = df.select("*", *[F.expr(f"cast({sql} as double)").alias(f"f{i}") for i, sql in enumerate(FEATURES.values())], F.expr(fold).alias("_fold"))
+    for i, kind in enumerate(KINDS):
+        own = shares.where(F.col("kind") == kind).select(F.col("slot").alias("_slot"), F.col("fold").alias("_of"), F.col("share").alias("_share"), F.col("seen").alias("_seen"))
+        df = df.join(F.broadcast(own), (F.expr(_slot(kind)) == F.col("_slot")) & (F.col("_fold") == F.col("_of")), "left")
+        at = len(FEATURES) + 2 * i
+        df = df.withColumn(f"f{at}", F.coalesce("_share", F.lit(prior))).withColumn(f"f{at + 1}", F.coalesce("_seen", F.lit(0.0))).drop("_slot", "_of", "_share", "_seen")
+    return df.drop("address", "_fold")
 
 
 class Trees:
@@ -132,20 +168,14 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labe
         known = rows.where("ruled is not null").select("url", "host", "path", F.expr("cast(ruled = 'block' as int)").alias("label"))
     else:
         known = parsed(labelled.select("url", "label").where("label is not null"))
-    # at most SUFFIX_SLOTS rows
-    slots = known.groupBy(F.expr(SUFFIX).alias("slot")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
-    total, blocked = sum(r["n"] for r in slots), sum(r["blocked"] for r in slots)
-    if not 0 < blocked < total:
-        scored = rows.withColumn("block_score", F.lit(float(total > 0 and blocked > 0)))
+    shares, prior = statistics(known)
+    if shares is None:
+        scored = rows.withColumn("block_score", F.lit(prior))
     else:
-        prior = blocked / total
-        shares = pages.sparkSession.createDataFrame([(r["slot"], (r["blocked"] + PRIOR * prior) / (r["n"] + PRIOR)) for r in slots], "slot long, share double")
-        names = [f"f{i}" for i in range(len(FEATURES) + 1)]
         sample = known.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)
-        fit = features(sample, shares, prior).select("label", *names).collect()
+        fit = features(sample, shares, prior, FOLD).select("label", *[f"f{i}" for i in range(N_FEATURES)]).collect()
         data = np.array([tuple(r) for r in fit], np.float64)
-        trees = Trees(data[:, 1:], data[:, 0])
-        scored = features(rows, shares, prior).withColumn("block_score", F.expr(trees.sql()))
+        scored = features(rows, shares, prior).withColumn("block_score", F.expr(Trees(data[:, 1:], data[:, 0]).sql()))
     verdict = F.coalesce("ruled", F.expr("case when block_score >= 0.5 then 'block' else 'allow' end"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
 

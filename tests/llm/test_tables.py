@@ -137,6 +137,71 @@ def test_trees_learn(spark):
     assert out.where("(verdict = 'block') = (label = 1)").count() >= 0.85 * out.count()
 
 
+def _judged(spark, fit, held):
+    """Accuracy on labelled rows that the fit has not seen, by trees alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    known = url_filter.url_filter(pages).where("rule is not null").select("page_id", "host", "path", F.expr("cast(verdict = 'block' as int)").alias("label")).join(pages, "page_id").cache()
+    out = url_filter.url_filter(known.where(held), rules=[], labelled=known.where(fit).select("url", "label")).join(known.select("page_id", "label"), "page_id")
+    return out.where("(verdict = 'block') = (label = 1)").count() / out.count()
+
+
+def test_trees_on_new_hosts_and_paths(spark):
+    """Hosts of which no URL is in the fit, and a first part of the path that no URL of the fit has."""
+    assert _judged(spark, "pmod(hash(host), 3) <> 0", "pmod(hash(host), 3) = 0") >= 0.9
+    assert _judged(spark, "path not like '/fr/%'", "path like '/fr/%'") >= 0.45  # a new path tells nothing: com/fr is allowed, net/fr blocked
+
+
+def test_verdicts_without_a_rule_differ(spark):
+    """Where no rule fits, what resembles allowed URLs is allowed and what resembles blocked ones is blocked."""
+    out = url_filter.op6_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").cache()
+    block = {r["of"]: r["share"] for r in out.groupBy(F.expr("substring_index(host, '.', -1) || substr(path, 1, 3)").alias("of")).agg(F.avg(F.expr("if(verdict = 'block', 1, 0)")).alias("share")).collect()}
+    assert block["org/en"] > 0.9 and block["org/de"] < 0.1
+    assert 0.1 < out.where("verdict = 'block'").count() / out.count() < 0.95
+
+
+def test_features_and_compiled_trees(spark):
+    """Feature columns against plain Python, the CASE expression against a walk down the trees."""
+    import math
+    import re
+
+    urls = [u for u in URLS if u] + ["https://www.a.example.com/en/12/x.html?page=2&ref=x#top", "http://m.b.org/de/7"]
+    known = url_filter.parsed(spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, label int"))
+    shares, prior = url_filter.statistics(known)
+    rows = url_filter.features(known, shares, prior).collect()
+    for r in rows:
+        u, host, path, _ = r["url"], *expected(r["url"])[:3]
+        args = u.split("?", 1)[1] if "?" in u else None
+        seg = re.match("/([^/]*)", path)
+        want = [len(u), len(host), len(path), len(host.split(".")), path.count("/"), len(re.sub("[^0-9]", "", u)) / max(1, len(u)), len(re.sub("[^0-9]", "", path)) / max(1, len(path)), u.count("-")]
+        want += [-sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u)), 1 + u.count("&") if args is not None else 0, len(args) if args is not None else 0, "#" in u, u.startswith("https"), len(seg[1]) if seg else 0]
+        assert [r[f"f{i}"] for i in range(len(want))] == pytest.approx([float(w) for w in want]) and len(want) == len(url_filter.FEATURES)
+        same = [k["label"] for k in rows if k["host"].split(".")[-1] == host.split(".")[-1]]
+        assert r[f"f{len(want)}"] == pytest.approx((sum(same) + url_filter.PRIOR * prior) / (len(same) + url_filter.PRIOR)) and r[f"f{len(want) + 1}"] == pytest.approx(math.log1p(len(same)))
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 4))
+    trees = url_filter.Trees(x, (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float))
+
+    def walk(node, row):
+        while not isinstance(node, float):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    want = [1 / (1 + np.exp(-(trees.base + sum(walk(t, row) for t in trees.trees)))) for row in x]
+    df = spark.createDataFrame(x.tolist(), "f0 double, f1 double, f2 double, f3 double")
+    got = [r[0] for r in df.coalesce(1).select(F.expr(trees.sql())).collect()]
+    assert sorted(got) == pytest.approx(sorted(want)) and np.mean((np.array(want) > 0.5) == (x[:, 0] + x[:, 1] ** 2 > 0.5)) > 0.95
+
+
+def test_long_urls_equal_rules_and_clashing_labels(spark):
+    """Whole long URLs, rules of one length, labelled rows with names used inside."""
+    rules = [("block", "b.com", "/"), ("allow", "a.com", "/"), ("block", "com", "/x/")]
+    urls = ["https://b.com/" + "y" * 100_000, "https://a.com/", "https://c.com/x/" + "%20" * 50_000]
+    labelled = spark.createDataFrame([(u, i % 2, "clash", "clash") for i, u in enumerate(urls * 3)], "url string, label int, host string, slot string")
+    out = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, labelled).collect()}
+    assert [(out[i]["rule"], out[i]["verdict"]) for i in range(3)] == [("b.com/", "block"), ("a.com/", "allow"), ("com/x/", "block")]
+    assert len(out[0]["path"]) == 100_001
+
+
 def test_pipeline(spark):
     """Rows of the whole pipeline against plain programs, stage by stage."""
     import corpus_pipeline
