@@ -131,45 +131,51 @@ def grams(docs: DataFrame, skip) -> DataFrame:
     return docs.selectExpr(*_KEYED).mapInArrow(find, "gram long, doc_id long")
 
 
-def _filter(suspects: DataFrame) -> tuple[list | None, int]:
-    """Marks of a Bloom filter of the suspected grams (None if too many to broadcast) and its segments."""
-    segments = segments_for(suspects.count())
+def _filter(hashes: DataFrame) -> tuple[list | None, int]:
+    """Marks of a Bloom filter of a written table's hashes (None if too many to broadcast) and its segments."""
+    segments = segments_for(hashes.count())
 
     def build(batches):
         found = [np.asarray(b.column(0)).view(np.uint64) for b in batches if b.num_rows]
         hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
         yield from filter_rows(hashes, hashes[:0], segments)
 
-    return small(written(merged(suspects.mapInArrow(build, SCHEMA), "once", segments))), segments
+    return small(written(merged(hashes.mapInArrow(build, SCHEMA), "once", segments))), segments
 
 
 _FOUND = "w1 long, w2 long, doc_id long, text_key long, first int, last int, settled boolean"
 
 
-def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after: int, skip) -> DataFrame:
+def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after: int, skip, named: DataFrame | None = None) -> DataFrame:
     """Windows whose gram is suspected. In each step the smallest document's are listed for the shuffle; stretches of
-    windows of later documents (beyond ``after``) are settled: they go. Where the filter is too large to broadcast,
-    ``holders`` (gram, doc_id) gives each document its own suspected grams instead."""
-    marks, segments = _filter(suspects)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    keyed = docs.selectExpr(*_KEYED)
+    windows of later documents (beyond ``after``) are settled: they go. Only the documents ``named`` by the hashes of
+    their doc_ids are split into windows, all if none is given. Where a filter is too large to broadcast, ``holders``
+    (gram, doc_id) gives each document its own suspected grams instead."""
+    (marks, segments), (names, name_segments) = _filter(suspects), _filter(named) if named else (None, 1)
+    shared = docs.sparkSession.sparkContext.broadcast((marks, names))
+    keyed = docs.selectExpr(*_KEYED, *(["xxhash64(doc_id) as name"] if names is not None and marks is not None else []))
     if marks is None:
         own = holders.join(suspects, "gram", "left_semi").groupBy(F.col("doc_id").alias("holder")).agg(F.collect_set("gram").alias("grams"))
         keyed = keyed.join(own, keyed["doc_id"] == own["holder"]).drop("holder")
 
     def find(batches):
-        known = Filter(shared.value, segments) if shared.value is not None else None
+        marks, names = shared.value
+        known = Filter(marks, segments) if marks is not None else None
+        wanted = Filter(names, name_segments) if names is not None and known else None
         for batch in steps(batches, "text", 4 << 20):
             ids, keys, texts = _texts(batch, skip.value)
+            if wanted:
+                hit = wanted.holds(np.asarray(batch.column(4)).view(np.uint64))
+                texts = [t if h else None for t, h in zip(texts, hit)]
             row, pos, gram, verify = _derived(texts)
             if not len(gram):
                 continue
             if known:
                 keep = np.flatnonzero(known.holds(gram))
             else:
-                named = [np.asarray(batch.column(4)[i].values).view(np.uint64) for i in range(len(ids))]
+                own = [np.asarray(batch.column(4)[i].values).view(np.uint64) for i in range(len(ids))]
                 edges = np.searchsorted(row, np.arange(len(ids) + 1))
-                keep = np.flatnonzero(np.concatenate([np.isin(gram[a:b], g) for a, b, g in zip(edges, edges[1:], named)]))
+                keep = np.flatnonzero(np.concatenate([np.isin(gram[a:b], g) for a, b, g in zip(edges, edges[1:], own)]))
             if not len(keep):
                 continue
             row, pos, (w1, w2) = row[keep], pos[keep], verify(keep)
@@ -274,11 +280,11 @@ class FingerprintIndex:
         found = _candidates(docs, suspects, run, after, skip)
         if past and known is not None:
             # the runs say which historical documents hold a suspected gram
-            holders = [old.join(suspects, "gram", "left_semi") for old in past]
-            holders = written(_union(holders))
-            named_ids = holders.select("doc_id").distinct()
-            old_docs = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id") <= upto).join(named_ids, "doc_id", "left_semi")
-            found = found.union(_candidates(old_docs, suspects, holders, after, self.spark.sparkContext.broadcast(np.zeros(0, np.int64))))
+            holders = written(_union([old.join(suspects, "gram", "left_semi") for old in past]))
+            named = written(holders.select(F.xxhash64("doc_id").alias("name")).distinct())
+            old_docs = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id") <= upto)
+            none = self.spark.sparkContext.broadcast(np.zeros(0, np.int64))
+            found = found.union(_candidates(old_docs, suspects, holders, after, none, named))
         found = written(found)
         open_rows = found.where("not settled")
         firsts = open_rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("w1", "w2", "owner")
@@ -318,6 +324,23 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _stretches(batches):
+    """Neighbouring windows of a document joined into stretches; ALL stands for the rest."""
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            first, last = (np.asarray(batch.column(j)[i].values).astype(np.int64) for j in (2, 3))
+            if (last == ALL).any():
+                out.append(([0], [ALL]))
+                continue
+            order = np.argsort(first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate(last[order])
+            cut = np.flatnonzero(first[1:] > reach[:-1] + WINDOW)
+            out.append((first[np.append(0, cut + 1)].tolist(), reach[np.append(cut, len(reach) - 1)].tolist()))
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([o[j] for o in out], kind) for j in (0, 1))], ["loser", "lost_key", "firsts", "lasts"])
+
+
 def without_windows(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """The input by position (c0, c1, ...), n_words, n_removed and kept_text, given LOST of its documents.
 
@@ -325,7 +348,7 @@ def without_windows(docs: DataFrame, lost: DataFrame) -> DataFrame:
     names, df = docs.columns, positional(docs)
     at, doc_id = names.index("text"), f"c{names.index('doc_id')}"
     lists = lost.groupBy(F.col("doc_id").alias("loser"), F.col("text_key").alias("lost_key")).agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    lists = written(lists)
+    lists = written(lists.mapInArrow(_stretches, lists.schema))
     if lists.count() <= MOST_LOSERS:
         lists = F.broadcast(lists)
     joined = df.join(lists, (df[doc_id].cast("long") == F.col("loser")) & (F.xxhash64(df[f"c{at}"]) == F.col("lost_key")), "left").select(*df.columns, "firsts", "lasts")
