@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from .common import ragged, share_code, written
 from .components import components
 
-PARTS, WORDS, PER_LIST, FULL, SAMPLE, BLOCK = 8, 64, 50, 4096, 1 << 18, 1024
-NEAR, SPREADS = 1.75, 4.0
+PARTS, WORDS, PER_LIST, FULL, SAMPLE, BLOCK = 8, 64, 50, 1024, 1 << 18, 1024
+NEAR, SPREADS = 1.75, 3.0
 SLACK = 1e-4  # for rounding of single-precision tables
 
 
@@ -47,7 +47,10 @@ def lists_for(n: int) -> int:
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    centres = points[np.random.default_rng(seed).permutation(len(points))[:k]].copy()
+    return _moved(points, points[np.random.default_rng(seed).permutation(len(points))[:k]].copy(), rounds)
+
+
+def _moved(points: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
     for _ in range(rounds):
         near = _nearest(points, centres)
         order = np.argsort(near, kind="stable")
@@ -58,13 +61,13 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def _coarse(points: np.ndarray, k: int) -> np.ndarray:
-    """About k centroids; many are fitted in two levels, each cell of the first getting its share."""
+    """About k centroids; many are fitted in two levels, each cell of the first getting its share, and then moved together."""
     if k <= 256:
         return _kmeans(points, k, 10, 1)
     top = _kmeans(points, int(k**0.5), 10, 1)
     cell = _nearest(points, top)
     own = [points[cell == c] for c in range(len(top))]
-    return np.concatenate([_kmeans(p, max(1, round(k * len(p) / len(points))), 6, 3) for p in own if len(p)])
+    return _moved(points, np.concatenate([_kmeans(p, max(1, round(k * len(p) / len(points))), 3, 3) for p in own if len(p)]), 4)
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -117,15 +120,16 @@ class Quantiser:
     def probes(self, units: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every other list that a row probes, in order of rows."""
         square = (self.centres**2).sum(1)
+        thin, thin_square = self.centres.astype(np.float32), square.astype(np.float32)
         rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(units), 512):
-            d = square - 2 * units[at : at + 512] @ self.centres.T
+            d = thin_square - 2 * units[at : at + 512].astype(np.float32) @ thin.T
             mine = own[at : at + 512]
             each, back = np.unique(mine, return_inverse=True)
             gaps = np.sqrt(np.maximum(square[each][:, None] + square - 2 * self.centres[each] @ self.centres.T, 0))
-            reach = 2 * np.where(gaps <= self.near + 1e-6, self.whole, self.far) * gaps
-            # a little wider than ``admits``, which decides
-            near = d - d[np.arange(len(d)), mine][:, None] <= reach[back] + 2 * SLACK
+            # single precision and a little wider than ``admits``, which decides
+            reach = (2 * np.where(gaps <= self.near + 1e-6, self.whole, self.far) * gaps + 10 * SLACK).astype(np.float32)
+            near = d - d[np.arange(len(d)), mine][:, None] <= reach[back]
             near[np.arange(len(d)), mine] = False
             r, c = np.nonzero(near)
             for i in range(0, len(r), 1 << 16):

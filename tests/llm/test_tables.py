@@ -47,7 +47,7 @@ def group_rows(rank, spread, n=1500):
     return [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
 
 
-@pytest.mark.parametrize("rank, spread, spreads", [(64, 0.026, 2.0), (64, 0.026, None), (64, 0.026, 4.0), (2, 0.15, None)])
+@pytest.mark.parametrize("rank, spread, spreads", [(64, 0.026, 2.0), (64, 0.026, None), (64, 0.026, 4.0), (2, 0.15, None), (2, 0.15, 3.0)])
 def test_embedding_group_in_many_lists(spark, monkeypatch, rank, spread, spreads):
     """No link of a large group counts twice, however close the lists that it is cut into."""
     monkeypatch.setattr(embedding_dedup, "PER_LIST", 30)
