@@ -192,15 +192,20 @@ def merged_regions(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return cells.sparkSession.createDataFrame(rows, "old_region int, region int, merged boolean, vertices array<struct<x:double,y:double>>")
 
 
-def inside(points: DataFrame, regions: DataFrame, most: int = 5000) -> DataFrame:
-    """Points (id, x, y) with each region (region, vertices) that contains them, by ray casting as an expression."""
-    n = regions.count()
-    if n > most:
-        raise ValueError(f"{n} regions; at most {most} are broadcast")
+def inside(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points (id, x, y) with each region (region, vertices) that contains them, by ray casting as an expression.
+
+    Regions are listed in the grid cells that their boxes touch and joined with the points by cell. A cell has the mean
+    size of a box, and no less than a hundredth of the largest, so a region has some ten thousand cells at most."""
+    xs, ys = (F.transform("vertices", lambda v: v[c]) for c in ("x", "y"))
     ring = F.zip_with("vertices", F.concat(F.slice("vertices", 2, 1 << 30), F.slice("vertices", 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    boxes = regions.select("region", ring.alias("_edges"), *[f(a).alias(n) for n, f, a in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))])
+    mean, most = boxes.agg(F.avg(F.greatest(F.expr("x1 - x0"), F.expr("y1 - y0"))), F.max(F.greatest(F.expr("x1 - x0"), F.expr("y1 - y0")))).first()
+    cell = max(mean or 0.0, (most or 0.0) / 100) or 1.0
+    at = lambda c: F.floor(F.col(c) / cell)
+    listed = boxes.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1")))).drop("x0", "x1", "y0", "y1")
     crossed = F.filter("_edges", lambda e: ((e["p"]["y"] > F.col("y")) != (e["q"]["y"] > F.col("y"))) & (F.col("x") < (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
-    polygons = F.broadcast(regions.select("region", ring.alias("_edges")))
-    return points.join(polygons, F.size(crossed) % 2 == 1).drop("_edges")
+    return points.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(listed, ["_cx", "_cy"]).where(F.size(crossed) % 2 == 1).drop("_edges", "_cx", "_cy")
 
 
 def procrustes_to_grid(points: np.ndarray) -> np.ndarray:

@@ -11,6 +11,17 @@ def edges(rows: DataFrame, key: str, array: str) -> DataFrame:
     return rows.select(F.col(key), F.posexplode(array).alias("pos", "ref"))
 
 
+def checked_refs(refs: DataFrame, ref: str, targets: DataFrame, target: str) -> DataFrame:
+    """References, one a row, with ``found``: whether their target exists. No array spans the references of a key."""
+    known = targets.select(F.col(target).alias(ref)).distinct().withColumn("found", F.lit(True))
+    return refs.join(known, ref, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def orphan_counts(checked: DataFrame, key: str) -> DataFrame:
+    """(key, n_refs, n_missing) of the keys with a missing target; counts are combined before the shuffle."""
+    return checked.groupBy(key).agg(F.count("*").alias("n_refs"), F.count_if(~F.col("found")).alias("n_missing")).where("n_missing > 0")
+
+
 def orphans(rows: DataFrame, key: str, array: str, targets: DataFrame, target: str) -> DataFrame:
     """(key, valid, missing, n_refs): references split by whether their target exists, in order."""
     known = targets.select(F.col(target).alias("ref")).distinct().withColumn("found", F.lit(True))
@@ -153,6 +164,19 @@ def merge_groups(rows: DataFrame, group: str, key: str, score: str, longest: lis
     return ranked.groupBy(group).agg(F.min_by(key, "_rank").alias(key), *text, *fill, gone)
 
 
+def replacements(rows: DataFrame, by: list[str], key: str, score: Column) -> DataFrame:
+    """(old, new): the rows of groups with several, and the row that a merge keeps: the best score, the first key on
+    ties. The kept key is a combined aggregate, so a group's rows meet by a join and never in one task's memory."""
+    keyed = rows.select(*by, F.col(key).alias("old"), score.alias("_score"))
+    kept = keyed.groupBy(*by).agg(F.count("*").alias("_n"), F.min(F.struct((-F.col("_score")).alias("s"), F.col("old").alias("new"))).alias("_best")).where("_n > 1")
+    return keyed.join(kept, by).where(F.col("old") != F.col("_best.new")).select("old", F.col("_best.new").alias("new"))
+
+
+def repointed_rows(rows: DataFrame, ref: str, moved: DataFrame) -> DataFrame:
+    """References, one a row, that follow merged rows (old -> new)."""
+    return rows.join(moved, rows[ref] == moved["old"], "left").withColumn(ref, F.coalesce("new", F.col(ref))).drop("old", "new")
+
+
 def repointed(rows: DataFrame, key: str, array: str, moved: DataFrame) -> DataFrame:
     """References (old -> new) replaced in an array column, repeats dropped, order kept."""
     e = edges(rows, key, array).join(moved.select(F.col("old").alias("ref"), "new"), "ref", "left")

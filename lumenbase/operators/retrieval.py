@@ -8,6 +8,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from ..functions import vector as V
 
 #: Query vectors that one task compares at a time, and that reach the driver at a time.
 QUERY_BLOCK, MOST_QUERIES = 512, 20_000
+#: Vectors of one owner that a task compares with as many others.
+PAIR_BLOCK = 2048
 
 
 def knn(index: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -95,12 +98,38 @@ def similar_above(index: DataFrame, query: list[float], least: float, key: str =
     return index.select(key, V.similarity(V.l2(F.col(vector), q)).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def similar_pairs(rows: DataFrame, owner: str, key: str, vector: str, above: float) -> DataFrame:
-    """Pairs of one owner's vectors with cosine over ``above`` (strict), found by joining on the owner."""
-    a = rows.select(owner, F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(owner, F.col(key).alias("b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, owner).where("a < b").withColumn("similarity", V.cosine(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("similarity") > above).select(owner, "a", "b", "similarity", (1 - F.col("similarity")).alias("distance"))
+def similar_pairs(rows: DataFrame, owner: str, key: str, vector: str, above: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs of one owner's vectors with cosine over ``above`` (strict).
+
+    An owner's rows are cut into blocks by their keys' hashes and each two of its blocks meet in a group, so no group
+    holds more than two blocks, whatever the owner. A group's cosines are one matrix product over unit vectors."""
+    sizes = rows.groupBy(owner).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    cut = rows.select(owner, F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").join(sizes, owner)
+    cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(key), _n) as int)")).withColumn("other", F.explode(F.expr("sequence(0, _n - 1)")))
+    dealt = cut.select(owner, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "v")
+    kinds = rows.select(owner, key).schema
+    schema = f"{owner} {kinds[owner].dataType.simpleString()}, a {kinds[key].dataType.simpleString()}, b {kinds[key].dataType.simpleString()}, similarity double"
+
+    def compare(group, table):
+        keys, own = table.column("key"), np.asarray(table.column("own"))
+        order = pa.compute.array_sort_indices(keys.combine_chunks())
+        rank = np.empty(len(keys), np.int64)
+        rank[np.asarray(order)] = np.arange(len(keys))
+        v = np.array(table.column("v").to_pylist(), np.float64)
+        length = np.sqrt((v**2).sum(1))
+        v /= np.where(length > 0, length, 1)[:, None]
+        first = np.flatnonzero(own == group[1].as_py())
+        second = first if group[1] == group[2] else np.flatnonzero(own == group[2].as_py())
+        cosine = v[first] @ v[second].T
+        x, y = np.nonzero(cosine > above)
+        similarity, x, y = cosine[x, y], first[x], second[y]
+        keep = rank[x] < rank[y] if group[1] == group[2] else rank[x] != rank[y]
+        x, y, similarity = x[keep], y[keep], similarity[keep]
+        a, b = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+        return pa.Table.from_arrays([pa.array([group[0].as_py()] * len(a), table.schema.field(owner).type), keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(similarity)], [owner, "a", "b", "similarity"])
+
+    pairs = dealt.groupBy(owner, "i", "j").applyInArrow(compare, schema)
+    return pairs.withColumn("distance", 1 - F.col("similarity"))
 
 
 def capped_pairs(pairs: DataFrame, sizes: DataFrame, owner: str, most: int = 500) -> DataFrame:
@@ -129,13 +158,38 @@ def placed(neighbours: DataFrame, coordinates: DataFrame, by: list[str], key: st
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vector: str, centroid: str = "centroid_id", most: int = 10_000) -> DataFrame:
-    """(key, centroid, distance): the nearest; ties by centroid. The number of centroids is checked before the broadcast."""
-    n = centroids.count()
-    if n > most:
-        raise ValueError(f"{n} centroids; at most {most} are broadcast")
-    c = F.broadcast(centroids.select(centroid, F.col(vector).alias("_c")))
-    every = points.select(key, F.col(vector).alias("_v")).join(c).select(key, F.struct(V.l2(F.col("_v"), F.col("_c")).alias("distance"), F.col(centroid)).alias("near"))
-    return every.groupBy(key).agg(F.min("near").alias("near")).select(key, f"near.{centroid}", "near.distance")
+    """(key, centroid, distance): the nearest; ties by centroid. Up to ``most`` centroids are broadcast and points are
+    not shuffled; more pass in successive blocks of that many, and the best of the blocks' nearest is taken."""
+    rows = centroids.select(centroid, F.col(vector).cast("array<double>").alias("v")).orderBy(centroid)
+    blocks = list(batched(rows.toLocalIterator(), most)) if centroids.count() > most else [rows.collect()]
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, {centroid} {centroids.schema[centroid].dataType.simpleString()}, distance double"
+    kind = centroids.select(centroid).limit(0).toArrow().schema.field(0).type
+    parts = [_nearest_of(points.select(key, F.col(vector).cast("array<double>").alias("v")), block, kind, [key, centroid, "distance"], schema) for block in blocks]
+    if len(parts) == 1:
+        return parts[0]
+    best = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min(F.struct("distance", centroid)).alias("near"))
+    return best.select(key, f"near.{centroid}", "near.distance")
+
+
+def _nearest_of(points: DataFrame, rows: Sequence[Row], kind: pa.DataType, names: list[str], schema: str) -> DataFrame:
+    if not rows:
+        return points.sparkSession.createDataFrame([], schema)
+    shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+
+    def find(batches):
+        ids, c = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            near, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+            for i, row in enumerate(c):  # strictly nearer only, so ties keep the earlier centroid
+                d = np.sqrt(((x - row) ** 2).sum(1))
+                closer = d < least
+                near[closer], least[closer] = i, d[closer]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[i] for i in near], kind), pa.array(least)], names)
+
+    return points.where("v is not null").mapInArrow(find, schema)
 
 
 def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:

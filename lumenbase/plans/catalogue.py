@@ -26,9 +26,12 @@ def ngrams(t: Tables):
 
 @query()
 def keyword_spans(t: Tables):
+    """The lexicon holds the phrases of one to three words that documents use at least three times, so spans overlap
+    and the schedule decides. One scan of the documents; what no benchmark text says is dropped before it is counted."""
     grams = K.ngrams(t.benchmark, "item_id", "text")
-    words = t.documents.select(F.explode(X.tokens(F.lower("text"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.min(F.length("phrase")).alias("len"))
-    lexicon = words.where("n >= 3 and len >= 4").select("phrase", F.xxhash64("phrase").alias("id"), (F.col("len") / 20.0).alias("similarity"))
+    said = grams.select("phrase").distinct()
+    counted = K.ngrams(t.documents, "doc_id", "text").select("phrase").join(said, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n"))
+    lexicon = counted.where("n >= 3 and length(phrase) >= 4").select("phrase", F.xxhash64("phrase").alias("id"), (F.length("phrase") / 20.0).alias("similarity"))
     return K.best_spans(K.candidates(grams, lexicon, lexicon.select("id").distinct(), 0.25), "item_id")
 
 
@@ -48,11 +51,10 @@ def url_parts_valid(t: Tables):
     return I.url_issues(rows, "page_id", "urls", status).select("page_id", "issue")
 
 
-@query("""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower(trim(substr(text, 1, 60))), 'ß', 'ss')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug,
+@query("""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower(trim(text)), 'ß', 'ss')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug,
     length(text) > 30 AS long, CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END AS short FROM benchmark""")
 def slug(t: Tables):
-    head = F.substring("text", 1, 60)
-    return t.benchmark.select("item_id", X.slug(head).alias("slug"), (F.length("text") > 30).alias("long"), X.truncated(F.col("text"), 30).alias("short"))
+    return t.benchmark.select("item_id", X.slug(F.col("text")).alias("slug"), (F.length("text") > 30).alias("long"), X.truncated(F.col("text"), 30).alias("short"))
 
 
 def _tag(tag: str) -> str:
@@ -80,9 +82,9 @@ def year_extract(t: Tables):
 _SPAM = "|".join(S.SPAM)
 
 
-@query(f"SELECT doc_id, length(trim(substr(text, 1, 50))) BETWEEN 2 AND 60 AND NOT regexp_matches(lower(substr(text, 1, 50)), '{_SPAM}') AS good FROM documents")
+@query(f"SELECT page_id, length(trim(title)) BETWEEN 2 AND 60 AND NOT regexp_matches(lower(title), '{_SPAM}') AS good FROM (SELECT page_id, {_tag('title')} FROM pages)")
 def spam_filter(t: Tables):
-    return t.documents.select("doc_id", S.good_title(F.substring("text", 1, 50)).alias("good"))
+    return H.fields(t.pages, "page_id", "html").select("page_id", S.good_title(F.col("title")).alias("good"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'public|commons|cc|domain|open')")
@@ -90,11 +92,11 @@ def rights_filter(t: Tables):
     return t.documents.where(S.open_rights(F.col("text"))).select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'title_length' WHEN doc_id % 5 = 0 THEN 'date' WHEN doc_id % 7 = 0 THEN 'rights' WHEN doc_id % 3 = 0 THEN 'metadata' END AS failure FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN NOT coalesce(length(split_part(text, chr(10), 1)) <= 60, false) THEN 'title_length' WHEN NOT regexp_matches(text, '\b(1\d{3}|20\d{2})\b') THEN 'date'
+    WHEN coalesce(source, '') = '' THEN 'rights' WHEN coalesce(lang, '') = '' THEN 'metadata' END AS failure FROM documents""")
 def artwork_rules(t: Tables):
-    title = F.expr("case when doc_id % 11 = 0 then repeat('x', 61) else substr(text, 1, 20) end")
-    details = F.expr("map('date', case when doc_id % 5 = 0 then '' else '1900' end, 'style', case when doc_id % 3 = 0 then '' else 'plain' end)")
-    rules = S.artwork_rules(title, details, F.expr("case when doc_id % 7 = 0 then '' else 'public' end"))
+    details = F.create_map(F.lit("date"), X.year(F.col("text")), F.lit("style"), F.col("lang"))
+    rules = S.artwork_rules(F.expr("split_part(text, '\n', 1)"), details, F.col("source"))
     return t.documents.select("doc_id", I.first_failure(rules).alias("failure"))
 
 

@@ -26,9 +26,9 @@ def lookup_batch(t: Tables):
     return L.by_ids(t.part, [17, 3, 999999, 17, 5], "p_partkey").select("pos", "p_partkey", "p_name")
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'utm') OR contains(lower(CAST(page_id AS VARCHAR)), 'utm')")
+@query("SELECT page_id, url, html FROM pages WHERE contains(lower(url), 'utm') OR contains(lower(html), 'utm') OR contains(lower(CAST(page_id AS VARCHAR)), 'utm')")
 def row_text_search(t: Tables):
-    return L.containing(t.pages.select("page_id", "url"), "UTM")
+    return L.containing(t.pages.select("page_id", "url", "html"), "UTM")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 3)")
@@ -76,12 +76,23 @@ def merge_duplicates(t: Tables):
     return I.merge_groups(rows, "grp", "p_partkey", "score", ["p_type"], ["p_size"])
 
 
-@query("""WITH e AS (SELECT source, doc_id AS pos, doc_id AS ref, doc_id IN (SELECT doc_id FROM labels) AS found FROM documents)
-    SELECT source, coalesce(list(ref ORDER BY pos) FILTER (found), []) AS valid, coalesce(list(ref ORDER BY pos) FILTER (NOT found), []) AS missing, count(*) AS n_refs
-    FROM e GROUP BY source HAVING count(*) FILTER (NOT found) > 0""")
+@query("SELECT doc_id, source, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS found FROM documents d")
 def orphan_refs(t: Tables):
-    owned = t.documents.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("refs"))
-    return I.orphans(owned, "source", "refs", t.labels, "doc_id")
+    return I.checked_refs(t.documents.select("source", "doc_id"), "doc_id", t.labels, "doc_id")
+
+
+@query("""SELECT source, count(*) AS n_refs, count(*) FILTER (NOT found) AS n_missing
+    FROM (SELECT source, doc_id IN (SELECT doc_id FROM labels) AS found FROM documents) GROUP BY source HAVING count(*) FILTER (NOT found) > 0""")
+def orphan_counts(t: Tables):
+    return I.orphan_counts(I.checked_refs(t.documents.select("source", "doc_id"), "doc_id", t.labels, "doc_id"), "source")
+
+
+@query("""WITH r AS (SELECT p_partkey AS old, first_value(p_partkey) OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_size DESC, p_partkey) AS new FROM part)
+    SELECT l_orderkey, l_linenumber, coalesce(new, l_partkey) AS l_partkey FROM lineitem LEFT JOIN r ON l_partkey = old""")
+def merge_repoints_references(t: Tables):
+    parts = t.part.select("p_brand", F.lower("p_name").alias("name_key"), "p_partkey", "p_size")
+    moved = I.replacements(parts, ["p_brand", "name_key"], "p_partkey", F.col("p_size"))
+    return I.repointed_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", moved)
 
 
 @query("""WITH a AS (SELECT 'n' || n_nationkey AS entry_id, n_name AS value, n_regionkey, n_nationkey FROM nation),
@@ -115,10 +126,10 @@ def keyword_reconcile(t: Tables):
     return I.reconciled(rows, entries).drop("ids", "labels")
 
 
-@query("SELECT l_partkey, list(DISTINCT l_orderkey ORDER BY l_orderkey) AS found FROM lineitem WHERE l_partkey <= 50 GROUP BY l_partkey")
+@query("SELECT l_partkey, list(DISTINCT l_orderkey ORDER BY l_orderkey) AS found FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey")
 def reverse_containment(t: Tables):
     orders = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
-    return I.holders(t.part.where("p_partkey <= 50").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", orders, "l_orderkey", "parts")
+    return I.holders(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", orders, "l_orderkey", "parts")
 
 
 @query("SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
@@ -198,13 +209,13 @@ def staging_summary(t: Tables):
     return t.labels.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 0).alias("bad"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS staged, p_brand, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', '-') END AS t FROM part WHERE p_partkey <= 300),
+@query("""WITH p AS (SELECT p_partkey AS staged, p_brand, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', '-') END AS t FROM part),
     h AS (SELECT staged, e.p_partkey, CASE WHEN trim(lower(t)) = trim(lower(p_name)) THEN 1 ELSE 3 END AS tier FROM p JOIN part e ON lower(p.p_brand) = lower(e.p_brand)
           AND regexp_replace(lower(t), '[^a-z0-9]', '', 'g') = regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'))
     SELECT staged, p_partkey, tier FROM (SELECT *, row_number() OVER (PARTITION BY staged ORDER BY tier, p_partkey) AS r FROM h) WHERE r = 1""")
 def fuzzy_match_tiers(t: Tables):
     changed = F.expr("case p_partkey % 3 when 0 then p_name when 1 then upper(p_name) else replace(p_name, ' ', '-') end")
-    staged = t.part.where("p_partkey <= 300").select(F.col("p_partkey").alias("staged"), "p_brand", changed.alias("p_name"))
+    staged = t.part.select(F.col("p_partkey").alias("staged"), "p_brand", changed.alias("p_name"))
     return S.matched(staged, "staged", "p_name", "p_brand", t.part, "p_partkey")
 
 

@@ -264,3 +264,44 @@ def test_adjacency_stats_counts_regions_and_pairs(spark, tmp_path):
     merged = plans.queries()["merge_regions"](spark, str(tmp_path)).collect()
     assert len(merged) == 7 and got["possible"] == 21 and got["percentage"] == round(100 * got["actual"] / 21, 1)
     assert got["unpaired"] == sum(not r["merged"] for r in merged) and got["unpaired"] % 2 == 1
+
+
+def test_blocks_give_the_same_rows(spark):
+    """Centroids in successive blocks, owners cut into blocks, a hot owner among them."""
+    import numpy as np
+
+    from lumenbase.operators import retrieval as R
+
+    rng = np.random.default_rng(4)
+    rows = [(i, 0 if i % 3 else i % 7, rng.standard_normal(6).tolist()) for i in range(60)] + [(900, 0, [0.0] * 6), (901, 0, None)]
+    df = spark.createDataFrame(rows, "id int, owner int, v array<double>")
+    centres = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(7)], "c int, v array<double>")
+    near = [sorted(map(tuple, R.nearest_centroid(df, centres, "id", "v", "c", most).collect())) for most in (10_000, 3)]
+    assert near[0] == near[1] and len(near[0]) == 61
+    pairs = [{(r["owner"], r["a"], r["b"], round(r["similarity"], 9)) for r in R.similar_pairs(df, "owner", "id", "v", 0.2, block).collect()} for block in (1000, 4)]
+    good = {i: (o, np.array(v)) for i, o, v in rows if v and any(v)}
+    want = {(o, a, b, round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9)) for a, (o, x) in good.items() for b, (p, y) in good.items() if a < b and o == p and x @ y > 0.2 * np.linalg.norm(x) * np.linalg.norm(y)}
+    assert pairs[0] == pairs[1] == want
+
+
+@pytest.mark.parametrize("name", ["nearest_centroid", "point_in_polygon", "orphan_refs", "merge_repoints_references", "pairwise_similar_in_group"])
+def test_no_nested_loops(spark, name):
+    from lumenbase import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_and_small_regions(spark):
+    """Points in regions whose boxes differ by a thousand times, against ray casting in plain Python."""
+    import random
+
+    from lumenbase.operators import geometry as G
+
+    rng = random.Random(2)
+    shapes = [(0, [(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0)])] + [(i, [(x, y), (x + 0.1, y), (x + 0.05, y + 0.1)]) for i in range(1, 20) for x, y in [(rng.uniform(-2, 2), rng.uniform(-2, 2))]]
+    spots = [(i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(400)]
+    regions = spark.createDataFrame([(r, [{"x": x, "y": y} for x, y in p]) for r, p in shapes], "region int, vertices array<struct<x:double,y:double>>")
+    got = {(r["id"], r["region"]) for r in G.inside(spark.createDataFrame(spots, "id int, x double, y double"), regions).collect()}
+    cross = lambda x, y, p: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:] + p[:1])) % 2
+    assert got == {(i, r) for i, x, y in spots for r, p in shapes if cross(x, y, p)}
