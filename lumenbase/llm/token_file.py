@@ -23,6 +23,8 @@ from .common import documents, scratch
 from .tokens import id_type, part_bases, token_table
 
 BLOCK, LANES, EVERY = 1 << 20, 2048, 128
+#: Bytes of text that are tokenized at a time: larger steps forget fewer chunks.
+STEP = 8 << 20
 LOW = np.uint64(1 << 31)
 BLOCKS = (
     "part int, block int, start long, n_tokens long, lanes int, states binary, marks binary, words binary, words_crc32 long, ids_crc32 long, doc_ids array<long>, doc_tokens array<long>"
@@ -124,7 +126,7 @@ def _blocks(part: int, documents_of, width: str, tables: Tables):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write ``path/table`` (frequencies), ``path/blocks`` and ``path/parts`` (ids before each part)."""
     spark = docs.sparkSession
-    table = token_table(docs, tokenizer, end_id)
+    table = token_table(docs, tokenizer, end_id, STEP)
     width = id_type(tokenizer)
 
     def count(batches):

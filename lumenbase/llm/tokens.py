@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import ragged, steps
+from .common import STEP_BYTES, ragged, steps
 
 #: Beyond so many chunks, or characters in them, a coder keeps only chunks that it has met again.
 MOST_CHUNKS, MOST_CHARS = 700_000, 32 << 20
@@ -183,9 +183,9 @@ def library_coder_of(path: str) -> Coder:
     return _coders[path]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], coder: Coder, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], coder: Coder, text: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with all their ids and the count of each row; null is empty."""
-    for batch in steps(batches, text):
+    for batch in steps(batches, text, step):
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
         yield batch, *coder.encode([t or "" for t in texts])
 
@@ -206,7 +206,7 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def token_table(docs, path: str, end_id: int):
+def token_table(docs, path: str, end_id: int, step: int = STEP_BYTES):
     """(part, local_start, doc_id, n_tokens, ids) of every document, in scan order, as a table in the shared folder.
 
     ``part`` is the task that read the document and ``local_start`` counts the ids before it in that task; ids are
@@ -220,7 +220,7 @@ def token_table(docs, path: str, end_id: int):
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        for batch, ids, counts in encoded(batches, library_coder_of(path)):
+        for batch, ids, counts in encoded(batches, library_coder_of(path), step=step):
             ids, counts = with_end(ids, counts, end_id)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
