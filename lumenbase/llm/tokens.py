@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import STEP_BYTES, ragged, steps
 
 #: Beyond so many chunks, or characters in them, a coder keeps only chunks that it has met again.
-MOST_CHUNKS, MOST_CHARS = 700_000, 32 << 20
+MOST_CHUNKS, MOST_CHARS = 250_000, 12 << 20
 
 
 class _Numbered(dict):
