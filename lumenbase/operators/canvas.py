@@ -92,3 +92,8 @@ def overlapping(boxes: DataFrame, key: str, kind: str, cell: float) -> DataFrame
     hit = a.join(b, [kind, "cx", "cy"]).where("a < b and ax < bx + bw and bx < ax + aw and ay < by + bh and by < ay + ah")
     own = (F.floor(F.greatest("ax", "bx") / cell) == F.col("cx")) & (F.floor(F.greatest("ay", "by") / cell) == F.col("cy"))
     return hit.where(own).select(kind, "a", "b")
+
+
+def distinct_clippings(rows: DataFrame, owner: str, content: str, order: str) -> DataFrame:
+    """(owner, content, order): each content once for an owner, where it first stands."""
+    return rows.groupBy(owner, content).agg(F.min(order).alias(order))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .retrieval import knn_join
 
 
 def ngrams(texts: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
@@ -27,6 +28,13 @@ def candidates(grams: DataFrame, matches: DataFrame, entries: DataFrame, least:
     return grams.join(best.select("phrase", F.col("b.id").alias("id"), (-F.col("b.s")).alias("similarity")), "phrase")
 
 
+def phrase_matches(phrases: DataFrame, entries: DataFrame, k: int, least: float) -> DataFrame:
+    """(phrase, id, similarity): the k nearest entries (id, embedding) of each distinct phrase that are similar enough;
+    what ``candidates`` takes. A phrase that many texts hold is looked up once."""
+    near = knn_join(entries, phrases.dropDuplicates(["phrase"]), k, "id", "phrase")
+    return near.select("phrase", "id", (1 - F.col("distance")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def _schedule(spans: list[tuple[int, int, float, object]]) -> list[int]:
     """Indices of non-overlapping spans (start, stop, score, id) of the highest total; a tie keeps the earlier choice."""
     if not spans:
@@ -86,3 +94,14 @@ def merged_keywords(parts: list[DataFrame], key: str, below: float, cap: bool) -
     order = Window.partitionBy(key).orderBy("place", "keyword_id")
     ranked = each.select(key, "keyword_id", "distance", F.row_number().over(order).alias("rank"))
     return ranked.where("rank <= 7") if cap else ranked
+
+
+def keyword_lists(searches: list[tuple[DataFrame, DataFrame, int, float | None]], allowed: DataFrame, key: str, below: float, cap: bool) -> DataFrame:
+    """Keywords of each query from several searches in order, merged: (index, queries, k, limit on the distance or None).
+
+    What is no allowed keyword goes after the top k, so a search may give fewer than k."""
+    parts = []
+    for index, queries, k, limit in searches:
+        found = knn_join(index, queries, k, "keyword_id", key).join(allowed.select("keyword_id"), "keyword_id", "left_semi")
+        parts.append(found if limit is None else found.where(F.col("distance") < limit))
+    return merged_keywords(parts, key, below, cap)

@@ -61,3 +61,8 @@ def last_per_name(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Of rows with one name the last wins."""
     others = [c for c in rows.columns if c != name]
     return rows.groupBy(name).agg(*[F.max_by(c, order).alias(c) for c in others])
+
+
+def page_total(rows: DataFrame, size: int = 25) -> DataFrame:
+    """One row (n, pages): how many rows and pages there are to browse."""
+    return rows.agg(F.count("*").alias("n")).withColumn("pages", F.ceil(F.col("n") / size))

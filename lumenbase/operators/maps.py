@@ -67,3 +67,16 @@ def complete_coordinates(document: DataFrame) -> DataFrame:
     """The points (id, x, y) of a map document, or none if any lacks a coordinate."""
     bad = document.agg((F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0).alias("_ok"))
     return document.join(F.broadcast(bad)).where("_ok").drop("_ok")
+
+
+def merge_stats(regions: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """One row (original, merged, pairs, unmerged) for regions and the disjoint pairs (a, b) that merge."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("_paired", F.lit(True))
+    n = regions.select(key).join(paired, key, "left").agg(F.count("*").alias("original"), F.count("_paired").alias("_in"))
+    half = (F.col("_in") / 2).cast("long")
+    return n.select("original", (F.col("original") - half).alias("merged"), half.alias("pairs"), (F.col("original") - F.col("_in")).alias("unmerged"))
+
+
+def cache_key(names: Column) -> Column:
+    """The first 8 hexadecimal digits of the MD5 of the sorted JSON list."""
+    return F.substring(F.md5(F.to_json(F.array_sort(names))), 1, 8)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, maps, relational, vectors
+from . import catalogue, maps, relational, review, vectors
 
-_ALL = [relational, catalogue, vectors, maps]
+_ALL = [relational, catalogue, vectors, maps, review]
 
 
 def queries() -> dict:
