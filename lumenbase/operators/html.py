@@ -143,3 +143,67 @@ def _unescaped(text: Column) -> Column:
 
 def not_found(html: Column) -> Column:
     return F.contains(F.lower(html), F.lit("not found"))
+
+
+class _Grid(HTMLParser):
+    """Artworks of an overview: list items with an image and a title block that holds a named link and a year."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.lists, self.item, self.blocks, self.part = 0, None, 0, None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        classes = a.get("class", "").split()
+        if tag == "ul" and (self.lists or "wiki-masonry-container" in classes):
+            self.lists += 1
+        if not self.lists:
+            return
+        if tag == "li" and self.item is None:
+            self.item = {"title": "", "date": None, "thumbnail": None, "href": None}
+        if self.item is None:
+            return
+        if tag == "img" and self.item["thumbnail"] is None:
+            lazy = a.get("lazy-load") or a.get("img-source")
+            self.item["thumbnail"] = lazy.strip("'\"") if lazy and "lazy-load-placeholder" in a.get("src", "") else a.get("src", "")
+        if tag == "div" and (self.blocks or "title-block" in classes):
+            self.blocks += 1
+        if self.blocks and tag == "a" and "artwork-name" in classes and self.item["href"] is None:
+            self.item["href"], self.part = a.get("href", ""), "title"
+        if self.blocks and tag == "span" and "artwork-year" in classes:
+            self.item["date"], self.part = self.item["date"] or "", "date"
+
+    def handle_endtag(self, tag):
+        if tag in ("a", "span"):
+            self.part = None
+        if tag == "div" and self.blocks:
+            self.blocks -= 1
+        if tag == "li" and self.item is not None:
+            if self.item["thumbnail"] is not None and self.item["href"] is not None:
+                self.found.append(self.item)
+            self.item, self.blocks = None, 0
+        if tag == "ul" and self.lists:
+            self.lists -= 1
+
+    def handle_data(self, data):
+        if self.part and self.item is not None:
+            self.item[self.part] += data
+
+
+def artworks(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(key, pos, title, date, thumbnail, href): the artworks of overview pages in order, links absolute; items without
+    an image or a named link are left out. A thumbnail that loads late is read from the attribute that names it."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def read(frames):
+        for frame in frames:
+            rows = []
+            for k, base, text in frame[[key, url, html]].itertuples(index=False):
+                grid = _Grid()
+                grid.feed(text or "")
+                grid.close()
+                rows += [(k, i, a["title"].strip(), a["date"] and a["date"].strip(), a["thumbnail"], urljoin(base or "", a["href"])) for i, a in enumerate(grid.found)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "title", "date", "thumbnail", "href"])
+
+    return pages.select(key, url, html).mapInPandas(read, f"{key} {kind}, pos int, title string, date string, thumbnail string, href string")

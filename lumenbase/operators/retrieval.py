@@ -12,6 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vector as V
 
@@ -48,6 +49,7 @@ def _partial_best(index: DataFrame, rows: Sequence[Row], query: T.StructField, k
     if not rows:
         return index.sparkSession.createDataFrame([], schema)
     shared = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    made = pa.schema([(query_key, to_arrow_type(query.dataType)), (key, to_arrow_type(index.schema[key].dataType)), ("distance", pa.float64())])
 
     def best(batches):
         ids, q = shared.value
@@ -65,7 +67,7 @@ def _partial_best(index: DataFrame, rows: Sequence[Row], query: T.StructField, k
                     found_d[i], found_k[i] = np.array([m[0] for m in merged]), [m[1] for m in merged]
         for i, qid in enumerate(ids):
             if found_k[i]:
-                yield pa.RecordBatch.from_pydict({query_key: [qid] * len(found_k[i]), key: found_k[i], "distance": found_d[i].tolist()})
+                yield pa.RecordBatch.from_pydict({query_key: [qid] * len(found_k[i]), key: found_k[i], "distance": found_d[i].tolist()}, made)
 
     return index.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, schema)
 

@@ -57,11 +57,15 @@ def slug(t: Tables):
     return t.benchmark.select("item_id", X.slug(F.col("text")).alias("slug"), (F.length("text") > 30).alias("long"), X.truncated(F.col("text"), 30).alias("short"))
 
 
-def _tag(tag: str) -> str:
-    plain = f"regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)"
+def _plain(text: str) -> str:
+    """SQL that decodes the entities of a text and joins its words by single spaces."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#x27;", "''"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{char}')"
-    return f"nullif(trim(regexp_replace({plain}, '\\s+', ' ', 'g')), '') AS {tag}"
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _tag(tag: str) -> str:
+    return f"""nullif({_plain(f"regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)")}, '') AS {tag}"""
 
 
 @query(f"SELECT page_id, {_tag('title')}, {_tag('h1')} FROM pages")
@@ -69,7 +73,11 @@ def html_fields(t: Tables):
     return H.fields(t.pages, "page_id", "html").select("page_id", "title", "h1")
 
 
-@query()
+@query(f"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS link,
+        unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS words, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS i FROM pages),
+    d AS (SELECT page_id, CASE WHEN link LIKE '/%' THEN site || link ELSE link END AS href, min(i) AS first_i, arg_min(words, i) AS words FROM l GROUP BY ALL),
+    p AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first_i) - 1 AS pos, href, {_plain('words')} AS anchor FROM d)
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, href, anchor FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM p WHERE NOT contains(href, '/all-works')) WHERE n <= 5""")
 def html_links(t: Tables):
     return H.first_links(H.links(t.pages, "page_id", "url", "html"), "page_id", ~F.contains("href", F.lit("/all-works")), 5)
 

@@ -114,21 +114,21 @@ def _near(distance: str, k: int) -> str:
         row_number() OVER (PARTITION BY q.vec_id ORDER BY {distance}, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= {k}"""
 
 
-@query(f"SELECT query_id AS phrase, keyword_id AS id, round(1 - d, 6) AS similarity FROM ({_near(_WHOLE, 3)}) WHERE 1 - d >= 0.2")
+@query(f"SELECT query_id AS phrase, keyword_id AS id, round(1 - d, 6) AS similarity FROM ({_near(_WHOLE, 3)}) WHERE 1 - d >= -0.3")
 def phrase_matches(t: Tables):
     phrases = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("phrase"), "embedding")
-    found = K.phrase_matches(phrases, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 3, 0.2)
+    found = K.phrase_matches(phrases, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 3, -0.3)
     return found.select("phrase", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH u AS (SELECT query_id, keyword_id, d, 0 AS part, rank FROM ({_near(_WHOLE, 6)}) WHERE label % 2 = 0
-        UNION ALL SELECT query_id, keyword_id, d, 1, rank FROM ({_near(_HALF, 3)}) WHERE d < 0.5 AND label % 2 = 0),
+        UNION ALL SELECT query_id, keyword_id, d, 1, rank FROM ({_near(_HALF, 3)}) WHERE d < 1.0 AND label % 2 = 0),
     e AS (SELECT query_id, keyword_id, min(part * 100 + rank) AS place, arg_max(d, part * 100 + rank) AS d FROM u GROUP BY query_id, keyword_id)
-    SELECT query_id, keyword_id, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, keyword_id) AS INTEGER) AS rank FROM e WHERE d < 0.95""")
+    SELECT query_id, keyword_id, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, keyword_id) AS INTEGER) AS rank FROM e WHERE d < 1.4""")
 def keyword_lists(t: Tables):
     index = t.embeddings.select(F.col("vec_id").alias("keyword_id"), "embedding")
     half = index.withColumn("embedding", F.slice("embedding", 1, 32))
     asked = lambda rows: rows.where("keyword_id % 50 = 0").withColumnRenamed("keyword_id", "query_id")
     allowed = t.embeddings.where("label % 2 = 0").select(F.col("vec_id").alias("keyword_id"))
-    found = K.keyword_lists([(index, asked(index), 6, None), (half, asked(half), 3, 0.5)], allowed, "query_id", 0.95, False)
+    found = K.keyword_lists([(index, asked(index), 6, None), (half, asked(half), 3, 1.0)], allowed, "query_id", 1.4, False)
     return found.select("query_id", "keyword_id", F.round("distance", 6).alias("distance"), "rank")
