@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, ragged
-from .tokens import Coder, binaries, encoded, spaced, split_spaces
+from .tokens import Coder, binaries, encoded, spaced
 
 #: White space as Unicode has it; the pattern that byte-level vocabularies of this kind cut pieces with.
 _SPACES = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -165,7 +165,7 @@ def _vocabulary(path: str) -> tuple[Merges, Coder]:
             ends = np.concatenate([[0], np.cumsum(counts[number])])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
             return flat, np.diff(ends)
 
-        _kept[path] = merges, Coder(encode_chunks, split_spaces, merges.special)
+        _kept[path] = merges, Coder(encode_chunks, True, merges.special)
     return _kept[path]
 
 

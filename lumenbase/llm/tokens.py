@@ -2,8 +2,8 @@
 each distinct chunk is encoded once.
 
 A chunk boundary is a place no token can cross, so the ids equal those of the whole text:
-byte-level vocabularies split before a space that a visible character follows; vocabularies that drop
-white space split at ASCII white space. Special tokens written in a text are cut out first.
+byte-level vocabularies split before a space, and around a line feed, that a visible character follows; vocabularies
+that drop white space split at ASCII white space. Special tokens written in a text are cut out first.
 """
 
 from __future__ import annotations
@@ -14,11 +14,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import STEP_BYTES, ragged, steps
 
 #: Beyond so many chunks, or characters in them, a coder keeps only chunks that it has met again.
 MOST_CHUNKS, MOST_CHARS = 250_000, 12 << 20
+#: Marks of a chunk that no space precedes and of a line feed, while Arrow splits.
+_FIRST, _LINE = "\x00", "\x01"
+#: What keeps a text from being split at each space and line feed: white space or the end after one, or a mark.
+_ODD = r"[ \n](?:[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\x00\x01]"
 
 
 class _Numbered(dict):
@@ -36,8 +41,8 @@ class _Numbered(dict):
 class Coder:
     """``encode_chunks(list of chunks) -> (flat ids, counts)`` applied to each distinct chunk once."""
 
-    def __init__(self, encode_chunks: Callable, split: Callable, special: dict[str, int] | None = None):
-        self.encode_chunks, self.split, self.special = encode_chunks, split, special or {}
+    def __init__(self, encode_chunks: Callable, spaced: bool, special: dict[str, int] | None = None):
+        self.encode_chunks, self.spaced, self.special = encode_chunks, spaced, special or {}
         self.pattern = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
         self.known, self.chars = _Numbered(), 0
         self.flat, self.start, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -67,24 +72,56 @@ class Coder:
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
     def _chunks(self, text: str) -> list[int]:
-        number = self.known.__getitem__
-        if self.pattern is None or not self.pattern.search(text):
-            return list(map(number, self.split(text)))
-        found = []
-        for part in self.pattern.split(text):
+        """The numbers of one text's chunks; special tokens as -1 - id."""
+        number, found = self.known.__getitem__, []
+        for part in self.pattern.split(text) if self.pattern else [text]:
             if part in self.special:
                 found.append(-1 - self.special[part])
             elif part:
-                found += map(number, self.split(part))
+                found += map(number, split_spaces(part))
         return found
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has."""
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all chunks in order, and how many each text has.
+
+        Arrow splits the texts and finds the distinct chunks of the step, so Python meets each of those once. Texts with
+        special tokens, marks, or runs of white space are split in Python.
+        """
+        number = self.known.__getitem__
+        if not self.spaced:
+            chunks, odd = pc.ascii_split_whitespace(texts), np.zeros(len(texts), bool)
+        else:
+            odd = pc.match_substring_regex(texts, _ODD)
+            for token in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, token))
+            odd = odd.to_numpy(zero_copy_only=False)
+            marked = pc.binary_join_element_wise(pa.scalar(_FIRST, texts.type), texts.filter(pa.array(~odd)) if odd.any() else texts, pa.scalar("", texts.type))
+            chunks = pc.split_pattern(pc.replace_substring(marked, "\n", f" {_LINE} {_FIRST}"), " ")
+        distinct = chunks.flatten().dictionary_encode()
+        keys = distinct.dictionary.to_pylist()
+        if self.spaced:
+            keys = [c if c[:1] > _LINE else (c[1:],) if c[:1] == _FIRST else ("\n",) for c in keys]
+        found = np.fromiter(map(number, keys), np.int64, len(keys))[distinct.indices.to_numpy()]
+        counts = pc.list_value_length(chunks).to_numpy().astype(np.int64)
+        if not odd.any():
+            return found, counts
+        others = {i: self._chunks(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[~odd] = counts
+        per_text[odd] = [len(o) for o in others.values()]
+        starts = np.cumsum(per_text) - per_text
+        numbers = np.empty(int(per_text.sum()), np.int64)
+        numbers[ragged(starts[~odd], counts)] = found
+        for i, own in others.items():
+            numbers[starts[i] : starts[i] + len(own)] = own
+        return numbers, per_text
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each text has; null is empty."""
         if len(self.known) > MOST_CHUNKS or self.chars > MOST_CHARS:
             self._forget()
-        parts = [self._chunks(t) for t in texts]
-        per_text = np.fromiter(map(len, parts), np.int64, len(parts))
-        numbers = np.fromiter(chain.from_iterable(parts), np.int64, int(per_text.sum()))
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        numbers, per_text = self._numbers(texts)
         self._learn()
         cut = np.flatnonzero(numbers < 0)
         if len(self.size):
@@ -122,13 +159,10 @@ def spaced(chunks: list) -> list[str]:
     return [c[0] if type(c) is tuple else " " + c for c in chunks]
 
 
-def split_words(text: str) -> list[bytes]:
-    """Chunks of a vocabulary that drops white space."""
-    return text.encode().split()
-
-
-#: A word of Latin-1 letters, alone or with a space before and a mark after: pieces that need no normalization.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: A word of Latin-1 letters, alone or with ASCII marks after: one piece each, which need no normalization.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]{0,8})")
+#: So many runs of marks are remembered.
+MOST_MARKS = 10_000
 #: How byte-level vocabularies write the two UTF-8 bytes of U+00C0 to U+00FF: bytes from 0xA1 stand for themselves
 #: (but 0xAD), those from 0x80 to 0xA0 for U+0122 on.
 _BYTE_CHARS = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else "\u0143" if b == 0xAD else chr(0x122 + b - 0x80) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -149,28 +183,37 @@ def library_coder(path: str) -> Coder:
     drops_space = bool(spec.get("normalizer"))
 
     tokenize = tokenizer.model.tokenize
-    marks = {m: [t.id for t in tokenize(m)] for m in ".,;:!?"}
+    marks: dict[str, list[int]] = {"": []}
 
     def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
-        texts = [c.decode() for c in chunks] if drops_space else spaced(chunks)
-        found: list = [None] * len(texts)
+        found, rest = [], []
         words: dict[str, list[int]] = {}
-        for i, text in enumerate(texts):
-            if plain := _PLAIN.fullmatch(text):  # one word is one piece: straight to the merges
-                word, mark = plain.groups()
-                if (ids := words.get(word)) is None:
-                    piece = word.lower() if drops_space else "\u0120" + word[1:] if word[0] == " " else word
-                    piece = piece if word.isascii() else piece.translate(_BYTE_CHARS)
-                    ids = words[word] = [t.id for t in tokenize(piece)]
-                found[i] = ids + marks[mark] if mark else ids
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for i, encoding in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+        if len(marks) > MOST_MARKS:
+            marks.clear()
+        plain, begin = _PLAIN.fullmatch, "" if drops_space else "\u0120"
+        for i, chunk in enumerate(chunks):
+            match = plain(chunk) if type(chunk) is str else plain(chunk[0])
+            if match is None:
+                rest.append(i)
+                found.append(())
+                continue
+            word, mark = match.groups()
+            piece = word.lower() if drops_space else begin + word if type(chunk) is str else word
+            if (ids := words.get(piece)) is None:  # one word is one piece: straight to the merges
+                ids = words[piece] = [t.id for t in tokenize(piece if word.isascii() else piece.translate(_BYTE_CHARS))]
+            if mark:
+                if mark not in marks:
+                    marks[mark] = [t.id for t in tokenize(mark)]
+                ids = ids + marks[mark]
+            found.append(ids)
+        others = [chunks[i] for i in rest]
+        for i, encoding in zip(rest, tokenizer.encode_batch_fast(others if drops_space else spaced(others), add_special_tokens=False)):
             found[i] = encoding.ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     special = {} if drops_space else {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return Coder(encode_chunks, split_words if drops_space else split_spaces, special)
+    return Coder(encode_chunks, not drops_space, special)
 
 
 _coders: dict = {}
@@ -186,8 +229,7 @@ def library_coder_of(path: str) -> Coder:
 def encoded(batches: Iterable[pa.RecordBatch], coder: Coder, text: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with all their ids and the count of each row; null is empty."""
     for batch in steps(batches, text, step):
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        yield batch, *coder.encode([t or "" for t in texts])
+        yield batch, *coder.encode(batch.column(batch.schema.get_field_index(text)))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
