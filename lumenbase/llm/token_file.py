@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, scratch
-from .tokens import id_type, part_bases, token_table
+from .tokens import id_type, part_bases, token_table, values
 
 BLOCK, LANES, EVERY = 1 << 20, 2048, 128
 LOW = np.uint64(1 << 31)
@@ -103,20 +103,20 @@ def _blocks(part: int, documents_of, width: str, tables: Tables):
 
     def flush():
         nonlocal start, number, held, ids, counts
-        values = np.concatenate(ids)
-        lanes = LANES if len(values) >= 64 * LANES else 128 if len(values) >= 1 << 13 else 16
-        states, marks, words = encode_block(values.astype(np.int64), tables, lanes)
-        row = [part, number, start, len(values), lanes, states.tobytes(), marks.tobytes(), words.tobytes(), zlib.crc32(words), zlib.crc32(values.astype("<u4")), counts, [len(i) for i in ids]]
-        start, number, held, ids, counts = start + len(values), number + 1, 0, [], []
+        block = np.concatenate(ids)
+        lanes = LANES if len(block) >= 64 * LANES else 128 if len(block) >= 1 << 13 else 16
+        states, marks, words = encode_block(block.astype(np.int64), tables, lanes)
+        row = [part, number, start, len(block), lanes, states.tobytes(), marks.tobytes(), words.tobytes(), zlib.crc32(words), zlib.crc32(block.astype("<u4")), counts, [len(i) for i in ids]]
+        start, number, held, ids, counts = start + len(block), number + 1, 0, [], []
         return row
 
     for doc_id, raw in documents_of:
-        values = np.frombuffer(raw, width)
-        if held and held + len(values) > BLOCK:
+        own = np.frombuffer(raw, width)
+        if held and held + len(own) > BLOCK:
             yield flush()
-        ids.append(values)
+        ids.append(own)
         counts.append(doc_id)
-        held += len(values)
+        held += len(own)
     if held:
         yield flush()
 
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def count(batches):
         totals = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
+            got = np.bincount(values(batch.column(0), width)) if batch.num_rows else totals[:0]
             if len(got) > len(totals):
                 totals = np.pad(totals, (0, len(got) - len(totals)))
             totals[: len(got)] += got

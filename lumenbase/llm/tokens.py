@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .common import STEP_BYTES, ragged, steps
 
-#: Beyond so many chunks, or characters in them, a coder keeps only chunks that it has met again.
-MOST_CHUNKS, MOST_CHARS = 250_000, 12 << 20
+#: Beyond so many chunks, or characters in them, a coder keeps only those met most often, up to half as many.
+MOST_CHUNKS, MOST_CHARS = 600_000, 12 << 20
 #: Marks of a chunk that no space precedes and of a line feed, while Arrow splits.
 _FIRST, _LINE = "\x00", "\x01"
 #: What keeps a text from being split at each space and line feed: white space or the end after one, or a mark.
@@ -48,18 +48,20 @@ class Coder:
         self.flat, self.start, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Keep the chunks met at least twice, or none if those are too many as well."""
+        """Keep the chunks met at least twice, at most half of what is allowed; how often they were met counts half."""
         keep = np.flatnonzero(self.met >= 2)
+        if len(keep) > MOST_CHUNKS // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: MOST_CHUNKS // 2]])
         old = list(self.known)
-        chunks = [old[i] for i in keep]
-        if len(keep) > MOST_CHUNKS // 2 or sum(map(len, chunks)) > MOST_CHARS // 2:
+        chunks = [old[i] for i in keep.tolist()]
+        if sum(map(len, chunks)) > MOST_CHARS // 2:
             keep, chunks = keep[:0], []
         self.known, self.chars = _Numbered(), sum(map(len, chunks))
         self.known.update(zip(chunks, range(len(chunks))))
         self.flat = self.flat[ragged(self.start[keep], self.size[keep])]
         self.size = self.size[keep]
         self.start = np.cumsum(self.size) - self.size
-        self.met = np.zeros(len(keep), np.int64)
+        self.met = self.met[keep] // 2
 
     def _learn(self) -> None:
         unseen, self.known.unseen = self.known.unseen, []
@@ -248,6 +250,13 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def values(column: pa.Array, width: str) -> np.ndarray:
+    """What ``binaries`` put into all rows, without copying it."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32, len(column) + 1, column.offset * (8 if pa.types.is_large_binary(column.type) else 4))
+    size = np.dtype(width).itemsize
+    return np.frombuffer(column.buffers()[2] or b"", width, int(offsets[-1] - offsets[0]) // size, int(offsets[0]))
+
+
 def token_table(docs, path: str, end_id: int, step: int = STEP_BYTES):
     """(part, local_start, doc_id, n_tokens, ids) of every document, in scan order, as a table in the shared folder.
 
