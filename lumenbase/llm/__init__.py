@@ -1,4 +1,4 @@
-"""Training-data operators: ten building blocks for preparing large text corpora on Spark.
+"""Training-data operators: building blocks for preparing large text corpora on Spark.
 
 Each module holds one operator with a general DataFrame interface, the thin
 ``opN_*`` query that applies it to its whole table, and (where SQL can express
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["bpe", "embedding_dedup", "quality", "toxicity", "token_file", "url_filter", "substring_dedup", "packing", "simhash", "line_dedup"]
+_MODULES = ["bpe", "embedding_dedup", "quality", "toxicity", "token_file", "url_filter", "substring_dedup", "packing", "simhash", "line_dedup", "mixing", "periodic", "conversations"]
 
 
 def queries() -> dict:
