@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, ragged
+from .common import documents, kept, ragged
 from .tokens import Coder, binaries, encoded, spaced
 
 #: White space as Unicode has it; the pattern that byte-level vocabularies of this kind cut pieces with.
@@ -145,28 +145,23 @@ class Merges:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-_kept: dict[str, tuple[Merges, Coder]] = {}
-
-
 def _vocabulary(path: str) -> tuple[Merges, Coder]:
-    """One vocabulary and chunk memory for each worker process."""
-    if path not in _kept:
-        import regex
-
-        merges, cut = Merges(path), regex.compile(_PIECES)
-
-        def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
-            parts = [cut.findall(c) for c in spaced(chunks)]
-            distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-            ids, counts = merges.encode([p.encode() for p in distinct])
-            number = np.array([distinct[p] for ps in parts for p in ps], np.int64)
-            starts = np.cumsum(counts) - counts
-            flat = ids[ragged(starts[number], counts[number])]
-            ends = np.concatenate([[0], np.cumsum(counts[number])])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
-            return flat, np.diff(ends)
-
-        _kept[path] = merges, Coder(encode_chunks, True, merges.special)
-    return _kept[path]
+    """One vocabulary and chunk memory for each worker process and stage."""
+    import regex
+
+    merges, cut = kept(f"merges {path}", lambda: Merges(path)), regex.compile(_PIECES)
+
+    def encode_chunks(chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        parts = [cut.findall(c) for c in spaced(chunks)]
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
+        ids, counts = merges.encode([p.encode() for p in distinct])
+        number = np.array([distinct[p] for ps in parts for p in ps], np.int64)
+        starts = np.cumsum(counts) - counts
+        flat = ids[ragged(starts[number], counts[number])]
+        ends = np.concatenate([[0], np.cumsum(counts[number])])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+        return flat, np.diff(ends)
+
+    return merges, kept(f"pieces {path}", lambda: Coder(encode_chunks, True, merges.special))
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -97,12 +97,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_held: dict = {"stage": None}
+
+
+def _stage() -> int | None:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def _let_go() -> None:
+    """Forget what this worker kept for the tasks of another stage."""
+    if _held["stage"] != (stage := _stage()):
+        _held.clear()
+        _held["stage"] = stage
+
+
+def kept(key: str, make: Callable):
+    """``make()``, kept by this worker process for later tasks of the same stage."""
+    _let_go()
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 #: Bytes of text that one step of a Python task handles at a time; one longer text makes a step of its own.
 STEP_BYTES = 4 << 20
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` (string or binary) holds at most ``limit`` bytes, or one row."""
+    _let_go()
     for batch in batches:
         if not batch.num_rows:
             continue

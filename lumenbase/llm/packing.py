@@ -28,7 +28,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     """One row per piece of a document in a sequence, with its ids (little-endian unsigned 32-bit)."""
     table = token_table(docs, tokenizer, end_id)
     width = id_type(tokenizer)
-    placed = table.join(F.broadcast(part_bases(table)), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
+    placed = table.where("counts is null").join(F.broadcast(part_bases(table)), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
 
     def cut(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, scratch
-from .tokens import id_type, part_bases, token_table, values
+from .tokens import id_type, part_bases, token_table
 
 BLOCK, LANES, EVERY = 1 << 20, 2048, 128
 LOW = np.uint64(1 << 31)
@@ -127,18 +127,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     table = token_table(docs, tokenizer, end_id)
     width = id_type(tokenizer)
 
-    def count(batches):
-        totals = np.zeros(1 << 16, np.int64)
+    def listed(batches):
         for batch in batches:
-            got = np.bincount(values(batch.column(0), width)) if batch.num_rows else totals[:0]
-            if len(got) > len(totals):
-                totals = np.pad(totals, (0, len(got) - len(totals)))
-            totals[: len(got)] += got
-        used = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                totals = np.frombuffer(raw, np.int64)
+                used = np.flatnonzero(totals)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["id", "n"])
 
     # one row for each id of the vocabulary, so its size bounds what reaches the driver
-    found = table.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tallies = table.select("counts").where("counts is not null")
+    found = tallies.mapInArrow(listed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in found], default=-1) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -155,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for row in _blocks(part, rows, width, tables):
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    ordered = table.repartitionByRange("doc_id", "part", "local_start").sortWithinPartitions("doc_id", "part", "local_start")
+    ordered = table.where("counts is null").repartitionByRange("doc_id", "part", "local_start").sortWithinPartitions("doc_id", "part", "local_start")
     ordered.select("doc_id", "ids").mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     part_bases(spark.read.parquet(f"{path}/blocks")).write.parquet(f"{path}/parts")
 

@@ -16,80 +16,77 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import STEP_BYTES, ragged, steps
+from .common import STEP_BYTES, kept, ragged, steps
 
-#: Beyond so many chunks, or characters in them, a coder keeps only those met most often, up to half as many.
-MOST_CHUNKS, MOST_CHARS = 250_000, 12 << 20
-#: Marks of a chunk that no space precedes and of a line feed, while Arrow splits.
+#: Beyond so many chunks, or bytes in them, a coder keeps only those met most often, up to half as many.
+MOST_CHUNKS, MOST_BYTES = 700_000, 16 << 20
+#: Marks of a chunk that no space precedes and of a line feed (alone) or of a chunk that begins with a mark.
 _FIRST, _LINE = "\x00", "\x01"
 #: What keeps a text from being split at each space and line feed: white space or the end after one, or a mark.
 _ODD = r"[ \n](?:[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\x00\x01]"
 
 
-class _Numbered(dict):
-    """Numbers unseen keys and lists them."""
-
-    def __init__(self):
-        self.unseen: list = []
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.unseen.append(key)
-        return n
-
-
 class Coder:
-    """``encode_chunks(list of chunks) -> (flat ids, counts)`` applied to each distinct chunk once."""
+    """``encode_chunks(list of chunks) -> (flat ids, counts)`` applied to each distinct chunk once.
+
+    Chunks are remembered as one Arrow array, a few dozen bytes each, in which Arrow looks up the distinct chunks of a step."""
 
     def __init__(self, encode_chunks: Callable, spaced: bool, special: dict[str, int] | None = None):
         self.encode_chunks, self.spaced, self.special = encode_chunks, spaced, special or {}
         self.pattern = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
-        self.known, self.chars = _Numbered(), 0
-        self.flat, self.start, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.start, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
         """Keep the chunks met at least twice, at most half of what is allowed; how often they were met counts half."""
         keep = np.flatnonzero(self.met >= 2)
         if len(keep) > MOST_CHUNKS // 2:
             keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: MOST_CHUNKS // 2]])
-        old = list(self.known)
-        chunks = [old[i] for i in keep.tolist()]
-        if sum(map(len, chunks)) > MOST_CHARS // 2:
-            keep, chunks = keep[:0], []
-        self.known, self.chars = _Numbered(), sum(map(len, chunks))
-        self.known.update(zip(chunks, range(len(chunks))))
+        known = self.known.take(pa.array(keep))
+        if (pc.sum(pc.binary_length(known)).as_py() or 0) > MOST_BYTES // 2:
+            keep, known = keep[:0], known[:0]
+        self.known = known
         self.flat = self.flat[ragged(self.start[keep], self.size[keep])]
         self.size = self.size[keep]
-        self.start = np.cumsum(self.size) - self.size
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
         self.met = self.met[keep] // 2
 
-    def _learn(self) -> None:
-        unseen, self.known.unseen = self.known.unseen, []
-        if not unseen:
-            return
-        ids, counts = self.encode_chunks(unseen)
-        ends = np.cumsum(counts) + len(self.flat)
-        self.chars += sum(map(len, unseen))
-        self.start, self.size = np.concatenate([self.start, ends - counts]), np.concatenate([self.size, counts])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-
-    def _chunks(self, text: str) -> list[int]:
-        """The numbers of one text's chunks; special tokens as -1 - id."""
-        number, found = self.known.__getitem__, []
+    def _found(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of distinct chunks; those not met before are encoded."""
+        number = pc.index_in(chunks, value_set=self.known)
+        if number.null_count:
+            unseen = chunks.filter(number.is_null())
+            texts = unseen.to_pylist()
+            if self.spaced:
+                texts = [c if c[:1] > _LINE else (c[1:],) if c[:1] == _FIRST else ("\n",) if c == _LINE else c[1:] for c in texts]
+            ids, counts = self.encode_chunks(texts)
+            ends = np.cumsum(counts) + len(self.flat)
+            first = len(self.known)
+            self.known = pa.concat_arrays([self.known, unseen])
+            self.start, self.size = np.concatenate([self.start, ends - counts]), np.concatenate([self.size, counts.astype(np.int32)])
+            self.flat, self.met = np.concatenate([self.flat, ids.astype(np.uint32)]), np.concatenate([self.met, np.zeros(len(counts), np.int32)])
+            own = np.flatnonzero(np.asarray(number.is_null()))
+            number = np.asarray(number.fill_null(0)).astype(np.int64)
+            number[own] = first + np.arange(len(own))
+            return number
+        return np.asarray(number).astype(np.int64)
+
+    def _chunks(self, text: str) -> list:
+        """One text's chunks as they are remembered; special tokens as their ids."""
+        found: list = []
         for part in self.pattern.split(text) if self.pattern else [text]:
             if part in self.special:
-                found.append(-1 - self.special[part])
+                found.append(self.special[part])
             elif part:
-                found += map(number, split_spaces(part))
+                found += [_FIRST + c[0] if type(c) is tuple else c if c[:1] > _LINE else _LINE + c for c in split_spaces(part)]
         return found
 
     def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all chunks in order, and how many each text has.
+        """The numbers of all chunks in order, special tokens as -1 - id, and how many each text has.
 
         Arrow splits the texts and finds the distinct chunks of the step, so Python meets each of those once. Texts with
         special tokens, marks, or runs of white space are split in Python.
         """
-        number = self.known.__getitem__
         if not self.spaced:
             chunks, odd = pc.ascii_split_whitespace(texts), np.zeros(len(texts), bool)
         else:
@@ -100,14 +97,13 @@ class Coder:
             marked = pc.binary_join_element_wise(pa.scalar(_FIRST, texts.type), texts.filter(pa.array(~odd)) if odd.any() else texts, pa.scalar("", texts.type))
             chunks = pc.split_pattern(pc.replace_substring(marked, "\n", f" {_LINE} {_FIRST}"), " ")
         distinct = chunks.flatten().dictionary_encode()
-        keys = distinct.dictionary.to_pylist()
-        if self.spaced:
-            keys = [c if c[:1] > _LINE else (c[1:],) if c[:1] == _FIRST else ("\n",) for c in keys]
-        found = np.fromiter(map(number, keys), np.int64, len(keys))[distinct.indices.to_numpy()]
+        found = self._found(distinct.dictionary)[distinct.indices.to_numpy()]
         counts = pc.list_value_length(chunks).to_numpy().astype(np.int64)
         if not odd.any():
             return found, counts
         others = {i: self._chunks(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        words = list(dict.fromkeys(c for own in others.values() for c in own if type(c) is str))
+        number = dict(zip(words, self._found(pa.array(words, pa.large_string())).tolist()))
         per_text = np.zeros(len(texts), np.int64)
         per_text[~odd] = counts
         per_text[odd] = [len(o) for o in others.values()]
@@ -115,23 +111,20 @@ class Coder:
         numbers = np.empty(int(per_text.sum()), np.int64)
         numbers[ragged(starts[~odd], counts)] = found
         for i, own in others.items():
-            numbers[starts[i] : starts[i] + len(own)] = own
+            numbers[starts[i] : starts[i] + len(own)] = [number[c] if type(c) is str else -1 - c for c in own]
         return numbers, per_text
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has; null is empty."""
-        if len(self.known) > MOST_CHUNKS or self.chars > MOST_CHARS:
+        if len(self.known) > MOST_CHUNKS or self.known.nbytes > MOST_BYTES + 8 * MOST_CHUNKS:
             self._forget()
         texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
         numbers, per_text = self._numbers(texts)
-        self._learn()
         cut = np.flatnonzero(numbers < 0)
         if len(self.size):
             chunk = np.maximum(numbers, 0)
-            met = np.bincount(chunk, minlength=len(self.size))
-            met[: len(self.met)] += self.met
-            self.met = met
-            starts, sizes = self.start[chunk], self.size[chunk]
+            self.met += np.bincount(chunk, minlength=len(self.size)).astype(np.int32)
+            starts, sizes = self.start[chunk], self.size[chunk].astype(np.int64)
         else:
             starts, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         sizes[cut] = 1
@@ -218,14 +211,9 @@ def library_coder(path: str) -> Coder:
     return Coder(encode_chunks, not drops_space, special)
 
 
-_coders: dict = {}
-
-
 def library_coder_of(path: str) -> Coder:
-    """One coder for each worker process; its chunks serve later tasks."""
-    if path not in _coders:
-        _coders[path] = library_coder(path)
-    return _coders[path]
+    """One coder for each worker process and stage; its chunks serve later tasks."""
+    return kept(f"coder {path}", lambda: library_coder(path))
 
 
 def encoded(batches: Iterable[pa.RecordBatch], coder: Coder, text: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -250,18 +238,12 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def values(column: pa.Array, width: str) -> np.ndarray:
-    """What ``binaries`` put into all rows, without copying it."""
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32, len(column) + 1, column.offset * (8 if pa.types.is_large_binary(column.type) else 4))
-    size = np.dtype(width).itemsize
-    return np.frombuffer(column.buffers()[2] or b"", width, int(offsets[-1] - offsets[0]) // size, int(offsets[0]))
-
-
 def token_table(docs, path: str, end_id: int, step: int = STEP_BYTES):
-    """(part, local_start, doc_id, n_tokens, ids) of every document, in scan order, as a table in the shared folder.
+    """(part, local_start, doc_id, n_tokens, ids, counts) of every document, in scan order, as a table in the shared folder.
 
     ``part`` is the task that read the document and ``local_start`` counts the ids before it in that task; ids are
-    little-endian unsigned 16- or 32-bit integers, whichever ``id_type`` says for the vocabulary.
+    little-endian unsigned 16- or 32-bit integers, whichever ``id_type`` says for the vocabulary. ``counts`` is null but in
+    one row more for each task, without a document: how often each id occurs in the task, as 64-bit integers.
     """
     from .common import written
 
@@ -270,14 +252,21 @@ def token_table(docs, path: str, end_id: int, step: int = STEP_BYTES):
     def tokenize(batches):
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, totals = TaskContext.get().partitionId(), 0, np.zeros(1 << 16, np.int64)
+        names = ["part", "local_start", "doc_id", "n_tokens", "ids", "counts"]
         for batch, ids, counts in encoded(batches, library_coder_of(path), step=step):
             ids, counts = with_end(ids, counts, end_id)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), batch.column(0), pa.array(counts), binaries(ids.astype(width), counts)], ["part", "local_start", "doc_id", "n_tokens", "ids"])
-
-    return written(docs.select("doc_id", "text").mapInArrow(tokenize, "part int, local_start long, doc_id long, n_tokens long, ids binary"))
+            met = np.bincount(ids)
+            if len(met) > len(totals):
+                totals = np.pad(totals, (0, len(met) - len(totals)))
+            totals[: len(met)] += met
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), batch.column(0), pa.array(counts), binaries(ids.astype(width), counts), pa.nulls(len(counts), pa.binary())], names)
+        end = [pa.array([part], pa.int32()), pa.array([at]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([b""]), pa.array([np.trim_zeros(totals, "b").tobytes()])]
+        yield pa.RecordBatch.from_arrays(end, names)
+
+    return written(docs.select("doc_id", "text").mapInArrow(tokenize, "part int, local_start long, doc_id long, n_tokens long, ids binary, counts binary"))
 
 
 def id_type(path: str) -> str:
