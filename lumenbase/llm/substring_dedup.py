@@ -5,11 +5,13 @@ A window is ``WINDOW`` consecutive words. Each window is represented by the leas
 The index is a folder of immutable runs: tables of (gram, doc_id), bucketed and sorted by gram, one for each batch of
 documents. ``add`` merge-joins a new batch's run with the runs of history, which are neither shuffled nor sorted
 again. Grams that two documents hold are suspects; a Bloom filter sized from their number picks the windows to verify,
-in the batch and in those historical texts alone that the runs name for a suspected gram. Windows are verified by two
+in the batch and in those historical texts alone that the runs name for a suspected gram; where these are few (``MOST_NAMED``)
+their doc_ids are broadcast, so no other historical text leaves the scan. Windows are verified by two
 64-bit hashes over independent word hashes: each task first settles what it can see itself, and only each window's
 first holder in a task is shuffled. Two runs of equal level are compacted into one of the next when a later batch
 comes, which then joins the merged run. The list of runs is committed last, so a broken ``add`` leaves the index as it
-was, and a later session that opens the folder goes on from there.
+was, and a later session that opens the folder goes on from there. What an earlier batch has been given stays: a document of
+a later batch loses what any historical document holds, whatever their doc_ids, and in a batch the smaller doc_id keeps.
 
 Whole copies are settled first: a document whose text an earlier one holds loses every window and needs no entry, so
 the index keeps a second table a run of (text hashes, first doc_id), bucketed and merge-joined alike. Up to
@@ -38,6 +40,10 @@ WINDOW, GRAM = 50, 25
 #: Copies whose 64-bit marks are broadcast (32 MB), documents whose lost stretches are broadcast to their texts, and
 #: the stretch that stands for all windows of a document.
 MOST_COPIES, MOST_LOSERS, ALL = 4_000_000, 500_000, -1
+#: Historical documents whose doc_ids are broadcast (16 MB); beyond, a Bloom filter of them picks.
+MOST_NAMED = 1_000_000
+#: Bytes of text that a task splits into words at a time.
+STEP = 2 << 20
 #: Odd multipliers of the two polynomial hashes, and of the final mixing.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -121,7 +127,7 @@ def grams(docs: DataFrame, skip) -> DataFrame:
     """(gram, doc_id): the representative grams of each document, each once, as a rule."""
 
     def find(batches):
-        for batch in steps(batches, "text", 4 << 20):
+        for batch in steps(batches, "text", STEP):
             ids, _, texts = _texts(batch, skip.value)
             row, _, gram, _ = _derived(texts)
             fresh = np.ones(len(gram), bool)
@@ -143,12 +149,12 @@ def _filter(hashes: DataFrame) -> tuple[list | None, int]:
     return small(written(merged(hashes.mapInArrow(build, SCHEMA), "once", segments))), segments
 
 
-_FOUND = "w1 long, w2 long, doc_id long, text_key long, first int, last int, settled boolean"
+_FOUND = "w1 long, w2 long, doc_id long, text_key long, first int, last int, settled boolean, fresh boolean"
 
 
-def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after: int, skip, named: DataFrame | None = None) -> DataFrame:
+def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, fresh: bool, skip, named: DataFrame | None = None) -> DataFrame:
     """Windows whose gram is suspected. In each step the smallest document's are listed for the shuffle; stretches of
-    windows of later documents (beyond ``after``) are settled: they go. Only the documents ``named`` by the hashes of
+    windows of later documents are settled if the documents are ``fresh``: they go. Only the documents ``named`` by the hashes of
     their doc_ids are split into windows, all if none is given. Where a filter is too large to broadcast, ``holders``
     (gram, doc_id) gives each document its own suspected grams instead."""
     (marks, segments), (names, name_segments) = _filter(suspects), _filter(named) if named else (None, 1)
@@ -162,7 +168,7 @@ def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after:
         marks, names = shared.value
         known = Filter(marks, segments) if marks is not None else None
         wanted = Filter(names, name_segments) if names is not None and known else None
-        for batch in steps(batches, "text", 4 << 20):
+        for batch in steps(batches, "text", STEP):
             ids, keys, texts = _texts(batch, skip.value)
             if wanted:
                 hit = wanted.holds(np.asarray(batch.column(4)).view(np.uint64))
@@ -181,12 +187,12 @@ def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after:
             row, pos, (w1, w2) = row[keep], pos[keep], verify(keep)
             order = np.lexsort((ids[row], w2, w1))
             row, pos, w1, w2 = row[order], pos[order], w1[order], w2[order]
-            fresh = np.ones(len(w1), bool)
-            fresh[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            owner = ids[row][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            other = np.ones(len(w1), bool)
+            other[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            owner = ids[row][np.flatnonzero(other)][np.cumsum(other) - 1]
             mine = ids[row] == owner
             parts = [(w1[mine].view(np.int64), w2[mine].view(np.int64), row[mine], pos[mine], pos[mine], False)]
-            gone = ~mine & (ids[row] > after)
+            gone = ~mine & fresh
             r, p = row[gone], pos[gone]
             order = np.lexsort((p, r))
             r, p = r[order], p[order]
@@ -196,7 +202,7 @@ def _candidates(docs: DataFrame, suspects: DataFrame, holders: DataFrame, after:
                 none = np.zeros(len(first), np.int64)
                 parts.append((none, none, r[first], p[first], p[last], True))
             for a, b, r, first, last, settled in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[r]), pa.array(keys[r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(r), settled))], ["w1", "w2", "doc_id", "text_key", "first", "last", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[r]), pa.array(keys[r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(r), settled)), pa.array(np.full(len(r), fresh))], ["w1", "w2", "doc_id", "text_key", "first", "last", "settled", "fresh"])
 
     return keyed.mapInArrow(find, _FOUND)
 
@@ -210,10 +216,15 @@ LOST = "doc_id long, text_key long, first int, last int"
 _TABLES = {"grams": ("gram", "gram BIGINT, doc_id BIGINT"), "texts": ("text_key", "text_key BIGINT, other_key BIGINT, owner BIGINT")}
 
 
+def _name(path: str) -> str:
+    """The table of a run in the session's catalogue."""
+    return f"run_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
+
 class FingerprintIndex:
     """Immutable bucketed and sorted runs in ``folder``; opening a folder that holds an index goes on with it.
 
-    ``add`` takes batches in ascending doc_id. A state file lists the runs; it is written last."""
+    A state file lists the runs; it is written last. ``close`` takes the runs out of the session's catalogue."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -223,7 +234,7 @@ class FingerprintIndex:
         if states:
             self.state = json.loads(spark.read.text(states[-1]).first()[0])
         else:
-            self.state = {"version": 0, "upto": None, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": []}
+            self.state = {"version": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": []}
 
     def _write(self, kind: str, rows: DataFrame, path: str) -> None:
         """One file for each bucket, sorted, so that readers need neither exchange nor sort."""
@@ -234,7 +245,7 @@ class FingerprintIndex:
     def run(self, kind: str, path: str) -> DataFrame:
         """A run as a table; in a new session it is declared again."""
         key, columns = _TABLES[kind]
-        name = f"run_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        name = _name(path)
         self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # buckets of one file keep their order
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets']} BUCKETS LOCATION '{path}'")
         return self.spark.table(name)
@@ -247,23 +258,20 @@ class FingerprintIndex:
         keyed = docs.selectExpr(*_KEYED[:3], "xxhash64(1, text) as other_key")
         first = written(keyed.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("owner")))
         self._write("texts", first, path)
-        own, both = self.run("texts", path), ["text_key", "other_key"]
+        own, both = self.run("texts", path).withColumn("old", F.lit(False)), ["text_key", "other_key"]
         for past in self.history("texts"):
-            past = past.select(F.col("text_key").alias("k"), F.col("other_key").alias("o"), F.col("owner").alias("before"))
-            own = own.join(past.hint("merge"), (own["text_key"] == past["k"]) & (own["other_key"] == past["o"]), "left").select(*both, F.least("owner", "before").alias("owner"))
-        return written(keyed.join(own, both).where("doc_id > owner").select("mark", "doc_id", "text_key"))
+            past = past.select(F.col("text_key").alias("k"), F.col("other_key").alias("o"))
+            own = own.join(past.hint("merge"), (own["text_key"] == past["k"]) & (own["other_key"] == past["o"]), "left").select(*both, "owner", (F.col("old") | F.col("k").isNotNull()).alias("old"))
+        return written(keyed.join(own, both).where("old or doc_id > owner").select("mark", "doc_id", "text_key"))
 
     def add(self, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Index new documents (doc_id, text); LOST: stretches of windows that they lose.
 
-        ``known`` are the documents added before, of which only those are read that hold a suspected gram."""
+        ``known`` holds the documents added before (others in it don't matter if their doc_ids differ); of these only those
+        that hold a suspected gram are split into words."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-        if low is None:
+        if docs.isEmpty():
             return self.spark.createDataFrame([], LOST)
-        upto = self.state["upto"]
-        if upto is not None and low <= upto:
-            raise ValueError(f"doc_id {low} is not beyond {upto}, the largest in the index")
         self._compact()
         level = f"{self.folder}/run-{uuid.uuid4().hex}"
         copies = self._copies(docs, f"{level}/texts")
@@ -276,26 +284,34 @@ class FingerprintIndex:
         shared = [run.groupBy("gram").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")).where("shared").select("gram")]
         shared += [met(run, old) for old in past]
         suspects = written(_union(shared).distinct())
-        after = upto if upto is not None else -(1 << 63)
-        found = _candidates(docs, suspects, run, after, skip)
+        found = _candidates(docs, suspects, run, True, skip)
         if past and known is not None:
             # the runs say which historical documents hold a suspected gram
             holders = written(_union([old.join(suspects, "gram", "left_semi") for old in past]))
-            named = written(holders.select(F.xxhash64("doc_id").alias("name")).distinct())
-            old_docs = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id") <= upto)
+            named = written(holders.select("doc_id").distinct())
+            old_docs = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            if named.count() <= MOST_NAMED:
+                old_docs, named = old_docs.join(F.broadcast(named), "doc_id", "left_semi"), None
+            names = written(named.select(F.xxhash64("doc_id").alias("name"))) if named else None
             none = self.spark.sparkContext.broadcast(np.zeros(0, np.int64))
-            found = found.union(_candidates(old_docs, suspects, holders, after, none, named))
+            old = _candidates(old_docs, suspects, holders, False, none, names)
+            found = found.unionByName(old.join(named, "doc_id", "left_semi") if named else old)  # less what the filter let pass
         found = written(found)
-        open_rows = found.where("not settled")
-        firsts = open_rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("w1", "w2", "owner")
-        lost = open_rows.join(firsts, ["w1", "w2"]).where((F.col("doc_id") > F.col("owner")) & (F.col("doc_id") > after))
+        open_rows = found.where("not settled").withColumn("place", F.struct("fresh", "doc_id"))
+        firsts = open_rows.groupBy("w1", "w2").agg(F.min("place").alias("owner"), F.max("place").alias("most")).where("owner < most").select("w1", "w2", "owner")
+        lost = open_rows.join(firsts, ["w1", "w2"]).where("fresh and place > owner")
         columns = ["doc_id", "text_key", "first", "last"]
         whole = copies.select("doc_id", "text_key", F.lit(0).alias("first"), F.lit(ALL).alias("last"))
-        self._commit([*self.state["runs"], {"level": 0, "grams": f"{level}/grams", "texts": f"{level}/texts"}], high)
+        self._commit([*self.state["runs"], {"level": 0, "grams": f"{level}/grams", "texts": f"{level}/texts"}])
         return lost.select(columns).union(found.where("settled").select(columns)).union(whole)
 
-    def _commit(self, runs: list[dict], upto: int | None) -> None:
-        self.state |= {"version": self.state["version"] + 1, "runs": runs, "upto": upto}
+    def close(self) -> None:
+        for r in self.state["runs"]:
+            for kind in _TABLES:
+                self.spark.sql(f"DROP TABLE IF EXISTS {_name(r[kind])}")
+
+    def _commit(self, runs: list[dict]) -> None:
+        self.state |= {"version": self.state["version"] + 1, "runs": runs}
         state = self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1)
         state.write.text(f"{self.folder}/state-{self.state['version']:08d}")
 
@@ -310,10 +326,10 @@ class FingerprintIndex:
                     rows = rows.groupBy("text_key", "other_key").agg(F.min("owner").alias("owner"))
                 new[kind] = f"{path}/{kind}"
                 self._write(kind, rows, new[kind])
-            self._commit([*runs[:-2], new], self.state["upto"])
+            self._commit([*runs[:-2], new])
             for old in (a, b):
                 for kind in _TABLES:
-                    self.spark.sql(f"DROP TABLE IF EXISTS run_{uuid.uuid5(uuid.NAMESPACE_URL, old[kind]).hex}")
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_name(old[kind])}")
                     removed(self.spark, old[kind])
 
 
@@ -386,8 +402,9 @@ def cleaned(docs: DataFrame, batches: int = 3, folder: str | None = None) -> Dat
         index, after = FingerprintIndex(spark, folder or scratch(spark)), None
         for upto in sorted({*(row["cuts"] if shares else []), row["most"]}):
             batch = df.where(F.col("doc_id") <= upto)
-            lost.append(index.add(batch if after is None else batch.where(F.col("doc_id") > after), df))
+            lost.append(index.add(batch) if after is None else index.add(batch.where(F.col("doc_id") > after), df.where(F.col("doc_id") <= after)))
             after = upto
+        index.close()
     return without_windows(docs, _union(lost))
 
 

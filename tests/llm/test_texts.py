@@ -132,8 +132,21 @@ def test_substring_index_in_later_calls(spark, docs, rows):
     assert [r["level"] for r in substring_dedup.FingerprintIndex(spark, folder).state["runs"]] == [1, 0]
     out = substring_dedup.without_windows(docs, substring_dedup._union(lost))
     assert found(out.select(*[f"c{i}" for i in (0,)], "n_words", "n_removed", "kept_text"), "c0", "n_words", "n_removed", "kept_text") == sorted(brute.substring_dedup(rows), key=repr)
-    with pytest.raises(ValueError):
-        index.add(docs.where("doc_id = 30"), docs)
+    index.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_substring_index_takes_late_documents(spark, docs, rows, monkeypatch, most):
+    """Batches in any order of doc_ids: what history holds goes from a later batch, in a batch the smaller doc_id keeps."""
+    monkeypatch.setattr(substring_dedup, "MOST_NAMED", most)
+    index, lost, order = substring_dedup.FingerprintIndex(spark, scratch(spark)), [], []
+    for low, high in ((32, 43), (22, 32), (43, 99), (0, 22)):
+        lost.append(index.add(docs.where(f"doc_id >= {low} and doc_id < {high}"), docs))
+        order += sorted((d, t) for d, t in rows if low <= d < high)
+    out = substring_dedup.without_windows(docs, substring_dedup._union(lost))
+    want = [(order[i][0], *r) for i, *r in brute.substring_dedup([(i, t) for i, (_, t) in enumerate(order)])]
+    assert found(out, "c0", "n_words", "n_removed", "kept_text") == sorted(want, key=repr)
 
 
 def test_substring_history_is_not_shuffled(spark, docs):
