@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +42,14 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(_doubles(a), lambda x: x / n)).otherwise(_doubles(a))
 
 
+def star(vector: str) -> tuple[Column, Column]:
+    """x, y of a whole vector in star coordinates: each component pulls along its own direction, all spread around a circle."""
+    v = _doubles(F.col(vector))
+    n = F.size(vector)
+    pull = lambda f: _sum(F.transform(v, lambda x, i: x * f(2 * math.pi * i / n))) / F.sqrt(n / 2)
+    return pull(F.cos), pull(F.sin)
+
+
 def multimodal(image: Column, text: Column) -> Column:
     return F.concat(unit(image), unit(text))
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import canvas as C
 from ..operators import geometry as G
+from ..operators import layout as L
 from ..operators import maps as M
+from ..operators import neighbours as N
 from .registry import Tables, registrar
 from .vectors import _XY, points
 
@@ -46,6 +48,21 @@ def pca_layout(t: Tables):
     return M.pca_layout(t.embeddings, "vec_id", "embedding")
 
 
+@query()
+def umap_layout(t: Tables):
+    return L.umap(t.embeddings, "vec_id", "embedding", 15, 0.1, "cosine")
+
+
+@query()
+def tsne_layout(t: Tables):
+    return L.tsne(t.embeddings, "vec_id", "embedding")
+
+
+@query()
+def neighbour_graph(t: Tables):
+    return N.graph(N.nodes(t.embeddings, "embedding"), 15)
+
+
 @query()
 def kmeans_regions(t: Tables):
     return M.kmeans(points(t).select("vec_id", "x", "y"), 8)[0]
@@ -104,6 +121,31 @@ def box_overlap_join(t: Tables):
     return C.overlapping(boxes, "p_partkey", "p_brand", 50.0)
 
 
-@query("SELECT label AS pair, ['#e6194b','#3cb44b','#ffe119','#4363d8','#f58231','#911eb4','#46f0f0','#f032e6','#bcf60c','#fabebe','#008080','#e6beff'][label % 12 + 1] AS colour FROM (SELECT DISTINCT label FROM embeddings)")
+_COLOURS = ", ".join(f"'{c}'" for c in G.PALETTE)
+
+
+@query(f"SELECT label AS pair, [{_COLOURS}][label % {len(G.PALETTE)} + 1] AS colour FROM (SELECT DISTINCT label FROM embeddings)")
 def pair_colours(t: Tables):
     return G.pair_colours(t.embeddings.select(F.col("label").alias("pair")).distinct())
+
+
+@query()
+def region_colours(t: Tables):
+    return G.analysis(_cells(t))[0]
+
+
+@query()
+def boundary_colours(t: Tables):
+    return G.analysis(_cells(t))[1]
+
+
+@query()
+def region_analysis(t: Tables):
+    return G.analysis(_cells(t))[2]
+
+
+@query()
+def unbounded_cells(t: Tables):
+    """Cells among four far points, a centroid for each label and part."""
+    p = points(t).groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return G.voronoi(p.select(F.col("label").cast("int").alias("region"), "x", "y"), far=G.widened_box(points(t))[1])

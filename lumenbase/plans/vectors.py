@@ -63,11 +63,13 @@ def pairwise_similar_in_group(t: Tables):
     return R.similar_pairs(t.embeddings, "label", "vec_id", "embedding", 0.3).select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_XY = "SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+_STAR = "sum(list_transform(embedding, lambda v, i: v::DOUBLE * {}(2 * pi() * (i - 1) / len(embedding)))) / sqrt(len(embedding) / 2)"
+_XY = f"SELECT vec_id, label, list_{_STAR.format('cos')} AS x, list_{_STAR.format('sin')} AS y FROM embeddings"
 
 
 def points(t: Tables):
-    return t.embeddings.select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    x, y = V.star("embedding")
+    return t.embeddings.select("vec_id", "label", x.alias("x"), y.alias("y"))
 
 
 @query(f"""WITH near AS (SELECT q.vec_id AS query_id, e.vec_id, {_D} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D}, e.vec_id) AS r

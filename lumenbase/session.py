@@ -1,10 +1,12 @@
-"""SparkSession with the settings that the operators assume: UTC, ANSI, adaptive execution."""
+"""SparkSession with the settings that the operators assume: UTC, ANSI, adaptive execution; tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lumenbase", cores: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -25,3 +27,27 @@ def share_code(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def written(df: DataFrame, name: str = "lumenbase") -> DataFrame:
+    """A table written to the cluster's shared folder (``spark.checkpoint.dir``) and read again: it cuts the lineage and survives
+    lost executors. Only where that setting is absent and the master is local (tests) a folder of this machine is chosen."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lumenbase-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Remove the files of a table made by ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/lumenbase-" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
