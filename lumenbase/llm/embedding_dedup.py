@@ -3,13 +3,14 @@
 Equal vectors are first folded into one representative with a count. A coarse k-means gives inverted lists; the
 residual of each vector to its list's centroid is quantised in ``PARTS`` subspaces of ``WORDS`` codewords. A query
 vector probes every list whose border with its own list it lies near to: two vectors at distance ``d`` in different
-lists lie on either side of the plane between the two centroids, so one of them is within ``d / 2`` of it. That reach
-is kept whole between lists whose centroids are close (``NEAR`` times the radius), as the parts of one dense group are.
-Between distant lists the plane's direction has nothing to do with how near copies differ, so their difference has only
-a share of 1 / sqrt(dimension) along it; there the reach is ``SPREADS`` standard deviations of that share, with the
-dimension measured from the sample's residuals. In a probed list, table look-ups sum the asymmetric distance of the
-query to each code; codes within the radius plus the code's own recorded error are reranked by exact cosine in double
-precision. Recall is 1.0 on the test tables and on dense groups of few directions; ``spreads=None`` keeps every reach whole.
+lists lie on either side of the plane between the two centroids, so one of them is within ``d / 2`` of it. With that reach
+no link is lost, however near copies differ. In a probed list, table look-ups sum the asymmetric distance of the query to
+each code; codes within the radius plus the code's own recorded error are reranked by exact cosine in double precision.
+
+``spreads`` buys speed with recall, and is not used by the query: between lists whose centroids are not close (``NEAR`` times the
+radius) the reach is then so many standard deviations of a share of 1 / sqrt(dimension) along the border's normal, with the
+dimension measured from the sample's residuals. That finds near copies that differ evenly in all directions, and loses some
+that differ along one common direction.
 
 The number of lists grows with the table, by one for ``PER_LIST`` vectors and beyond ``FULL`` lists with the square
 root, so a vector meets a number of others that grows at most with the square root. Tasks get a block of queries against
@@ -20,7 +21,7 @@ Defined results: vectors that are null, zero, or hold null or non-finite compone
 different lengths do not link with each other; repeated rows and equal vectors link with each other, rows without a
 vec_id as well; a component's id is its smallest vec_id that is not null, and a component without any keeps its rows; an
 empty table gives no rows; other columns, labels included, are ignored. The coarse lists and codewords are fitted on at
-most ``SAMPLE`` representatives, those with the smallest hashes; every vector is indexed.
+most ``SAMPLE`` representatives and ``SAMPLE_BYTES``, those with the smallest hashes; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .common import ragged, share_code, written
 from .components import components
 
 PARTS, WORDS, PER_LIST, FULL, SAMPLE, BLOCK = 8, 64, 50, 1024, 1 << 18, 1024
-NEAR, SPREADS = 1.75, 3.0
+NEAR, SAMPLE_BYTES = 1.75, 128 << 20
 SLACK = 1e-4  # for rounding of single-precision tables
 
 
@@ -171,14 +172,15 @@ _ROWS = "place int, list_block int, query_block int, is_query boolean, rep long,
 _FOUND = "a long, b long, n long"
 
 
-def linked(reps: DataFrame, kind: str, least: float = 0.95, spreads: float | None = SPREADS) -> DataFrame:
+def linked(reps: DataFrame, kind: str, least: float = 0.95, spreads: float | None = None) -> DataFrame:
     """(a, b, n): partial link counts of representative a (b null), and edges a-b (n null).
 
     ``reps`` has rep long, n long and vector binary (components of type ``kind``), all of one length, none zero.
     """
     spark = reps.sparkSession
     total = reps.count()
-    wanted = min(SAMPLE, 32 * lists_for(total) + 2048)
+    width = reps.select(F.max(F.length("vector"))).first()[0] or 1
+    wanted = max(1, min(SAMPLE, 32 * lists_for(total) + 2048, SAMPLE_BYTES // width))
     sample = [r["vector"] for r in reps.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()]
     if not sample:
         return spark.createDataFrame([], _FOUND)
@@ -289,7 +291,7 @@ def packed(table: DataFrame, kind: str) -> DataFrame:
     return table.mapInArrow(pack, "vec_id long, vector binary")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, spreads: float | None = SPREADS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, spreads: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     table = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     single = isinstance(table.schema["embedding"].dataType.elementType, T.FloatType)

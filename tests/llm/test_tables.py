@@ -34,7 +34,7 @@ def test_embeddings(spark, monkeypatch, block, lists):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == sorted(want)
     links = sum(n for _, n, _ in want)
     assert got.where("kept <> (vec_id = component_id)").count() == 0 and links > 200
-    near = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    near = embedding_dedup.near_duplicates(df, spreads=3.0).agg(F.sum("n_links")).first()[0]
     assert 0.9 * links <= near <= links
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
@@ -81,6 +81,24 @@ def test_embedding_ids_lengths_and_scales(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("wide", [2, 4])
+def test_embedding_pairs_along_one_axis(spark, wide):
+    """Near copies that all differ along one axis, which is wider than the others, in many lists: none is lost."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x[:, 0] *= wide
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = np.zeros(64)
+    away[0] = 1.0
+    across = away - x * (x @ away)[:, None]  # along the axis, at a right angle to the vector
+    across /= np.linalg.norm(across, axis=1)[:, None]
+    y = x * 0.9505 + across * np.sqrt(1 - 0.9505**2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    z = np.concatenate([x, y])
+    assert got == (z @ z.T >= 0.95).sum() - len(z) and got >= 6000
+
+
 def test_embedding_low_rank_group(spark, monkeypatch):
     """The default loses no link of a group that varies along two directions only."""
     monkeypatch.setattr(embedding_dedup, "PER_LIST", 30)
