@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dropped, written
+
 
 def latest(versions: DataFrame, by: str, order: str) -> DataFrame:
     """The last row of each key; an aggregate, so it combines before the shuffle."""
@@ -38,10 +40,31 @@ def nested(parents: DataFrame, children: DataFrame, key: str, child: list[str],
 
 def without_node(edges: DataFrame, node: str) -> DataFrame:
     """Edges (source, target) after a node goes: those that touch it are replaced by its incomers x outgoers."""
-    sources = edges.where((F.col("target") == node) & (F.col("source") != node)).select("source")
-    targets = edges.where((F.col("source") == node) & (F.col("target") != node)).select("target")
-    rest = edges.where((F.col("source") != node) & (F.col("target") != node)).select("source", "target")
-    return rest.union(sources.join(targets)).distinct()
+    return without_nodes(edges, edges.sparkSession.createDataFrame([(node,)], "node string"))
+
+
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (source, target) after all ``nodes`` (node) have gone, one after another in whatever order.
+
+    A path that leads only through nodes that go becomes an edge. Which of them reach each other is found by doubling: a round joins
+    the paths found so far with themselves, so a chain of length n takes log n rounds."""
+    gone = nodes.select("node").distinct()
+    e = edges.select("source", "target").distinct()
+    is_gone = lambda c: gone.select(F.col("node").alias(c))
+    into = e.join(is_gone("target"), "target", "left_semi").join(is_gone("source"), "source", "left_anti")
+    out = e.join(is_gone("source"), "source", "left_semi").join(is_gone("target"), "target", "left_anti")
+    within = e.join(is_gone("target"), "target", "left_semi").join(is_gone("source"), "source", "left_semi").select("source", "target").where("source <> target")
+    paths, before = written(within), -1
+    while (count := paths.count()) != before and count:
+        longer = paths.select("source", F.col("target").alias("via")).join(paths.select(F.col("source").alias("via"), "target"), "via").select("source", "target")
+        before, old = count, paths
+        paths = written(paths.union(longer.where("source <> target")).distinct())
+        dropped(old)
+    reach = paths.union(gone.select(F.col("node").alias("source"), F.col("node").alias("target")))
+    there = into.select("source", F.col("target").alias("first")).join(reach.select(F.col("source").alias("first"), F.col("target").alias("last")), "first").select("source", "last").distinct()
+    made = there.join(out.select(F.col("source").alias("last"), "target"), "last").select("source", "target")
+    kept = e.join(is_gone("source"), "source", "left_anti").join(is_gone("target"), "target", "left_anti").select("source", "target")
+    return kept.union(made).distinct()
 
 
 def bridged(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantile_by
 from .retrieval import minmax
 
 
@@ -35,7 +36,7 @@ def zones(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, cx, cy, radius, n): mean centre, and 1.2 times the 90th percentile of the distances to it."""
     centres = points.groupBy(cluster).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
     d = points.join(centres, cluster).select(cluster, F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2).alias("d"))
-    radii = d.groupBy(cluster).agg((F.percentile("d", 0.9) * 1.2).alias("radius"))
+    radii = quantile_by(d, cluster, "d", 0.9).select(cluster, (F.col("quantile") * 1.2).alias("radius"))
     return centres.join(radii, cluster).select(cluster, "cx", "cy", "radius", "n")
 
 

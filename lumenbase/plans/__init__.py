@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, maps, pages, relational, review, vectors
+from . import catalogue, maps, merges, pages, relational, review, vectors
 
-_ALL = [relational, catalogue, pages, vectors, maps, review]
+_ALL = [relational, merges, catalogue, pages, vectors, maps, review]
 
 
 def queries() -> dict:
