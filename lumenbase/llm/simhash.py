@@ -8,10 +8,12 @@ between them, at most one bit from both, that decodes to the same codeword: the
 one-bit neighbourhood (one or six, as a rule) are keys that the two share. A key is (segment number, that whole
 segment, codeword index of the next).
 
-Fingerprints that share a key with another are candidates, whatever the size of the key's bucket. Buckets are not
-paired: each candidate is listed at itself and at the 64 words one bit away, where two fingerprints meet exactly if they
-differ in at most two bits. At most 65 distinct ones can meet at a word, the smallest is verified against the others and
-linked, so no link is lost and no bucket makes pairs with the square of its size.
+Fingerprints meet at their keys and are verified there by their distance. A bucket of up to ``MOST`` is sorted beside others and
+each is compared with those that follow it. A larger one is split by the bits outside its whole segment: cut into chunks, two
+errors leave all chunks but two alike, so each choice of two chunks to leave out gives a finer key of the rest, and two linked
+fingerprints share one of these. Four chunks are tried first, ten where that does not do; the two chunks left out of ten have
+ten bits at most, and fingerprints are distinct, so no bucket is larger than 1024 then. No link is lost and nothing is capped.
+Tasks give links, from which they make forests before anything is shuffled.
 
 Defined results: null or empty text and text without words has fingerprint zero and links like any other; repeated
 rows and equal doc_ids each get a row; a null doc_id is never the smallest of a component that has another; an empty
@@ -29,6 +31,8 @@ from .common import documents, positional, steps, written
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
+#: Fingerprints of a bucket that is not split, and the chunks of the splits in turn.
+MOST, CHUNKS = 64, (4, 10)
 #: Generator polynomial of the binary [23,12,7] Golay code.
 GOLAY = 0xC75
 #: Width and lowest bit of each segment.
@@ -136,19 +140,85 @@ def _keyed(batches):
         for at in range(0, batch.num_rows, 1 << 14):
             prints = np.asarray(batch.column(0).slice(at, 1 << 14))
             row, key = golay_keys(prints)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[row])], ["key", "print"])
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column ``print``) that connect all that link, possibly repeated."""
-    keys = written(prints.mapInArrow(_keyed, "key long, print long"))
-    # a key's count and the join on it are combined before the shuffle; Spark splits a crowded key in the join
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keys.join(shared, "key", "left_semi").select("print").distinct()
-    around = near.select("print", F.explode(F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")).alias("word"))
-    firsts = around.groupBy("word").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = around.join(firsts, "word").where(f"a <> print and bit_count(a ^ print) <= {MOST_BITS}")
-    return met.select("a", F.col("print").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(prints[row])], ["key", "part", "print"])
+
+
+def finer(keys: np.ndarray, prints: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part) of each fingerprint's finer keys: the bits outside its key's whole segment, less two chunks of them in all ways."""
+    bits, whole = prints.view(np.uint64), keys >> 46
+    rest = np.zeros(len(prints), np.int64)
+    for i in range(3):
+        others = [SEGMENTS[(i + 1) % 3], SEGMENTS[(i + 2) % 3]]
+        joined, at = np.zeros(len(prints), np.int64), 0
+        for width, low in others:
+            joined |= ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) << at
+            at += width
+        rest = np.where(whole == i, joined, rest)
+    edges = [43 * c // chunks for c in range(chunks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    left = [masks[a] | masks[b] for a in range(chunks) for b in range(a)]
+    parts = np.stack([np.int64(n + 1) << 43 | (rest & ~np.int64(m)) for n, m in enumerate(left)], axis=1)
+    return np.repeat(np.arange(len(prints)), len(left)), parts.ravel()
+
+
+def _met(batches):
+    """Links within the buckets of sorted (key, part, print); the last bucket of a batch goes on in the next."""
+    held = None
+    for batch in _ended(batches):
+        if batch is not None:
+            now = np.stack([np.asarray(c) for c in batch.columns], axis=1)
+            held = now if held is None else np.concatenate([held, now])
+        if held is None or not len(held):
+            continue
+        done = len(held)
+        if batch is not None:
+            done = int(np.flatnonzero((held[:, :2] != held[-1, :2]).any(1))[-1]) + 1 if (held[:, :2] != held[-1, :2]).any() else 0
+        rows, held = held[:done], held[done:]
+        prints, step = rows[:, 2], 1
+        left = np.arange(len(rows) - 1)
+        while len(left):
+            left = left[left + step < len(rows)]
+            left = left[(rows[left, :2] == rows[left + step, :2]).all(1)]
+            a, b = prints[left], prints[left + step]
+            near = (np.bitwise_count((a ^ b).view(np.uint64)) <= MOST_BITS) & (a != b)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near])], ["a", "b"])
+            step += 1
+
+
+def _ended(batches):
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def links(prints: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (column ``print``) that link, possibly repeated."""
+    schema = "key long, part long, print long"
+    rows, found = written(prints.mapInArrow(_keyed, schema)), []
+    for chunks in (*CHUNKS, None):
+        sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n")).where("n > 1")
+        sized = rows.join(sizes, ["key", "part"])
+        small = sized.where(F.col("n") <= most) if chunks else sized
+        sorted_ = small.select("key", "part", "print").repartition("key", "part").sortWithinPartitions("key", "part")
+        found.append(sorted_.mapInArrow(_met, "a long, b long"))
+        if not chunks:
+            break
+        crowded = written(sized.where(F.col("n") > most).select("key", "print").distinct())
+        if crowded.isEmpty():
+            break
+
+        def split(batches, chunks=chunks):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1 << 12):
+                    keys, prints = (np.asarray(c.slice(at, 1 << 12)) for c in batch.columns)
+                    row, part = finer(keys, prints, chunks)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(part), pa.array(prints[row])], ["key", "part", "print"])
+
+        rows = crowded.mapInArrow(split, schema)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -189,6 +189,52 @@ def test_links_lose_none(spark, monkeypatch, seed, most):
     assert [roots.get(p, p) for p in signed] == want
 
 
+@pytest.mark.parametrize("low, most", [(0, 4), (21, 4), (42, 4), (10, 64)])
+def test_crowded_keys(spark, low, most):
+    """Thousands of fingerprints that differ in twelve neighbouring bits, thinned: buckets are split twice and lose no link."""
+    rng = np.random.default_rng(low)
+    base = rng.integers(0, 1 << 62, dtype=np.int64)
+    prints = np.unique(base ^ (rng.permutation(1 << 12)[:400].astype(np.int64) << low) ^ (rng.integers(0, 2, 400) << 63))
+    signed = prints.tolist()
+    bits = prints.view(np.uint64)
+    want = brute.classes(signed, [(i, j) for i in range(len(signed)) for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= 2)])
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), most)
+    roots = {r["node"]: r["root"] for r in components.components(found).collect()}
+    assert [roots.get(p, p) for p in signed] == want
+    assert all((int(r["a"]) ^ int(r["b"])).bit_count() <= 2 if r["a"] >= 0 <= r["b"] else True for r in found.collect())
+
+
+def test_finer_keys():
+    """Two words at most two bits apart share a finer key; ten chunks leave at most ten bits open."""
+    rng = np.random.default_rng(4)
+    for i in range(3):
+        width, low = simhash.SEGMENTS[i]
+        keys = np.full(300, i << 46, np.int64)
+        a = rng.integers(-(1 << 63), 1 << 63, 300)
+        away = [b for b in range(64) if not low <= b < low + width]
+        b = a ^ np.array([int(np.int64(np.uint64(1 << int(x)))) if x < 63 else -(1 << 63) for x in rng.choice(away, 300)]) ^ np.array([1 << int(x) for x in rng.choice([x for x in away if x < 63], 300)])
+        for chunks in simhash.CHUNKS:
+            one, two = (set(zip(*map(np.ndarray.tolist, simhash.finer(keys, p, chunks)))) for p in (a, b))
+            assert {r for r, _ in one & two} == set(range(300))
+
+
+def test_links_come_from_keys():
+    """Fingerprints meet at shared keys alone: with a key for each row nothing links, in whatever batches."""
+    import pyarrow as pa
+
+    prints = np.array([1 << i for i in range(60)], np.int64)
+    row, key = simhash.golay_keys(prints)
+
+    def met(keys, prints, size):
+        order = np.argsort(keys, kind="stable")
+        table = pa.table({"key": keys[order], "part": np.zeros(len(keys), np.int64), "print": prints[order]})
+        return {(a, b) for t in simhash._met(iter(table.to_batches(max_chunksize=size))) for a, b in zip(*(c.to_pylist() for c in t.columns))}
+
+    links = met(key, prints[row], 1000)
+    assert {x for link in links for x in link} == set(prints.tolist()) and links == met(key, prints[row], 7)
+    assert met(np.arange(len(row)), prints[row], 1000) == set()
+
+
 def test_golay():
     code = simhash.Golay()
     rng = np.random.default_rng(1)
