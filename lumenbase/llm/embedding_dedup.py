@@ -102,9 +102,10 @@ class Quantiser:
         rest = units - self.centres[where]
         total = np.zeros((len(units), len(codes)), np.float32)
         for i, (s, book) in enumerate(zip(self.slices, self.books)):
-            table = ((rest[:, None, s] - book[None]) ** 2).sum(2).astype(np.float32)
-            total += table[:, codes[:, i]]
-        return np.sqrt(total)
+            # the table by a matrix product; what it rounds is far below SLACK
+            table = (rest[:, s] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * rest[:, s] @ book.T
+            total += table.astype(np.float32).take(codes[:, i], axis=1)
+        return np.sqrt(np.maximum(total, 0))
 
     def offsets(self, units: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Distance of each vector of list ``own`` to the plane that separates it from list ``other``."""
