@@ -43,10 +43,11 @@ def unit(a: Column) -> Column:
 
 
 def star(vector: str) -> tuple[Column, Column]:
-    """x, y of a whole vector in star coordinates: each component pulls along its own direction, all spread around a circle."""
+    """x, y of a whole vector in star coordinates: each component pulls along its own direction, all spread around a circle
+    (two components at a right angle)."""
     v = _doubles(F.col(vector))
     n = F.size(vector)
-    pull = lambda f: _sum(F.transform(v, lambda x, i: x * f(2 * math.pi * i / n))) / F.sqrt(n / 2)
+    pull = lambda f: _sum(F.transform(v, lambda x, i: x * f(2 * math.pi * i / F.greatest(n, F.lit(4))))) / F.sqrt(n / 2)
     return pull(F.cos), pull(F.sin)
 
 

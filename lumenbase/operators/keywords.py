@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .retrieval import knn_join
 
+#: Phrases that are broadcast to be counted.
+MOST_PHRASES = 500_000
+
 
 def ngrams(texts: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     """(key, phrase, start, stop): lower-cased word n-grams, stop inclusive."""
@@ -19,11 +23,46 @@ def ngrams(texts: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     return rows.select(key, F.expr("array_join(slice(w, s.start + 1, s.stop - s.start + 1), ' ')").alias("phrase"), "s.start", "s.stop")
 
 
-def candidates(grams: DataFrame, matches: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """N-grams with their nearest match (phrase, id, similarity) whose id exists and whose similarity is enough.
+def counted(texts: DataFrame, text: str, phrases: DataFrame, most: int = 3, bound: int = MOST_PHRASES) -> DataFrame:
+    """(phrase, n): how often texts say each of the phrases (phrase, of up to ``most`` words), of those they say at all.
+
+    Up to ``bound`` distinct phrases are broadcast: a task looks them up in its texts and gives one count a phrase, so nothing else is
+    listed or shuffled. More phrases are joined with the n-grams."""
+    wanted = phrases.select("phrase").where("phrase is not null").distinct()
+    if wanted.count() > bound:
+        return ngrams(texts.withColumn("_key", F.lit(0)), "_key", text, most).select("phrase").join(wanted, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n"))
+    held = [r["phrase"] for r in wanted.collect()]
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(held))
+    words = texts.select(tokens(F.lower(text)).alias("w"))
+
+    def count(batches):
+        known, found = shared.value, {}
+        # the words that phrases begin with, with how many words these have
+        sizes: dict[str, int] = {}
+        for p in known:
+            first, n = p.split(" ", 1)[0], p.count(" ") + 1
+            sizes[first] = max(n, sizes.get(first, 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for w in batch.column(0).slice(at, 256).to_pylist():
+                    for i, size in enumerate(map(sizes.get, w or [])):
+                        if size:
+                            for n in range(1, min(size, most, len(w) - i) + 1):
+                                p = w[i] if n == 1 else " ".join(w[i : i + n])
+                                if p in known:
+                                    found[p] = found.get(p, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["phrase", "n"])
+
+    return words.mapInArrow(count, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+
+
+def candidates(grams: DataFrame, matches: DataFrame, entries: DataFrame | None, least: float) -> DataFrame:
+    """N-grams with their nearest match (phrase, id, similarity) whose id exists (in ``entries``, if given) and whose similarity is enough.
 
     The nearest of a phrase is chosen once for each distinct phrase, before the join."""
-    known = matches.where(F.col("similarity") >= least).join(entries.select("id"), "id", "left_semi")
+    known = matches.where(F.col("similarity") >= least)
+    if entries is not None:
+        known = known.join(entries.select("id"), "id", "left_semi")
     best = known.groupBy("phrase").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("id"))).alias("b"))
     return grams.join(best.select("phrase", F.col("b.id").alias("id"), (-F.col("b.s")).alias("similarity")), "phrase")
 

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import batched
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vector as V
 
-#: Query vectors that one task compares at a time, and that reach the driver at a time.
-QUERY_BLOCK, MOST_QUERIES = 512, 20_000
+#: Query vectors, and bytes of these (or of centroids), that are broadcast; more are dealt in blocks of BLOCK_ROWS on the executors.
+MOST_QUERIES, MOST_BYTES, BLOCK_ROWS = 20_000, 32 << 20, 4096
 #: Vectors of one owner that a task compares with as many others.
 PAIR_BLOCK = 2048
 
@@ -28,48 +22,99 @@ def knn(index: DataFrame, query: list[float], k: int, key: str = "id", vector: s
     return index.select(key, V.l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _near(q: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's k nearest rows and what ties with them, among those within its limit.
+
+    A matrix product screens, with room for its rounding; distances that are kept are summed from differences."""
+    out = []
+    xx = (x**2).sum(1)
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        qq = (part**2).sum(1)
+        square = xx + qq[:, None] - 2 * part @ x.T
+        kth = np.partition(square, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        room = 1e-12 * (qq + xx.max()) * x.shape[1]
+        i, j = np.nonzero(square <= np.minimum(kth, limit[at : at + 256] ** 2 + room)[:, None] + room[:, None])
+        out.append((i + at, j, np.sqrt(((part[i] - x[j]) ** 2).sum(1))))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _pruned(found: pa.Table, k: int) -> pa.Table:
+    """The k first rows (position, distance, key) of each position."""
+    found = found.take(pa.compute.sort_indices(found, [("position", "ascending"), ("distance", "ascending"), ("key", "ascending")]))
+    at = np.asarray(found.column("position"))
+    first = np.searchsorted(at, at)
+    return found.filter(pa.array(np.arange(len(at)) - first < k))
+
+
+def _candidates(keys: pa.Array, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    return pa.table({"position": found[0], "distance": found[2], "key": keys.take(pa.array(found[1]))})
+
+
+def _named(found: pa.Table, ids: pa.Array, query_key: str, key: str) -> pa.Table:
+    return pa.table([ids.take(found.column("position").combine_chunks()), found.column("key"), found.column("distance")], [query_key, key, "distance"])
+
+
 def knn_join(index: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_key, key, distance, rank): the k nearest of each query.
-
-    Queries are counted; more than ``MOST_QUERIES`` pass the driver in successive blocks of that many, each with a scan of
-    its own. Each scan partition keeps the k best of each query (so k rows a query and partition are shuffled, whatever
-    the index holds), then the best are merged.
-    """
-    rows = queries.select(query_key, F.col(vector).cast("array<double>").alias("v"))
-    blocks = batched(rows.toLocalIterator(), MOST_QUERIES) if queries.count() > MOST_QUERIES else [rows.collect()]
+    """(query_key, key, distance, rank): the k nearest of each query; ties by key; null vectors are left out.
+
+    Queries are counted. Up to ``MOST_QUERIES`` and ``MOST_BYTES`` of them are broadcast, and each scan partition keeps the k best of each query, so k rows
+    a query and partition are shuffled, whatever the index holds. More queries are dealt to the executors: blocks of queries meet
+    blocks of the index, and no group holds more than two blocks. Only counts and the broadcast queries pass the driver."""
+    asks = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    rows = index.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, distance double"
+    count, size = asks.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    near = _broadcast_best if count <= MOST_QUERIES and count * size * 8 <= MOST_BYTES else _block_best
     order = Window.partitionBy(query_key).orderBy("distance", key)
-    partial = reduce(DataFrame.unionByName, [_partial_best(index, block, queries.schema[query_key], k, key, vector) for block in blocks])
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near(rows, asks, k, key, query_key, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _partial_best(index: DataFrame, rows: Sequence[Row], query: T.StructField, k: int, key: str, vector: str) -> DataFrame:
-    """(query key, key, distance): the k nearest in each scan partition of the queries in ``rows``."""
-    query_key = query.name
-    schema = f"{query_key} {query.dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, distance double"
-    if not rows:
-        return index.sparkSession.createDataFrame([], schema)
-    shared = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-    made = pa.schema([(query_key, to_arrow_type(query.dataType)), (key, to_arrow_type(index.schema[key].dataType)), ("distance", pa.float64())])
+def _broadcast_best(rows: DataFrame, asks: DataFrame, k: int, key: str, query_key: str, schema: str) -> DataFrame:
+    held = asks.toArrow().combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((held.column(0).combine_chunks(), _matrix(held.column(1)) if held.num_rows else None))
 
     def best(batches):
         ids, q = shared.value
-        found_d, found_k = [np.zeros(0)] * len(ids), [[] for _ in ids]
+        found, limit = None, np.full(len(ids), np.inf)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or q is None:
                 continue
-            keys = batch.column(0).to_pylist()
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            for at in range(0, len(ids), QUERY_BLOCK):
-                for i, row in enumerate(q[at : at + QUERY_BLOCK], at):
-                    d = np.sqrt(((x - row) ** 2).sum(1))
-                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                    merged = sorted([*zip(found_d[i].tolist(), found_k[i]), *((float(d[j]), keys[j]) for j in near)])[:k]
-                    found_d[i], found_k[i] = np.array([m[0] for m in merged]), [m[1] for m in merged]
-        for i, qid in enumerate(ids):
-            if found_k[i]:
-                yield pa.RecordBatch.from_pydict({query_key: [qid] * len(found_k[i]), key: found_k[i], "distance": found_d[i].tolist()}, made)
+            new = _candidates(batch.column(0), _near(q, _matrix(batch.column(1)), k, limit))
+            found = new if found is None else pa.concat_tables([found, new])
+            if len(found) > 2 * k * len(ids):
+                found = _pruned(found, k)
+                at, counts = np.unique(np.asarray(found.column("position")), return_counts=True)
+                last = np.asarray(found.column("distance"))[np.cumsum(counts) - 1]
+                limit[at[counts == k]] = last[counts == k]
+        if found is not None:
+            yield from _named(_pruned(found, k), ids, query_key, key).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(best, schema)
+
+
+def _block_best(rows: DataFrame, asks: DataFrame, k: int, key: str, query_key: str, schema: str) -> DataFrame:
+    def cut(df: DataFrame, by: str, own: str, other: str, own_blocks: int, other_blocks: int) -> DataFrame:
+        placed = df.withColumn(own, F.expr(f"cast(pmod(xxhash64(`{by}`), {own_blocks}) as int)"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+
+    ask_blocks, row_blocks = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (asks, rows))
+    left = cut(asks, query_key, "_q", "_i", ask_blocks, row_blocks).groupBy("_q", "_i")
+    right = cut(rows, key, "_i", "_q", row_blocks, ask_blocks).groupBy("_q", "_i")
 
-    return index.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, schema)
+    def meet(group, some, others):
+        ids, keys = some.column(query_key).combine_chunks(), others.column(key).combine_chunks()
+        if not len(ids) or not len(keys):
+            return _named(_candidates(keys[:0], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))), ids, query_key, key)
+        found = _near(_matrix(some.column("v")), _matrix(others.column("v")), k, np.full(len(ids), np.inf))
+        return _named(_pruned(_candidates(keys, found), k), ids, query_key, key)
+
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 def best_per_id(found: DataFrame, k: int, key: str = "id", by: list[str] | None = None) -> DataFrame:
@@ -91,8 +136,8 @@ def knn_of(description: DataFrame, value: DataFrame, query: list[float], k: int,
 
 
 def with_details(found: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
-    """Neighbours that have details; the few neighbours are the broadcast side, since top-k bounds them."""
-    return details.join(F.broadcast(found), key)
+    """Neighbours that have details, nearest first; the few neighbours are the broadcast side, since top-k bounds them."""
+    return details.join(F.broadcast(found), key).orderBy("distance", key)
 
 
 def similar_above(index: DataFrame, query: list[float], least: float, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -160,38 +205,27 @@ def placed(neighbours: DataFrame, coordinates: DataFrame, by: list[str], key: st
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vector: str, centroid: str = "centroid_id", most: int = 10_000) -> DataFrame:
-    """(key, centroid, distance): the nearest; ties by centroid. Up to ``most`` centroids are broadcast and points are
-    not shuffled; more pass in successive blocks of that many, and the best of the blocks' nearest is taken."""
-    rows = centroids.select(centroid, F.col(vector).cast("array<double>").alias("v")).orderBy(centroid)
-    blocks = list(batched(rows.toLocalIterator(), most)) if centroids.count() > most else [rows.collect()]
+    """(key, centroid, distance): the nearest; ties by centroid. Up to ``most`` centroids and ``MOST_BYTES`` are broadcast and points are not
+    shuffled; more meet the points in blocks, as in ``knn_join``."""
+    rows = points.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    middle = centroids.select(centroid, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     schema = f"{key} {points.schema[key].dataType.simpleString()}, {centroid} {centroids.schema[centroid].dataType.simpleString()}, distance double"
-    kind = centroids.select(centroid).limit(0).toArrow().schema.field(0).type
-    parts = [_nearest_of(points.select(key, F.col(vector).cast("array<double>").alias("v")), block, kind, [key, centroid, "distance"], schema) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    best = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min(F.struct("distance", centroid)).alias("near"))
-    return best.select(key, f"near.{centroid}", "near.distance")
-
-
-def _nearest_of(points: DataFrame, rows: Sequence[Row], kind: pa.DataType, names: list[str], schema: str) -> DataFrame:
-    if not rows:
-        return points.sparkSession.createDataFrame([], schema)
-    shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    count, size = middle.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if count > most or count * size * 8 > MOST_BYTES:
+        best = _block_best(middle, rows, 1, centroid, key, schema).groupBy(key).agg(F.min(F.struct("distance", centroid)).alias("near"))
+        return best.select(key, f"near.{centroid}", "near.distance")
+    held = middle.toArrow().combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((held.column(0).combine_chunks(), _matrix(held.column(1)) if held.num_rows else None))
 
     def find(batches):
         ids, c = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            near, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-            for i, row in enumerate(c):  # strictly nearer only, so ties keep the earlier centroid
-                d = np.sqrt(((x - row) ** 2).sum(1))
-                closer = d < least
-                near[closer], least[closer] = i, d[closer]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[i] for i in near], kind), pa.array(least)], names)
-
-    return points.where("v is not null").mapInArrow(find, schema)
+            if batch.num_rows and c is not None:
+                x = _matrix(batch.column(1))
+                found = _near(x, c, 1, np.full(len(x), np.inf))
+                yield from _named(_pruned(_candidates(ids, found), 1), batch.column(0), key, centroid).combine_chunks().to_batches()
+
+    return rows.mapInArrow(find, schema)
 
 
 def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:

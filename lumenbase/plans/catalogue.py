@@ -26,13 +26,12 @@ def ngrams(t: Tables):
 
 @query()
 def keyword_spans(t: Tables):
-    """The lexicon holds the phrases of one to three words that documents use at least three times, so spans overlap
-    and the schedule decides. One scan of the documents; what no benchmark text says is dropped before it is counted."""
+    """The lexicon holds the benchmark's phrases of one to three words that documents use at least three times, so spans overlap
+    and the schedule decides. One scan of the documents, in which only these phrases are looked up; a longer phrase weighs more."""
     grams = K.ngrams(t.benchmark, "item_id", "text")
-    said = grams.select("phrase").distinct()
-    counted = K.ngrams(t.documents, "doc_id", "text").select("phrase").join(said, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n"))
+    counted = K.counted(t.documents, "text", grams)
     lexicon = counted.where("n >= 3 and length(phrase) >= 4").select("phrase", F.xxhash64("phrase").alias("id"), (F.length("phrase") / 20.0).alias("similarity"))
-    return K.best_spans(K.candidates(grams, lexicon, lexicon.select("id").distinct(), 0.25), "item_id")
+    return K.best_spans(K.candidates(grams, lexicon, None, 0.25), "item_id")
 
 
 @query("""SELECT event_id, CASE event_id % 50 WHEN 1 THEN 'python_list' WHEN 2 THEN 'truly_malformed' WHEN 3 THEN 'bare_string' WHEN 4 THEN 'python_dict' END AS kind,

@@ -63,7 +63,7 @@ def pairwise_similar_in_group(t: Tables):
     return R.similar_pairs(t.embeddings, "label", "vec_id", "embedding", 0.3).select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_STAR = "sum(list_transform(embedding, lambda v, i: v::DOUBLE * {}(2 * pi() * (i - 1) / len(embedding)))) / sqrt(len(embedding) / 2)"
+_STAR = "sum(list_transform(embedding, lambda v, i: v::DOUBLE * {}(2 * pi() * (i - 1) / greatest(len(embedding), 4)))) / sqrt(len(embedding) / 2)"
 _XY = f"SELECT vec_id, label, list_{_STAR.format('cos')} AS x, list_{_STAR.format('sin')} AS y FROM embeddings"
 
 
