@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.files import api_log
+
 
 def resume(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """Handle what has arrived since the last run, then stop; progress is the checkpoint's."""
@@ -53,3 +55,38 @@ def compaction(saves: DataFrame, key: str, at: str, content: str) -> DataFrame:
 
     kind = saves.schema[key].dataType.simpleString()
     return saves.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version int, saved_at timestamp, {content} string", f"{content} string, number int", "append", GroupStateTimeout.NoTimeout)
+
+
+def interval_saves(events: DataFrame, key: str, content: str, every_ms: int = 60_000) -> DataFrame:
+    """(key, content, n): the last content of each key, once in every interval of processing time in which it had events, with their number.
+
+    State is the content not yet saved, the number of events since, and when the next save is due; a timer saves what no later event does."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        held, n, due = state.get if state.exists else (None, 0, now + every_ms)
+        for frame in frames:
+            if len(frame):
+                held, n = frame[content].iloc[-1], n + len(frame)
+        if n and (state.hasTimedOut or now >= due):
+            yield pd.DataFrame({key: [k[0]], content: [held], "n": [n]})
+            held, n, due = None, 0, now + every_ms
+        if n:
+            state.update((held, n, due))
+            state.setTimeoutDuration(max(1, due - now))
+        elif state.exists:
+            state.remove()
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {content} string, n long", f"{content} string, n long, due long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def api_calls(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """A stream of API log lines (value) parsed, with ``at`` as a time that a watermark follows."""
+    parsed = api_log(stream)
+    return parsed.withColumn("at", F.to_timestamp("at")).where("at is not null").withWatermark("at", late)
+
+
+def calls_per_minute(calls: DataFrame) -> DataFrame:
+    """(minute, method, n) of parsed calls, each minute once it can get no more."""
+    return calls.groupBy(F.window("at", "1 minute").alias("w"), "method").agg(F.count("*").alias("n")).select(F.col("w.start").alias("minute"), "method", "n")
