@@ -11,9 +11,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..session import written
 
 Point = tuple[float, float]
@@ -352,12 +353,6 @@ def pair_colours(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("colour", F.element_at(F.array(*[F.lit(c) for c in PALETTE]), (F.col("pair") % len(PALETTE) + 1).cast("int")))
 
 
-def darkened(colour: Column, share: float = DARK) -> Column:
-    """A hexadecimal colour with each of its parts at a share, rounded down."""
-    part = lambda i: F.lpad(F.lower(F.hex(F.floor(F.conv(F.substring(colour, i, 2), 16, 10).cast("int") * share))), 2, "0")
-    return F.concat(F.lit("#"), part(2), part(4), part(6))
-
-
 def region_colours(regions: DataFrame, chosen: DataFrame) -> DataFrame:
     """(region, pair, colour) of regions (region) given the pairing: grey without a pair."""
     coloured = pair_colours(chosen).select(F.explode(F.array("a", "b")).alias("region"), "pair", "colour")
@@ -366,7 +361,7 @@ def region_colours(regions: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def boundary_colours(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adjacent regions (a, b, ...) with is_paired and a colour: the pair's own, darker, or black."""
-    own = pair_colours(chosen).select("a", "b", darkened(F.col("colour")).alias("_own"))
+    own = pair_colours(chosen).select("a", "b", X.darkened(F.col("colour"), DARK).alias("_own"))
     return pairs.join(own, ["a", "b"], "left").select(*[pairs[c] for c in pairs.columns], F.col("_own").isNotNull().alias("is_paired"), F.coalesce("_own", F.lit(OTHER_BOUNDARY)).alias("colour"))
 
 
