@@ -7,7 +7,7 @@ and backward, attention pools their states, and a linear layer gives a logit. A
 smallest hashes), at most ``PER_DOC`` evenly spaced windows of each; the document's
 label trains the windows that make its logit, so toxic ones need no marking. Scoring runs in Arrow batches over all windows of all documents.
 
-Defined results: null or empty text scores as no evidence (the output bias); repeated rows score alike; with no
+Defined results: null or empty text scores as no evidence (the output bias); repeated rows score alike but for rounding; with no
 labelled document to learn from, or labels of one kind only, every score is that kind's share (0 without labels); an
 empty table gives no rows; other columns are ignored.
 """
