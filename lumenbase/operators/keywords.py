@@ -144,3 +144,30 @@ def keyword_lists(searches: list[tuple[DataFrame, DataFrame, int, float | None]]
         found = knn_join(index, queries, k, "keyword_id", key).join(allowed.select("keyword_id"), "keyword_id", "left_semi")
         parts.append(found if limit is None else found.where(F.col("distance") < limit))
     return merged_keywords(parts, key, below, cap)
+
+
+def after_stored(stored: DataFrame, found: DataFrame, key: str, cap: bool) -> DataFrame:
+    """(key, keyword_id, distance, rank): the keywords that a row has already (key, keyword_id, pos), in their order and without a distance,
+    then those found for it (of ``merged_keywords``) that it does not have; optionally the first 3 to 7. Either side may lack a key."""
+    have = stored.groupBy(key, "keyword_id").agg(F.min("pos").alias("_at")).select(key, "keyword_id", F.lit(None).cast("double").alias("distance"), F.lit(0).alias("_part"), F.col("_at").cast("long").alias("_at"))
+    fresh = found.join(stored.select(key, "keyword_id"), [key, "keyword_id"], "left_anti").select(key, "keyword_id", "distance", F.lit(1).alias("_part"), F.col("rank").cast("long").alias("_at"))
+    order = Window.partitionBy(key).orderBy("_part", "_at", "keyword_id")
+    ranked = have.unionByName(fresh).select(key, "keyword_id", "distance", F.row_number().over(order).alias("rank"))
+    return ranked.where("rank <= 7") if cap else ranked
+
+
+def inherited(works: DataFrame, lists: DataFrame, artist: str, work: str) -> DataFrame:
+    """(work, keyword_id, pos): the keywords that works (work, artist) take over from their artists' lists, in the artists' order; of several
+    artists the first that has a keyword gives its place."""
+    joined = works.select(work, artist).join(lists.select(artist, "keyword_id", "rank"), artist)
+    return joined.groupBy(work, "keyword_id").agg(F.min("rank").alias("pos"))
+
+
+def search_parts(rows: DataFrame, key: str, details: str, synonyms: dict[str, list[str]]) -> DataFrame:
+    """(key, part, is_synonym): what is searched for a row besides its whole text: each comma-separated part of the values of a map, and for
+    parts with synonyms, in lower case, these."""
+    each = rows.select(key, F.explode(F.map_values(details)).alias("value")).select(key, F.explode(F.split("value", ",")).alias("part"))
+    each = each.select(key, F.trim("part").alias("part")).where("part <> ''").distinct()
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    more = each.select(key, F.explode(F.try_element_at(table, F.lower("part"))).alias("part")).distinct()
+    return each.withColumn("is_synonym", F.lit(False)).union(more.withColumn("is_synonym", F.lit(True)))

@@ -132,3 +132,45 @@ def keyword_lists(t: Tables):
     allowed = t.embeddings.where("label % 2 = 0").select(F.col("vec_id").alias("keyword_id"))
     found = K.keyword_lists([(index, asked(index), 6, None), (half, asked(half), 3, 1.0)], allowed, "query_id", 1.4, False)
     return found.select("query_id", "keyword_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_TAIL = _D.format("q.embedding[33:64]", "e.embedding[33:64]")
+_KEYWORDS = f"""u AS (SELECT query_id, keyword_id, d, 0 AS part, rank FROM ({_near(_WHOLE, 10)}) WHERE label % 2 = 0
+        UNION ALL SELECT query_id, keyword_id, d, 1, rank FROM ({_near(_HALF, 3)}) WHERE d < 1.0 AND label % 2 = 0
+        UNION ALL SELECT query_id, keyword_id, d, 2, rank FROM ({_near(_TAIL, 2)}) WHERE d < 1.0 AND label % 2 = 0),
+    e AS (SELECT query_id, keyword_id, min(part * 100 + rank) AS place, arg_max(d, part * 100 + rank) AS d FROM u GROUP BY query_id, keyword_id),
+    stored AS (SELECT q.vec_id AS query_id, e.vec_id AS keyword_id, e.vec_id - q.vec_id AS pos FROM embeddings q JOIN embeddings e ON e.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 2 WHERE q.vec_id % 50 = 0),
+    b AS (SELECT query_id, keyword_id, NULL::DOUBLE AS d, pos AS place FROM stored UNION ALL SELECT query_id, keyword_id, d, 1000 + place FROM e ANTI JOIN stored USING (query_id, keyword_id) WHERE d < 1.4),
+    lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, keyword_id) AS rank FROM b) WHERE rank <= 7)"""
+
+
+def _artists(t: Tables):
+    """Stored keywords first, then a broad search, one in the values alone and one of synonyms, both near only; the first seven."""
+    index = t.embeddings.select(F.col("vec_id").alias("keyword_id"), "embedding")
+    part = lambda at: index.withColumn("embedding", F.slice("embedding", at, 32))
+    asked = lambda rows: rows.where("keyword_id % 50 = 0").withColumnRenamed("keyword_id", "query_id")
+    allowed = t.embeddings.where("label % 2 = 0").select(F.col("vec_id").alias("keyword_id"))
+    found = K.keyword_lists([(index, asked(index), 10, None), (part(1), asked(part(1)), 3, 1.0), (part(33), asked(part(33)), 2, 1.0)], allowed, "query_id", 1.4, False)
+    ids = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"))
+    stored = ids.withColumn("keyword_id", F.col("query_id") + F.col("pos")).join(index.select("keyword_id"), "keyword_id")
+    return K.after_stored(stored, found, "query_id", True)
+
+
+@query(f"WITH {_KEYWORDS} SELECT query_id, keyword_id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM lists")
+def artist_keywords(t: Tables):
+    return _artists(t).select("query_id", "keyword_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"""WITH {_KEYWORDS}, works AS (SELECT vec_id AS work_id, vec_id - vec_id % 50 AS query_id, embedding FROM embeddings WHERE vec_id % 50 IN (10, 11)),
+    heirs AS (SELECT work_id, keyword_id, rank AS pos FROM works JOIN lists USING (query_id)),
+    near AS (SELECT work_id, keyword_id, d, rank FROM (SELECT q.work_id, e.vec_id AS keyword_id, e.label, {_WHOLE} AS d, row_number() OVER (PARTITION BY q.work_id ORDER BY {_WHOLE}, e.vec_id) AS rank FROM works q, embeddings e)
+             WHERE rank <= 6 AND label % 2 = 0 AND d < 1.4),
+    c AS (SELECT work_id, keyword_id, NULL::DOUBLE AS d, pos AS place FROM heirs UNION ALL SELECT work_id, keyword_id, d, 1000 + rank FROM near ANTI JOIN heirs USING (work_id, keyword_id))
+    SELECT work_id, keyword_id, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY work_id ORDER BY place, keyword_id) AS INTEGER) AS rank FROM c""")
+def artwork_keywords(t: Tables):
+    works = t.embeddings.where("vec_id % 50 in (10, 11)").select(F.col("vec_id").alias("work_id"), (F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), "embedding")
+    index = t.embeddings.select(F.col("vec_id").alias("keyword_id"), "embedding")
+    allowed = t.embeddings.where("label % 2 = 0").select(F.col("vec_id").alias("keyword_id"))
+    found = K.keyword_lists([(index, works.select("work_id", "embedding"), 6, None)], allowed, "work_id", 1.4, False)
+    out = K.after_stored(K.inherited(works, _artists(t), "query_id", "work_id"), found, "work_id", False)
+    return out.select("work_id", "keyword_id", F.round("distance", 6).alias("distance"), "rank")

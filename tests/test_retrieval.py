@@ -81,3 +81,21 @@ def test_spans_without_entries(spark):
     matches = spark.createDataFrame([("a", 5, 0.5), ("a", 4, 0.5), ("b", 6, 0.1)], "phrase string, id long, similarity double")
     assert [(r["phrase"], r["id"]) for r in K.candidates(grams.withColumnRenamed("id", "text_id"), matches, None, 0.25).collect()] == [("a", 4)]
     assert K.candidates(grams.withColumnRenamed("id", "text_id"), matches, spark.createDataFrame([(5,)], "id long"), 0.25).select(F.col("id")).first()[0] == 5
+
+
+def test_stored_and_inherited_keywords(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    stored = make([("a", f"s{i}", i) for i in range(6)] + [("b", "s0", 0), ("b", "s0", 3)], "id string, keyword_id string, pos int")
+    found = make([("a", "f1", 0.2, 1), ("a", "s2", 0.1, 2), ("a", "f2", 0.3, 3), ("c", "f1", 0.4, 1)], "id string, keyword_id string, distance double, rank int")
+    lists = K.after_stored(stored, found, "id", True).collect()
+    of = lambda key: [r["keyword_id"] for r in sorted((r for r in lists if r["id"] == key), key=lambda r: r["rank"])]
+    assert of("a") == ["s0", "s1", "s2", "s3", "s4", "s5", "f1"] and of("b") == ["s0"] and of("c") == ["f1"]
+    works = make([("w", "a"), ("w", "c"), ("x", "zz")], "work string, id string")
+    got = K.inherited(works, make([(r["id"], r["keyword_id"], r["rank"]) for r in lists], "id string, keyword_id string, rank int"), "id", "work").collect()
+    assert {(r["work"], r["keyword_id"]): r["pos"] for r in got} == {("w", k): (1 if k == "f1" else i + 1) for i, k in enumerate(of("a"))}
+
+
+def test_search_parts(spark):
+    rows = spark.createDataFrame([(1, {"genre": "Marina, , portrait", "style": "marina"}), (2, {}), (3, None)], "id int, details map<string,string>")
+    got = K.search_parts(rows, "id", "details", {"marina": ["nautical"], "x": ["y", "z"]}).collect()
+    assert {tuple(r) for r in got} == {(1, "Marina", False), (1, "portrait", False), (1, "marina", False), (1, "nautical", True)} and len(got) == 4
