@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, columns, maps, merges, pages, relational, review, vectors
+from . import catalogue, columns, maps, merges, pages, records, relational, review, vectors
 
-_ALL = [relational, columns, merges, catalogue, pages, vectors, maps, review]
+_ALL = [relational, columns, records, merges, catalogue, pages, vectors, maps, review]
 
 
 def queries() -> dict:
