@@ -24,13 +24,30 @@ def ngrams(t: Tables):
     return K.ngrams(t.benchmark, "item_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+    grams AS (SELECT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase, i - 1 AS start, i + n - 2 AS stop FROM words, range(1, 4) r(n), range(1, 1000) s(i) WHERE i + n - 1 <= len(w)),
+    said AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+    counted AS (SELECT array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS n_said FROM said, range(1, 4) r(n), unnest(range(1, len(w) + 1)) AS s(i) WHERE i + n - 1 <= len(w) GROUP BY 1),
+    spans AS (SELECT item_id, stop, list({'start': start, 'phrase': phrase, 'score': length(phrase)::DOUBLE / 20} ORDER BY start) AS l FROM grams JOIN counted USING (phrase)
+              WHERE n_said >= 3 AND length(phrase) >= 4 AND length(phrase)::DOUBLE / 20 >= 0.25 GROUP BY item_id, stop),
+    sizes AS (SELECT item_id, max(stop) + 1 AS n FROM spans GROUP BY item_id),
+    best(item_id, n, pos, totals, choices) AS (
+        SELECT item_id, n, 0, [0.0::DOUBLE], []::STRUCT(start BIGINT, phrase VARCHAR, score DOUBLE)[] FROM sizes
+        UNION ALL SELECT b.item_id, n, pos + 1,
+            list_append(totals, greatest(totals[pos + 1], coalesce(list_max(list_transform(l, lambda c: totals[c.start + 1] + c.score)), 0))),
+            list_append(choices, CASE WHEN list_max(list_transform(l, lambda c: totals[c.start + 1] + c.score)) > totals[pos + 1]
+                THEN list_filter(l, lambda c: totals[c.start + 1] + c.score = list_max(list_transform(l, lambda d: totals[d.start + 1] + d.score)))[1] END)
+        FROM best b LEFT JOIN spans s ON b.item_id = s.item_id AND s.stop = pos WHERE pos < n),
+    chosen AS (SELECT item_id, n, choices FROM best WHERE pos = n),
+    walk(item_id, choices, here) AS (SELECT item_id, choices, n FROM chosen
+        UNION ALL SELECT item_id, choices, CASE WHEN choices[here] IS NULL THEN here - 1 ELSE choices[here].start END FROM walk WHERE here > 0)
+    SELECT item_id, CAST(choices[here].start AS INTEGER) AS start, CAST(here - 1 AS INTEGER) AS stop, choices[here].phrase AS id, choices[here].score AS similarity FROM walk WHERE here > 0 AND choices[here] IS NOT NULL""")
 def keyword_spans(t: Tables):
     """The lexicon holds the benchmark's phrases of one to three words that documents use at least three times, so spans overlap
     and the schedule decides. One scan of the documents, in which only these phrases are looked up; a longer phrase weighs more."""
     grams = K.ngrams(t.benchmark, "item_id", "text")
     counted = K.counted(t.documents, "text", grams)
-    lexicon = counted.where("n >= 3 and length(phrase) >= 4").select("phrase", F.xxhash64("phrase").alias("id"), (F.length("phrase") / 20.0).alias("similarity"))
+    lexicon = counted.where("n >= 3 and length(phrase) >= 4").select("phrase", F.col("phrase").alias("id"), (F.length("phrase") / 20.0).alias("similarity"))
     return K.best_spans(K.candidates(grams, lexicon, None, 0.25), "item_id")
 
 
