@@ -3,9 +3,10 @@
 A word's input is a hashed word embedding plus the scaled sum of its hashed character n-gram embeddings (3 to 5, with ends). Windows of
 ``WINDOW`` words that overlap by half cover the whole text; in each, two gated recurrent units read the words forward
 and backward, attention pools their states, and a linear layer gives a logit. A text's logit is the mean of its
-``TOP`` highest windows (of all, if fewer), so that one chance likeness does not condemn a long text. Training, in numpy on the driver, sees at most ``TOXIC + CLEAN`` labelled documents (those with the
-smallest hashes), at most ``PER_DOC`` evenly spaced windows of each; the document's
-label trains the windows that make its logit, so toxic ones need no marking. Scoring runs in Arrow batches over all windows of all documents.
+``TOP`` highest windows (of all, if fewer), so that one chance likeness does not condemn a long text. Training, in numpy on the
+driver, sees whole texts of at most ``TOXIC + CLEAN`` labelled documents and at most ``MOST_FIT`` characters of them in all (those
+with the smallest hashes, of each label). A text's windows are dealt to the epochs in turn, at least ``PER_EPOCH`` to each, so all
+are seen; the document's label trains the windows that make its logit, so toxic ones need no marking. Scoring runs in Arrow batches over all windows of all documents.
 
 Defined results: null or empty text scores as no evidence (the output bias); repeated rows score alike but for rounding; with no
 labelled document to learn from, or labels of one kind only, every score is that kind's share (0 without labels); an
@@ -18,13 +19,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, ragged, steps
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.7
-TOP, TOXIC, CLEAN, PER_DOC, EPOCHS, BATCH, RATE, DECAY = 4, 700, 900, 8, 4, 48, 0.02, 0.05
+TOP, TOXIC, CLEAN, MOST_FIT, PER_EPOCH, EPOCHS, BATCH, RATE, DECAY = 4, 700, 900, 32 << 20, 8, 4, 48, 0.02, 0.05
 WORD_SLOTS, CHAR_SLOTS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 15, 16, 8, 8
 #: Words that a worker remembers the inputs of.
 MOST_WORDS = 200_000
@@ -156,20 +157,22 @@ class Network:
         return dx, g
 
 
-def train(samples: list[list[list[str]]], toxic: list[int], seed: int = 7) -> Network:
-    """samples: the windows (lists of words) of each document."""
+def dealt(n: int, epoch: int) -> slice:
+    """Which of n windows an epoch sees: every k-th, so that the epochs together see all, and at least PER_EPOCH if there are as many."""
+    k = max(1, min(EPOCHS, n // PER_EPOCH))
+    return slice(epoch % k, None, k)
+
+
+def train(samples: list[list[str]], toxic: list[int], seed: int = 7) -> Network:
+    """samples: the words of each document, at least one."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for doc in samples for win in doc for w in win}))}
+    vocabulary = {w: i for i, w in enumerate(sorted({w for doc in samples for w in doc}))}
     own, chars, sizes = _slots(list(vocabulary))
     starts = np.cumsum(sizes) - sizes
     docs = []
     for doc in samples:
-        ids = np.zeros((len(doc), WINDOW), np.int64)
-        mask = np.zeros((len(doc), WINDOW), bool)
-        for i, win in enumerate(doc):
-            ids[i, : len(win)] = [vocabulary[w] for w in win]
-            mask[i, : len(win)] = True
-        docs.append((ids, mask))
+        numbers, at = np.array([vocabulary[w] for w in doc], np.int32), np.array(window_starts(len(doc)))[:, None] + np.arange(WINDOW)
+        docs.append((numbers[np.minimum(at, len(doc) - 1)] * (at < len(doc)), at < len(doc)))
     labels = np.array(toxic, np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -178,8 +181,8 @@ def train(samples: list[list[list[str]]], toxic: list[int], seed: int = 7) -> Ne
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            ids, mask = (np.concatenate([docs[i][j] for i in pick]) for j in (0, 1))
-            counts = np.array([len(docs[i][0]) for i in pick])
+            ids, mask = (np.concatenate([docs[i][j][dealt(len(docs[i][0]), epoch)] for i in pick]) for j in (0, 1))
+            counts = np.array([len(docs[i][0][dealt(len(docs[i][0]), epoch)]) for i in pick])
             used, inverse = np.unique(ids, return_inverse=True)
             inverse = inverse.reshape(ids.shape)
             grams = chars[ragged(starts[used], sizes[used])]
@@ -263,35 +266,28 @@ class Scorer:
         return _sigmoid(pooled)
 
 
-def _training_windows(docs: DataFrame, labels: DataFrame) -> list:
-    """Rows (toxic, windows) of the sampled documents."""
+def _training_texts(docs: DataFrame, labels: DataFrame) -> list:
+    """Rows (doc_id, toxic, text) of the sampled documents."""
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    picks = [known.where(f"toxic = {kind}").select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in ((1, TOXIC), (0, CLEAN))]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picks = [known.where(f"toxic = {kind}").select("doc_id", "toxic").distinct().orderBy(*order).limit(n) for kind, n in ((1, TOXIC), (0, CLEAN))]
     sample = F.broadcast(picks[0].union(picks[1]))  # at most TOXIC + CLEAN rows
-
-    def cut(batches):
-        for batch in batches:
-            windows = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                starts = window_starts(len(words))
-                if len(starts) > PER_DOC:
-                    starts = [starts[i] for i in np.linspace(0, len(starts) - 1, PER_DOC).astype(int)]
-                windows.append([" ".join(words[s : s + WINDOW]) for s in starts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(windows, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
-
     joined = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    return joined.mapInArrow(cut, "doc_id long, toxic int, windows array<string>").collect()
+    sizes = joined.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    # repeated rows count once each; a bounded table, so one task may sum it up
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order))
+    kept = sizes.withColumn("upto", upto).where(F.col("upto") <= MOST_FIT // 2).select("doc_id").distinct()
+    return joined.join(F.broadcast(kept), "doc_id").select("doc_id", "toxic", "text").collect()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    rows = sorted(_training_windows(docs, labels), key=lambda r: (r["doc_id"], r["toxic"], r["windows"]))
-    rows = [r for r in rows if any(r["windows"])]
-    kinds = {r["toxic"] for r in rows}
+    rows = sorted(((r["doc_id"], r["toxic"], words_of(r["text"])) for r in _training_texts(docs, labels)))
+    rows = [r for r in rows if any(r[2])]
+    kinds = {toxic for _, toxic, _ in rows}
     spark = docs.sparkSession
     if kinds == {0, 1}:
-        net = train([[w.split(" ") for w in r["windows"] if w] for r in rows], [r["toxic"] for r in rows])
+        net = train([words for _, _, words in rows], [toxic for _, toxic, _ in rows])
         shared = spark.sparkContext.broadcast(net.p)
     else:
         shared = spark.sparkContext.broadcast(float(1 in kinds))
