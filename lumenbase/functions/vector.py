@@ -75,3 +75,22 @@ def from_bytes(blob: Column | str) -> Column:
         return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
     return unpack(blob)
+
+
+def to_text(vector: Column | str) -> Column:
+    """A vector as a JSON list."""
+    return F.to_json(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def from_text(text: Column | str) -> Column:
+    """Null for text that is no list of numbers."""
+    return F.from_json(F.col(text) if isinstance(text, str) else text, "array<float>")
+
+
+def to_base64(vector: Column | str) -> Column:
+    """The single-precision bytes as Base64 text."""
+    return F.base64(to_bytes(vector))
+
+
+def from_base64(text: Column | str) -> Column:
+    return from_bytes(F.unbase64(F.col(text) if isinstance(text, str) else text))

@@ -68,6 +68,31 @@ def widened_box(points: DataFrame, padding: float = 0.2, margin: float = 0.5) ->
     return box, [(left, low), (right, low), (right, high), (left, high)]
 
 
+def normalized_box(points: DataFrame, padding: float = 0.025) -> tuple[float, float, float, float]:
+    """The square box about (0, 0) whose side is the wider span of the points (x, y) and a little more, at least 2."""
+    w, h = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    half = max(max(w or 0.0, h or 0.0) * (1 + padding), 2.0) / 2
+    return -half, -half, half, half
+
+
+def cropped(cells: DataFrame, box: tuple[float, float, float, float] = (-1.0, -1.0, 1.0, 1.0)) -> DataFrame:
+    """CELLS cut to a box, with ``clipped``: whether that took anything. A cell that lies outside stays as it is."""
+    x0, y0, x1, y1 = box
+
+    def crop(frames):
+        for frame in frames:
+            rows = []
+            for region, vertices in frame[["region", "vertices"]].itertuples(index=False):
+                polygon = whole = [(v["x"], v["y"]) for v in vertices]
+                for nx, ny, limit in ((-1, 0, -x0), (1, 0, x1), (0, -1, -y0), (0, 1, y1)):
+                    polygon = clipped(polygon, nx, ny, limit) if polygon else polygon
+                polygon = polygon if len(polygon) >= 3 else whole
+                rows.append((region, [{"x": x, "y": y} for x, y in by_angle(polygon)], *area_and_centroid(polygon), polygon != whole))
+            yield pd.DataFrame(rows, columns=["region", "vertices", "area", "cx", "cy", "clipped"])
+
+    return cells.select("region", "vertices").mapInPandas(crop, CELLS + ", clipped boolean")
+
+
 def _cell(x: float, y: float, start: list[Point], others: np.ndarray) -> tuple[list[Point], list[int]]:
     """The part of a convex polygon nearer to (x, y) than to the others, and which of them cut it.
 

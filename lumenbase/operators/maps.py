@@ -81,3 +81,25 @@ def merge_stats(regions: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 def cache_key(names: Column) -> Column:
     """The first 8 hexadecimal digits of the MD5 of the sorted JSON list."""
     return F.substring(F.md5(F.to_json(F.array_sort(names))), 1, 8)
+
+
+def map_points(points: DataFrame, entries: DataFrame, key: str, columns: list[str], artists: DataFrame) -> DataFrame:
+    """Points (key, x, y) as a map's page takes them: entryId, x, y, artworkData (the entry's columns) and artistData (entries of names and ids,
+    of ``records.artists_of``); points without an entry are left out, entries without an artist have none."""
+    data = F.struct(key, *columns).alias("artworkData")
+    joined = points.select(key, "x", "y").join(entries.select(key, *columns), key).join(artists.select(key, "artists"), key, "left")
+    none = F.array().cast(artists.schema["artists"].dataType)
+    return joined.select(F.col(key).alias("entryId"), "x", "y", data, F.struct(F.coalesce("artists", none).alias("entries")).alias("artistData"))
+
+
+def region_rows(cells: DataFrame, points: DataFrame, region: str, label: Column | None = None) -> DataFrame:
+    """Cells (region, vertices) as a map's page takes them: id, label ('Region n' from 1 where none is given), vertices, the mean of these as centroid,
+    how many points are in it, clipped (false where cells have no such column). Ids of points come a row each from ``records.region_members``."""
+    counts = points.groupBy(F.col(region).alias("region")).agg(F.count("*").alias("pointCount"))
+    default = F.concat(F.lit("Region "), (F.col("region") + 1).cast("string"))
+    mean = lambda c: F.aggregate("vertices", F.lit(0.0), lambda a, v: a + v[c]) / F.greatest(F.size("vertices"), F.lit(1))
+    clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in cells.columns else F.lit(False)
+    return cells.join(counts, "region", "left").select(
+        F.col("region").alias("id"), (default if label is None else F.coalesce(label, default)).alias("label"), "vertices", F.struct(mean("x").alias("x"), mean("y").alias("y")).alias("centroid"),
+        F.coalesce("pointCount", F.lit(0)).cast("long").alias("pointCount"), clipped.alias("clipped"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .integrity import first_failure
+
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table and those rows whose key it lacks; of rows with one key the smallest counts."""
@@ -13,6 +15,13 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(fresh.select(table.columns))
 
 
+def guarded_insert(table: DataFrame, rows: DataFrame, key: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The table and those absent rows that pass all rules, and (key, reason) of the others: the first rule that fails, or ``exists``."""
+    known = table.select(F.col(key).alias("_known")).distinct()
+    judged = rows.join(known, F.col(key) == F.col("_known"), "left").withColumn("_reason", F.coalesce(first_failure(rules), F.when(F.col("_known").isNotNull(), "exists")))
+    return insert_absent(table, judged.where("_reason is null").select(*rows.columns), key), judged.where("_reason is not null").select(key, F.col("_reason").alias("reason"))
+
+
 def clashes(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Keys of rows that cannot be inserted: the table has them, or they repeat."""
     return rows.join(table.select(key), key, "left_semi").select(key).union(rows.groupBy(key).count().where("count > 1").select(key)).distinct()

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
 from ..operators import html as H
 from ..operators import integrity as I
+from ..operators import maps as M
 from ..operators import records as R
+from ..operators import upsert as U
 from .registry import Tables, registrar
+from .vectors import _XY, points
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -104,3 +108,48 @@ def overview_grid(t: Tables):
     items = [item(0, '<img src="https://i.example.com/0.jpg">', link(0)), item(5, '<img src="x.jpg">', "'no link'"), item(1, late, link(1))]
     page = F.expr(f"""concat('<ul class="wiki-masonry-container">', {", ".join(items)}, '</ul>')""")
     return H.artworks(t.part.select("p_partkey", F.lit("https://a.example.com/x").alias("url"), page.alias("html")), "p_partkey", "url", "html")
+
+
+@query(f"""WITH e AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1)
+    SELECT p_partkey AS "entryId", round(x, 6) AS x, round(y, 6) AS y, p_name AS value, p_brand AS filename, id AS artist_id, p_name AS artist FROM ({_XY}) JOIN part ON p_partkey = vec_id JOIN e ON e.name = lower(p_name)""")
+def map_point_rows(t: Tables):
+    entries = t.part.select("p_partkey", F.col("p_name").alias("value"), F.col("p_brand").alias("filename"))
+    artists = R.artists_of(entries.select("p_partkey", F.array("value").alias("names")), "p_partkey", "names", t.part.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("value")))
+    out = M.map_points(points(t).withColumnRenamed("vec_id", "p_partkey"), entries, "p_partkey", ["value", "filename"], artists)
+    artist = F.get("artistData.entries", F.lit(0))
+    return out.select("entryId", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "artworkData.value", "artworkData.filename", artist["entryId"].alias("artist_id"), artist["name"].alias("artist"))
+
+
+@query(f"""WITH c AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM ({_XY}) GROUP BY label)
+    SELECT label AS id, 'Region ' || (label + 1) AS label, round(x + 0.0, 6) AS cx, round(y, 6) AS cy, n AS "pointCount", false AS clipped FROM c""")
+def region_rows(t: Tables):
+    """Squares about the mean of each label's points, as regions."""
+    c = points(t).groupBy(F.col("label").cast("int").alias("region")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
+    cells = c.select("region", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("vertices"))
+    out = M.region_rows(cells, points(t), "label")
+    return out.select("id", "label", F.round("centroid.x", 6).alias("cx"), F.round("centroid.y", 6).alias("cy"), "pointCount", "clipped")
+
+
+@query("SELECT vec_id, len(embedding) AS n_bytes, len(embedding) AS n_text, len(embedding) AS n_base64 FROM embeddings")
+def vector_wire_formats(t: Tables):
+    """Each format gives the vector back, component by component."""
+    back = lambda c: F.when(c == F.col("embedding"), F.size(c)).cast("long")
+    e = t.embeddings
+    return e.select("vec_id", back(V.from_bytes(V.to_bytes("embedding"))).alias("n_bytes"), back(V.from_text(V.to_text("embedding"))).alias("n_text"), back(V.from_base64(V.to_base64("embedding"))).alias("n_base64"))
+
+
+_NEW = "SELECT l_partkey, max(l_quantity) AS q, max(l_returnflag) AS flag FROM (SELECT l_partkey + 1000 AS l_partkey, l_quantity, l_returnflag FROM lineitem) GROUP BY l_partkey"
+
+
+@query(f"""SELECT p_partkey, 'exists' AS reason FROM part WHERE false UNION ALL
+    SELECT l_partkey, CASE WHEN NOT q > 48 THEN 'quantity' WHEN flag <> 'R' THEN 'flag' ELSE 'exists' END FROM ({_NEW}) WHERE NOT q > 48 OR flag <> 'R' OR l_partkey IN (SELECT p_partkey FROM part)""")
+def refused_rows(t: Tables):
+    new = t.lineitem.groupBy((F.col("l_partkey") + 1000).alias("p_partkey")).agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("flag"))
+    return U.guarded_insert(t.part.select("p_partkey", F.lit(0.0).alias("q"), F.lit("").alias("flag")), new, "p_partkey", {"quantity": F.col("q") > 48, "flag": F.col("flag") == "R"})[1]
+
+
+@query(f"""SELECT p_partkey, 0.0::DOUBLE AS q FROM part UNION ALL SELECT l_partkey, q FROM ({_NEW}) WHERE q > 48 AND flag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part)""")
+def guarded_insert(t: Tables):
+    new = t.lineitem.groupBy((F.col("l_partkey") + 1000).alias("p_partkey")).agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("flag"))
+    return U.guarded_insert(t.part.select("p_partkey", F.lit(0.0).alias("q"), F.lit("").alias("flag")), new, "p_partkey", {"quantity": F.col("q") > 48, "flag": F.col("flag") == "R"})[0].select("p_partkey", "q")

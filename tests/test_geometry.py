@@ -111,3 +111,13 @@ def test_merging_and_colours(spark):
     assert (f["regions"], f["pairs"], f["unpaired_regions"]) == (15, len(chosen), len(alone))
     assert (f["boundaries"], f["paired_boundaries"], f["unpaired_boundaries"]) == (len(boundaries), len(chosen), len(boundaries) - len(chosen))
     assert (f["shortest"], f["longest"], f["at_shortest"]) == (min(lengths), max(lengths), lengths.count(min(lengths)))
+
+
+def test_boxes_and_cropping(spark):
+    points = spark.createDataFrame([(0.0, -3.0), (1.0, 5.0)], "x double, y double")
+    assert G.normalized_box(points) == pytest.approx((-4.1, -4.1, 4.1, 4.1)) and G.normalized_box(points.where("x < 0.5")) == (-1.0, -1.0, 1.0, 1.0)
+    shapes = {1: [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)], 2: [(0.0, 0.0), (3.0, 0.0), (3.0, 0.5), (0.0, 0.5)], 3: [(4.0, 4.0), (5.0, 4.0), (5.0, 5.0)]}
+    cells = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in shapes.items()], "region int, vertices array<struct<x:double,y:double>>")
+    got = {r["region"]: r for r in G.cropped(cells).collect()}
+    assert [got[i]["clipped"] for i in (1, 2, 3)] == [False, True, False] and [got[i]["area"] for i in (1, 2, 3)] == pytest.approx([1.0, 0.5, 0.5])
+    assert max(v["x"] for v in got[2]["vertices"]) == 1.0 and len(got[3]["vertices"]) == 3
