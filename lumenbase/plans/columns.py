@@ -15,6 +15,7 @@ from ..operators import maps as M
 from ..operators import repairs as P
 from ..operators import retrieval as R
 from ..operators import staging as S
+from ..operators import upsert as U
 from .registry import Tables, registrar
 from .vectors import _XY, points
 
@@ -138,3 +139,62 @@ def corrected_rows(t: Tables):
 @query("SELECT event_type AS outcome, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type UNION ALL SELECT NULL, count(*) FROM events")
 def outcome_counts(t: Tables):
     return P.outcomes(t.events.select(F.col("event_type").alias("outcome")), "outcome")
+
+
+@query("SELECT conv_id, turn AS at, text FROM conversations")
+def version_contents(t: Tables):
+    """What each canvas's map of versions holds, entry by entry."""
+    return C.version_map(t.conversations, "conv_id", "turn", "text").select("conv_id", F.explode("versions").alias("at", "text"))
+
+
+_LINKS = "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINKS}), j AS (SELECT l_orderkey, l_partkey, p_partkey, 'o' || (l_orderkey % 7) AS value FROM l LEFT JOIN part ON l_partkey = p_partkey AND p_size > 2)
+    SELECT 'o' || l_orderkey AS entry_id, 'p' || l_partkey AS image_id, 'missing_image' AS issue FROM j WHERE p_partkey IS NULL
+    UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'missing_artist_name' FROM j WHERE p_partkey IS NOT NULL AND 'o' || (p_partkey % 7) <> value
+    UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'missing_related_keyword' FROM j WHERE p_partkey IS NOT NULL AND p_partkey <> l_orderkey""")
+def order_part_issues(t: Tables):
+    """Links of all orders to all parts: parts that are not listed, that name another owner, that do not point back."""
+    links = t.lineitem.select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("p"), "l_partkey")).alias("images"))
+    artists = links.select(F.concat(F.lit("o"), "l_orderkey").alias("entry_id"), F.concat(F.lit("o"), (F.col("l_orderkey") % 7).cast("string")).alias("value"), "images")
+    images = t.part.where("p_size > 2").select(F.concat(F.lit("p"), "p_partkey").alias("image_id"), F.array(F.concat(F.lit("o"), (F.col("p_partkey") % 7).cast("string"))).alias("artist_names"), F.array(F.concat(F.lit("o"), "p_partkey")).alias("related_ids"))
+    return I.link_issues(artists, images)
+
+
+@query(f"""WITH e AS (SELECT 'k' || p_partkey AS id, p_name || ' ' || p_partkey AS label, p_partkey FROM part WHERE p_size > 5), r AS ({_LINKS}),
+    good AS (SELECT l_orderkey, id, label FROM r JOIN e ON l_partkey = p_partkey),
+    bad AS (SELECT l_orderkey, list('k' || l_partkey ORDER BY 'k' || l_partkey) AS ids FROM r WHERE l_partkey NOT IN (SELECT p_partkey FROM e) GROUP BY l_orderkey),
+    g AS (SELECT l_orderkey, list(id ORDER BY id) AS ids, list(label ORDER BY label) AS labels FROM good GROUP BY l_orderkey)
+    SELECT l_orderkey AS entry_id, coalesce(g.ids, []) AS new_ids, coalesce(g.labels, []) AS new_labels, coalesce(b.ids, []) AS invalid_ids, ['none'] AS invalid_labels, true AS issue
+    FROM (SELECT DISTINCT l_orderkey FROM r) LEFT JOIN g USING (l_orderkey) LEFT JOIN bad b USING (l_orderkey)""")
+def order_keywords(t: Tables):
+    """Ids and labels of all orders' parts brought in line: half of the labels are missing, small parts are unknown."""
+    entries = t.part.where("p_size > 5").select(F.concat(F.lit("k"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("label"))
+    links = t.lineitem.select("l_orderkey", "l_partkey").distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
+    label = F.when(F.col("l_partkey") % 2 == 0, F.concat_ws(" ", "p_name", "l_partkey"))
+    rows = links.join(entries.select(F.col("id").alias("_id")), F.concat(F.lit("k"), "l_partkey") == F.col("_id"), "left").groupBy(F.col("l_orderkey").alias("entry_id")).agg(
+        F.collect_list(F.concat(F.lit("k"), "l_partkey")).alias("ids"), F.concat(F.collect_list(F.when(F.col("_id").isNotNull(), label)), F.array(F.lit("none"))).alias("labels"))
+    return I.reconciled(rows, entries).select("entry_id", "new_ids", "new_labels", "invalid_ids", "invalid_labels", "issue")
+
+
+@query("""SELECT c_custkey, coalesce(list(o_orderkey || ':' || o_orderstatus ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def nested_orders(t: Tables):
+    return C.nested(t.customer.select("c_custkey"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["o_orderkey", "o_orderstatus"], "orders").withColumn(
+        "orders", F.transform("orders", lambda o: F.concat_ws(":", o["o_orderkey"], o["o_orderstatus"]))
+    )
+
+
+@query("SELECT conv_id AS grp, string_agg(text, ' ' ORDER BY turn) AS content, avg(turn) AS x, avg(turn * 2) + 210 AS y FROM conversations GROUP BY conv_id")
+def merged_threads(t: Tables):
+    nodes = t.conversations.select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), F.col("text").alias("content"), F.col("turn").cast("double").alias("x"), (F.col("turn") * 2.0).alias("y"))
+    return C.merged_nodes(nodes, "grp")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 40), f AS (SELECT l_partkey, list(l_orderkey ORDER BY l_orderkey) AS refs FROM l WHERE l_orderkey <> l_partkey GROUP BY l_partkey)
+    SELECT p_partkey, [p_partkey] || coalesce(refs, []) AS refs FROM part LEFT JOIN f ON p_partkey = l_partkey""")
+def parts_with_orders(t: Tables):
+    """Orders appended to each part's own list where they are absent."""
+    rows = t.part.select("p_partkey", F.array("p_partkey").alias("refs"))
+    refs = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("ref"))
+    return U.append_refs(rows, "p_partkey", "refs", refs)

@@ -249,7 +249,9 @@ def log_parse(t: Tables):
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS c FROM events),
     r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM m) SELECT user_id, max(ts) AS saved_at, count(*) AS n FROM r GROUP BY user_id, run""")
 def session_autosave(t: Tables):
-    return t.events.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.max("ts").alias("saved_at"), F.count("*").alias("n")).select("user_id", "saved_at", "n")
+    from ..streaming.jobs import autosaves
+
+    return autosaves(t.events, "user_id", "ts", "6 hours")
 
 
 @query("SELECT conv_id, count(*) AS n, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
