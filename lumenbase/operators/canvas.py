@@ -120,3 +120,10 @@ def overlapping(boxes: DataFrame, key: str, kind: str, cell: float) -> DataFrame
 def distinct_clippings(rows: DataFrame, owner: str, content: str, order: str) -> DataFrame:
     """(owner, content, order): each content once for an owner, where it first stands."""
     return rows.groupBy(owner, content).agg(F.min(order).alias(order))
+
+
+def nearby(boxes: DataFrame, key: str, seed: int, padding: float = 10.0) -> DataFrame:
+    """(key, x, y): a place just below each box (key, x, y, width, height), moved by up to 30 to the right or down and 10 back, by its key and the seed."""
+    move = lambda i: F.pmod(F.xxhash64(F.lit(seed + i), key), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 40 - 10
+    x = F.col("x") + F.col("width") / 2 - padding + move(0)
+    return boxes.select(key, x.alias("x"), (F.col("y") + F.col("height") + padding + move(1)).alias("y"))

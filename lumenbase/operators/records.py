@@ -202,3 +202,13 @@ def remade(rows: DataFrame, store: str, remake: bool, key: str) -> None:
         rows.write.mode("overwrite").parquet(store)
     else:
         rows.join(spark.read.parquet(store).select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(store)
+
+
+def enriched(staged: DataFrame, entries: DataFrame, images: DataFrame) -> DataFrame:
+    """Staged artists (existing_id, is_existing, artworks) with their row's name in ``entries`` (entry_id, value), how many ``images`` (image_id,
+    artist_names) name it, and how many of their artworks are new. Names count as whole names, so no artist counts another's."""
+    named = entries.select(F.col("entry_id").alias("existing_id"), F.col("value").alias("db_name"))
+    counts = images.select("image_id", F.explode(F.array_distinct("artist_names")).alias("db_name")).groupBy("db_name").agg(F.count("*").alias("existing_artworks_count"))
+    known = staged.withColumn("existing_id", F.when(F.col("is_existing"), F.col("existing_id"))).join(named, "existing_id", "left").join(counts, "db_name", "left")
+    fresh = F.size(F.filter(F.coalesce("artworks", F.array().cast(staged.schema["artworks"].dataType)), lambda a: ~F.coalesce(a["is_existing"], F.lit(False))))
+    return known.withColumn("existing_artworks_count", F.coalesce("existing_artworks_count", F.lit(0))).withColumn("new_artworks_count", fresh.cast("long"))

@@ -153,3 +153,15 @@ def refused_rows(t: Tables):
 def guarded_insert(t: Tables):
     new = t.lineitem.groupBy((F.col("l_partkey") + 1000).alias("p_partkey")).agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("flag"))
     return U.guarded_insert(t.part.select("p_partkey", F.lit(0.0).alias("q"), F.lit("").alias("flag")), new, "p_partkey", {"quantity": F.col("q") > 48, "flag": F.col("flag") == "R"})[0].select("p_partkey", "q")
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+    SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_name END AS db_name, CASE WHEN c_nationkey % 2 = 0 THEN coalesce(n, 0) ELSE 0 END AS existing_artworks_count, c_nationkey % 3 AS new_artworks_count
+    FROM customer LEFT JOIN c ON c_custkey = o_custkey""")
+def staged_enrichment(t: Tables):
+    work = F.struct(F.lit(False).alias("is_existing"))
+    old = F.struct(F.lit(True).alias("is_existing"))
+    staged = t.customer.select("c_custkey", F.col("c_custkey").alias("existing_id"), (F.col("c_nationkey") % 2 == 0).alias("is_existing"), F.slice(F.array(work, work, old, old), F.greatest(F.lit(1), 3 - F.col("c_nationkey") % 3), F.lit(4)).alias("artworks"))
+    entries = t.customer.select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("value"))
+    names = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select(F.col("o_orderkey").alias("image_id"), F.array("c_name", "c_name").alias("artist_names"))
+    return R.enriched(staged, entries, names).select("c_custkey", "db_name", "existing_artworks_count", "new_artworks_count")

@@ -71,3 +71,31 @@ def exported_version(export: DataFrame, column: str, version: str | None = None)
     m = F.from_json(column, "map<string,string>", {"allowSingleQuotes": "false"})
     key = F.lit(version) if version else F.array_max(F.map_keys(m))
     return export.select(key.alias("version"), F.try_element_at(m, key).alias("content"))
+
+
+def one_staged(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """One staged document of a folder; only the last part of the name counts, so no name leads out of the folder."""
+    base = name.replace("\\", "/").rsplit("/", 1)[-1]
+    if not base.endswith(".json") or base.startswith("."):
+        raise ValueError(f"no staged document: {name!r}")
+    return staged(spark, f"{folder.rstrip('/')}/{base}", schema)
+
+
+_AI_NODES = "nodes array<struct<id:string,type:string,data:struct<content:string,provenance:string,prompt:string>>>"
+
+
+def ai_images(export: DataFrame, column: str, version: str | None = None) -> DataFrame:
+    """(version, pos, id, url, prompt): the generated images of an exported canvas's version (the given one if it is there, else the last)."""
+    m = F.from_json(column, "map<string,string>")
+    last = F.array_max(F.map_keys(m))
+    key = F.when(F.map_contains_key(m, F.lit(version)), F.lit(version)).otherwise(last) if version else last
+    nodes = F.from_json(F.try_element_at(m, key), _AI_NODES)["nodes"]
+    rows = export.select(key.alias("version"), F.posexplode(nodes).alias("pos", "n")).where("n.type = 'image' and n.data.provenance = 'ai'")
+    return rows.select("version", "pos", "n.id", F.col("n.data.content").alias("url"), F.coalesce("n.data.prompt", F.lit("")).alias("prompt"))
+
+
+def run_summary(documents: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """A staging run's figures (a map of text), with defaults for what it lacks."""
+    value = lambda k: F.try_element_at(F.col(metadata), F.lit(k))
+    numbers = [F.coalesce(value(k).try_cast("long"), F.lit(0)).alias(k) for k in ("total_processed", "total_artists", "total_artworks", "new_artists_count", "new_artworks_count", "limit")]
+    return documents.select(value("timestamp").alias("timestamp"), *numbers, F.coalesce(value("download_enabled").try_cast("boolean"), F.lit(False)).alias("download_enabled"))

@@ -119,3 +119,26 @@ def test_grid_alignment():
     angle = 0.7
     turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
     assert np.allclose(G.procrustes_to_grid(points @ turn * 3 + 5), out)
+
+
+def test_exported_images_and_summaries(spark, tmp_path):
+    import pytest
+
+    from lumenbase.operators import canvas as C
+    from lumenbase.sources import files
+
+    node = lambda i, kind, **data: {"id": i, "type": kind, "data": data}
+    export = {"t1": {"nodes": [node("a", "image", content="u1", provenance="ai", prompt="p"), node("b", "text", content="x", provenance="ai"), node("c", "image", content="u2")]}, "t2": {"nodes": [node("d", "image", content="u3", provenance="ai")]}}
+    df = spark.createDataFrame([(json.dumps(export),)], "e string")
+    assert [tuple(r) for r in files.ai_images(df, "e", "t1").collect()] == [("t1", 0, "a", "u1", "p")]
+    for version in (None, "missing"):
+        assert [tuple(r) for r in files.ai_images(df, "e", version).collect()] == [("t2", 0, "d", "u3", "")]
+    (tmp_path / "one.json").write_text('{"metadata": {"timestamp": "t", "total_artists": "3", "limit": "x"}}')
+    read = lambda name: files.one_staged(spark, str(tmp_path), name, "metadata map<string,string>")
+    assert tuple(files.run_summary(read("../../up/one.json")).first()) == ("t", 0, 3, 0, 0, 0, 0, False)
+    for bad in ("..", "/etc/passwd", ".json", "a\\..\\"):
+        with pytest.raises(ValueError):
+            read(bad)
+    boxes = spark.createDataFrame([(i, 5.0, 7.0, 100.0, 50.0) for i in range(50)], "id int, x double, y double, width double, height double")
+    got = C.nearby(boxes, "id", 3).collect()
+    assert all(35 <= r["x"] <= 75 and 57 <= r["y"] <= 97 for r in got) and len({r["x"] for r in got}) == 50 and got == C.nearby(boxes.repartition(3), "id", 3).orderBy("id").collect()
