@@ -92,6 +92,20 @@ def holders(wanted: DataFrame, key: str, rows: DataFrame, row_key: str, array: s
     return found.groupBy(key).agg(F.array_sort(F.collect_list(row_key)).alias("found"))
 
 
+def holder_rows(wanted: DataFrame, key: str, refs: DataFrame, row_key: str, ref: str) -> DataFrame:
+    """(key, row_key): for each wanted id the rows that refer to it, one a row, given references (row_key, ref) as rows; no list is gathered."""
+    return refs.select(F.col(ref).alias(key), row_key).join(wanted.select(key).distinct(), key, "left_semi").distinct()
+
+
+def holder_counts(held: DataFrame, key: str, row_key: str, first: int) -> DataFrame:
+    """(key, n, first): how many rows hold each id, and the first few. A task keeps a few of an id's rows before these meet."""
+    salt = F.pmod(F.xxhash64(row_key), F.lit(64))
+    part = held.groupBy(key, salt.alias("_s")).agg(F.count("*").alias("n"))
+    few = held.withColumn("_s", salt).withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(row_key))).where(F.col("_r") <= first)
+    listed = few.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(row_key)), 1, first).alias("first"))  # at most 64 times as many
+    return part.groupBy(key).agg(F.sum("n").alias("n")).join(listed, key)
+
+
 def recovered(artists: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Artists (entry_id, images) without images: those that images (image_id, related_ids) point back to, with the
     images recovered, and the ids to delete."""

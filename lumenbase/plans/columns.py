@@ -198,3 +198,11 @@ def parts_with_orders(t: Tables):
     rows = t.part.select("p_partkey", F.array("p_partkey").alias("refs"))
     refs = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("ref"))
     return U.append_refs(rows, "p_partkey", "refs", refs)
+
+
+@query("""WITH h AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
+    SELECT l_partkey, count(*) AS n, list(l_orderkey ORDER BY l_orderkey)[:3] AS first FROM h GROUP BY l_partkey""")
+def containing_orders(t: Tables):
+    """How many orders hold each part, and the first three."""
+    held = I.holder_rows(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", t.lineitem, "l_orderkey", "l_partkey")
+    return I.holder_counts(held, "l_partkey", "l_orderkey", 3).select("l_partkey", F.col("n").cast("long").alias("n"), "first")
