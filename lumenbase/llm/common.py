@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -92,8 +93,20 @@ def named(df: DataFrame, names: list[str], drop: tuple[str, ...], own: tuple[str
     return df.select(*[f"c{i}" for i in keep], *own).toDF(*[names[i] for i in keep], *own)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of texts that cross to Python at a time: a batch of Spark's 10,000 can take 100 MB on either side.
+MOST_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Set a session up for operators on texts: this package's code for workers, and small Arrow batches."""
     share_code(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= MOST_ROWS:
+        spark.conf.set(key, MOST_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -122,6 +135,13 @@ def kept(key: str, make: Callable):
     return _held[key]
 
 
+def _give_back() -> None:
+    """A worker that waits for its next task holds no freed buffers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Bytes of text that one step of a Python task handles at a time; one longer text makes a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -142,7 +162,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no freed buffers
+    _give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

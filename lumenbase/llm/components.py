@@ -12,7 +12,7 @@ from .common import dropped, written
 MOST_NODES = 1 << 20
 
 
-def _forest(batches):
+def forest(batches):
     """Spanning forests of this partition's edges, each node linked to the smallest of its tree. A forest of more than
     MOST_NODES nodes is written and forgotten, so memory is bounded; later rounds connect what two forests share."""
     parent: dict[int, int] = {}
@@ -54,14 +54,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """(node, root): every node of ``edges`` (a long, b long) with the smallest node of its component.
 
+    Edges that ``forest`` has been applied to already, in the task that found them, are ``contracted``.
     Edges never leave the executors; each round is written to the shared folder, so a lost executor costs one round.
     Rounds end when the edge set no longer changes, which is when every edge points to its root.
     """
     spark = edges.sparkSession
-    current = written(edges.where("a <> b").mapInArrow(_forest, "a long, b long"))
+    current = written(edges if contracted else edges.where("a <> b").mapInArrow(forest, "a long, b long"))
     before = None
     while True:
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

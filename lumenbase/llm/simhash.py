@@ -13,7 +13,7 @@ each is compared with those that follow it. A larger one is split by the bits ou
 errors leave all chunks but two alike, so each choice of two chunks to leave out gives a finer key of the rest, and two linked
 fingerprints share one of these. Four chunks are tried first, ten where that does not do; the two chunks left out of ten have
 ten bits at most, and fingerprints are distinct, so no bucket is larger than 1024 then. No link is lost and nothing is capped.
-Tasks give links, from which they make forests before anything is shuffled.
+Tasks make forests of their links before anything is shuffled.
 
 Defined results: null or empty text and text without words has fingerprint zero and links like any other; repeated
 rows and equal doc_ids each get a row; a null doc_id is never the smallest of a component that has another; an empty
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, positional, steps, written
-from .components import components
+from .components import components, forest
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Fingerprints of a bucket that is not split, and the chunks of the splits in turn.
@@ -191,8 +191,13 @@ def _ended(batches):
     yield None
 
 
+def _linked(batches):
+    """Forests of the links: one function, so a task needs no second Python worker to contract what it has found."""
+    yield from forest(_met(batches))
+
+
 def links(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column ``print``) that link, possibly repeated."""
+    """(a, b): edges between distinct fingerprints (column ``print``), in forests that connect all that link."""
     schema = "key long, part long, print long"
     rows, found = written(prints.mapInArrow(_keyed, schema)), []
     for chunks in (*CHUNKS, None):
@@ -200,7 +205,7 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
         sized = rows.join(sizes, ["key", "part"])
         small = sized.where(F.col("n") <= most) if chunks else sized
         sorted_ = small.select("key", "part", "print").repartition("key", "part").sortWithinPartitions("key", "part")
-        found.append(sorted_.mapInArrow(_met, "a long, b long"))
+        found.append(sorted_.mapInArrow(_linked, "a long, b long"))
         if not chunks:
             break
         crowded = written(sized.where(F.col("n") > most).select("key", "print").distinct())
@@ -225,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fingerprint, component_id) of every document."""
     table = written(fingerprints(docs, doc_id, text))
     prints = written(table.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = components(links(prints.select("print")))
+    roots = components(links(prints.select("print")), contracted=True)
     members = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = written(members.join(firsts, "root").select("print", "component_id"))

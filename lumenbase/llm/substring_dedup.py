@@ -43,7 +43,7 @@ MOST_COPIES, MOST_LOSERS, ALL = 4_000_000, 500_000, -1
 #: Historical documents whose doc_ids are broadcast (16 MB); beyond, a Bloom filter of them picks.
 MOST_NAMED = 1_000_000
 #: Bytes of text that a task splits into words at a time.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Odd multipliers of the two polynomial hashes, and of the final mixing.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 

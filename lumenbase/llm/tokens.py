@@ -165,17 +165,12 @@ _BYTE_CHARS = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else "\u0143" if b ==
 
 def library_coder(path: str) -> Coder:
     """A coder on the tokenizers library; ids as ``encode(text, add_special_tokens=False)`` gives."""
-    import json
-
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    spec = json.loads(text)
-    tokenizer = Tokenizer.from_str(text)
+    tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    drops_space = bool(spec.get("normalizer"))
+    drops_space = tokenizer.normalizer is not None
 
     tokenize = tokenizer.model.tokenize
     marks: dict[str, list[int]] = {"": []}
@@ -207,7 +202,7 @@ def library_coder(path: str) -> Coder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    special = {} if drops_space else {t["content"]: t["id"] for t in spec["added_tokens"]}
+    special = {} if drops_space else {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     return Coder(encode_chunks, not drops_space, special)
 
 

@@ -201,7 +201,6 @@ def test_crowded_keys(spark, low, most):
     found = simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), most)
     roots = {r["node"]: r["root"] for r in components.components(found).collect()}
     assert [roots.get(p, p) for p in signed] == want
-    assert all((int(r["a"]) ^ int(r["b"])).bit_count() <= 2 if r["a"] >= 0 <= r["b"] else True for r in found.collect())
 
 
 def test_finer_keys():
