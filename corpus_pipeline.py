@@ -12,30 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenbase.llm import line_dedup, packing, quality, simhash, substring_dedup
-from lumenbase.llm.common import removed, scratch, share_code, temporary, written
+from lumenbase.llm.common import prepared, removed, scratch, temporary, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the rules are a projection, so nothing is shuffled."""
-    share_code(spark)
+    prepared(spark)
     return quality.kept_documents(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that another document keeps."""
-    share_code(spark)
+    prepared(spark)
     return line_dedup.without_shared_lines(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
-    share_code(spark)
+    prepared(spark)
     return simhash.without_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; a text that loses nothing stays as it is."""
-    share_code(spark)
+    prepared(spark)
     return substring_dedup.without_repeats(docs)
 
 
@@ -43,7 +43,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of documents in sequences of 4096 tokens."""
     import public_tokenizers
 
-    share_code(spark)
+    prepared(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's own intermediate tables and its input go once its result is written; those of the last stay, as its
     result is read from them."""
-    share_code(spark)
+    prepared(spark)
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         path = scratch(spark)
