@@ -32,14 +32,14 @@ def test_staged_stream(spark, tmp_path):
     """Documents become rows of two tables; finished files end in the archive; a second run adds and updates."""
     (tmp_path / "staging").mkdir()
     put = lambda name, text: (tmp_path / "staging" / name).write_text(text)
-    put("a.json", document("Ann", ["i1", "i2"], generated_entry_id="e1", RelatedKeywordIds=["k"], descriptions={"wikiart": {"birth": "1900"}}))
+    put("a.json", document("Ann", ["i1", "i2"], generated_entry_id="e1", RelatedKeywordIds=["k"], descriptions={"web": {"birth": "1900"}}))
     put("b.json", "{ no document")
     put("c.json", document("Bob", [], existing_id="e2", is_existing=True))
     run(spark, tmp_path)
     store = staged.Store(spark, str(tmp_path / "store"))
     first = rows(store)
     assert [r[:5] for r in first["text_entries"]] == [("e1", "Ann", "[]", 1, "artist"), ("e2", "Bob", "[]", 1, "artist")]
-    assert first["text_entries"][0][6:8] == ('{"wikiart":{"birth":"1900"}}', '["k"]') and [r[0] for r in first["image_entries"]] == ["i1", "i2"]
+    assert first["text_entries"][0][6:8] == ('{"web":{"birth":"1900"}}', '["k"]') and [r[0] for r in first["image_entries"]] == ["i1", "i2"]
     assert {r[2:] for r in first["applied"]} == {("e1", "INSERT"), ("i1", "INSERT"), ("i2", "INSERT"), ("e2", "UPDATE")}
     put("d.json", document("Ann the elder", ["i2", "i3"], existing_id="e1", is_existing=True))
     run(spark, tmp_path)
