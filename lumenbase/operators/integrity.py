@@ -115,11 +115,13 @@ def recovered(artists: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def url_issues(rows: DataFrame, key: str, urls: str, status: DataFrame | None = None) -> DataFrame:
-    """(key, size, issue) of entries in a map of URLs; a null map is not_dict; ``status`` has url and code."""
+    """(key, size, issue) of entries in a map of URLs; a null map is not_dict; ``status`` has url and code, and the key where each row's
+    URLs were asked for by themselves. Of several codes of one URL the highest counts."""
     bad = rows.where(F.col(urls).isNull()).select(key, F.lit(None).cast("string").alias("size"), F.lit("not_dict").alias("issue"))
     each = rows.select(key, F.explode(urls).alias("size", "url"))
     if status is not None:
-        each = each.join(status, "url", "left")
+        by = ["url", key] if key in status.columns else ["url"]
+        each = each.join(status.groupBy(*by).agg(F.max("code").alias("code")), by, "left")
     code = F.col("code") if status is not None else F.lit(None).cast("int")
     issue = (
         F.when(F.col("url").isNull() | (F.trim("url") == ""), "empty")

@@ -63,7 +63,7 @@ def json_validity(t: Tables):
 def url_parts_valid(t: Tables):
     url = F.expr("case page_id % 5 when 0 then '' when 1 then regexp_replace(url, '^[a-z]+://', '') else url end")
     rows = t.pages.select("page_id", F.create_map(F.lit("small"), url).alias("urls"))
-    status = t.pages.select("url", F.expr("case when page_id % 5 = 2 then 404 else 200 end").alias("code")).distinct()
+    status = t.pages.select("page_id", "url", F.expr("case when page_id % 5 = 2 then 404 else 200 end").alias("code"))
     return I.url_issues(rows, "page_id", "urls", status).select("page_id", "issue")
 
 

@@ -12,3 +12,11 @@ def test_references_without_semicolon(spark):
     assert [(l["href"], l["anchor"]) for l in links.collect()] == [("http://h/s?a=1&copy=2", '"c&quot')]
 
 
+def test_status_of_equal_urls(spark):
+    rows = spark.sql("select id, map('small', 'http://h/x') as urls from values (1), (2), (3) t(id)")
+    own = spark.createDataFrame([(1, "http://h/x", 200), (2, "http://h/x", 404), (3, "http://h/x", 200)], "id int, url string, code int")
+    assert [tuple(r) for r in I.url_issues(rows, "id", "urls", own).collect()] == [(2, "small", "status_404")]
+    # asked for by URL alone, its codes make no row twice
+    assert sorted(tuple(r) for r in I.url_issues(rows, "id", "urls", own.drop("id")).collect()) == [(i, "small", "status_404") for i in (1, 2, 3)]
+
+
