@@ -56,12 +56,13 @@ def artwork_rules(title: Column, details: Column, rights: Column) -> dict[str, C
 
 def matched(rows: DataFrame, key: str, title: str, artist: str, existing: DataFrame, existing_key: str) -> DataFrame:
     """(key, existing_key, tier): the existing row of the same artist whose title agrees, by the first tier that hits:
-    normalised, lower case, letters and digits only. Each tier is an equi-join."""
+    normalised, lower case, letters and digits only. Each tier is an equi-join with the first existing key of each title, so equal
+    titles are not paired with each other."""
     tiers = [X.fold, lambda c: F.lower(c), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")]
     found = None
     for i, f in enumerate(tiers, 1):
         a = rows.select(key, F.lower(artist).alias("_a"), f(F.col(title)).alias("_t"))
-        b = existing.select(F.col(existing_key), F.lower(artist).alias("_a"), f(F.col(title)).alias("_t"))
+        b = existing.groupBy(F.lower(artist).alias("_a"), f(F.col(title)).alias("_t")).agg(F.min(existing_key).alias(existing_key))
         hit = a.join(b, ["_a", "_t"]).select(key, existing_key, F.lit(i).alias("tier"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy(key).agg(F.min(F.struct("tier", existing_key)).alias("b"))
