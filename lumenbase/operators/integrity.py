@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
+#: Rows of a task that sorts or counts them, pairs compared in a task, rows of a part of a group whose rows are paired.
+ROWS, PAIRS, PART = 1_000_000, 20_000_000, 1024
+
 
 def edges(rows: DataFrame, key: str, array: str) -> DataFrame:
     """(key, pos, ref): one row for each reference."""
@@ -94,16 +99,20 @@ def holders(wanted: DataFrame, key: str, rows: DataFrame, row_key: str, array: s
 
 def holder_rows(wanted: DataFrame, key: str, refs: DataFrame, row_key: str, ref: str) -> DataFrame:
     """(key, row_key): for each wanted id the rows that refer to it, one a row, given references (row_key, ref) as rows; no list is gathered."""
-    return refs.select(F.col(ref).alias(key), row_key).join(wanted.select(key).distinct(), key, "left_semi").distinct()
+    rows = dealt(refs.select(F.col(ref).alias(key), row_key), refs.count(), ROWS, key)
+    return rows.join(wanted.select(key).distinct(), key, "left_semi").distinct()
 
 
-def holder_counts(held: DataFrame, key: str, row_key: str, first: int) -> DataFrame:
-    """(key, n, first): how many rows hold each id, and the first few. A task keeps a few of an id's rows before these meet."""
-    salt = F.pmod(F.xxhash64(row_key), F.lit(64))
-    part = held.groupBy(key, salt.alias("_s")).agg(F.count("*").alias("n"))
-    few = held.withColumn("_s", salt).withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(row_key))).where(F.col("_r") <= first)
-    listed = few.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(row_key)), 1, first).alias("first"))  # at most 64 times as many
-    return part.groupBy(key).agg(F.sum("n").alias("n")).join(listed, key)
+def holder_counts(held: DataFrame, key: str, row_key: str, first: int, rows: int | None = None) -> DataFrame:
+    """(key, n, first): how many rows hold each id, and the first few. A task keeps a few of an id's rows before these meet; ``rows``
+    is about how many there are, if known."""
+    rows = held.count() if rows is None else rows
+    parted = dealt(held.withColumn("_s", F.pmod(F.xxhash64(row_key), F.lit(64))), rows, ROWS, key, "_s")
+    ranked = parted.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(row_key)))
+    few = [F.min(F.when(F.col("_r") == i, F.col(row_key))).alias(f"_{i}") for i in range(1, first + 1)]
+    part = ranked.groupBy(key, "_s").agg(F.count("*").alias("n"), *few).select(key, "n", F.array_compact(F.array(*[f"_{i}" for i in range(1, first + 1)])).alias("few"))
+    listed = F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, first)  # at most 64 times as many
+    return dealt(part, rows, ROWS, key).groupBy(key).agg(F.sum("n").alias("n"), listed.alias("first"))
 
 
 def recovered(artists: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,6 +140,20 @@ def url_issues(rows: DataFrame, key: str, urls: str, status: DataFrame | None =
     return each.select(key, "size", issue.alias("issue")).where("issue is not null").unionByName(bad)
 
 
+def paired(rows: DataFrame, by: list[str], key: str) -> tuple[DataFrame, DataFrame, float]:
+    """Two sides of the join of ``rows`` with themselves on ``by`` and ``_part``, and how many pairs it compares.
+
+    A group of more than ``PART`` rows is cut: on the left a row is in one part of its group, on the right in each. Tasks grow in
+    number with the pairs, so neither a large group nor many pairs of few rows are one task's."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    n, pairs = (v or 0.0 for v in sizes.agg(F.sum("_n"), F.sum(F.col("_n").cast("double") * F.col("_n"))).first())
+    known = rows.join(sizes.select(*by, F.ceil(F.col("_n") / PART).alias("_parts")), by)
+    left = known.withColumn("_part", F.pmod(F.xxhash64(key), "_parts")).drop("_parts")
+    right = known.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    tasks = n / ROWS + pairs / PAIRS
+    return dealt(left, tasks, 1, *by, "_part"), dealt(right, tasks, 1, *by, "_part"), pairs
+
+
 def name_pairs(rows: DataFrame, key: str, name: str, within: list[str] | None = None) -> DataFrame:
     """(a, b, name_key): rows with one name whatever its case, a < b, found by joining on the name.
 
@@ -138,7 +161,8 @@ def name_pairs(rows: DataFrame, key: str, name: str, within: list[str] | None =
     """
     within = within or []
     keyed = rows.select(*within, F.col(key).alias("a"), F.lower(name).alias("name_key"))
-    return keyed.join(keyed.withColumnRenamed("a", "b"), [*within, "name_key"]).where("a < b").select(*within, "a", "b", "name_key")
+    left, right, _ = paired(keyed, [*within, "name_key"], "a")
+    return left.join(right.withColumnRenamed("a", "b"), [*within, "name_key", "_part"]).where("a < b").select(*within, "a", "b", "name_key")
 
 
 def groups(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -148,8 +172,10 @@ def groups(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 def unlisted_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
     """(a, b): all ordered pairs of items that a reviewer left in one group, to be remembered as no duplicates."""
-    items = rows.select(group, F.col(key).alias("a"))
-    return items.join(items.withColumnRenamed("a", "b"), group).where("a < b").select("a", "b").distinct()
+    items = dealt(rows.select(group, F.col(key).alias("a")), rows.count(), ROWS, group)
+    left, right, pairs = paired(items, [group], "a")
+    found = left.join(right.withColumnRenamed("a", "b"), [group, "_part"]).where("a < b").select("a", "b")
+    return dealt(found, pairs / 2, ROWS, "a", "b").distinct()
 
 
 def without_pairs(items: DataFrame, key: str, pairs: DataFrame, group: str) -> DataFrame:

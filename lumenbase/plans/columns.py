@@ -205,4 +205,4 @@ def parts_with_orders(t: Tables):
 def containing_orders(t: Tables):
     """How many orders hold each part, and the first three."""
     held = I.holder_rows(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", t.lineitem, "l_orderkey", "l_partkey")
-    return I.holder_counts(held, "l_partkey", "l_orderkey", 3).select("l_partkey", F.col("n").cast("long").alias("n"), "first")
+    return I.holder_counts(held, "l_partkey", "l_orderkey", 3, t.lineitem.count()).select("l_partkey", F.col("n").cast("long").alias("n"), "first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -51,3 +52,9 @@ def dropped(table: DataFrame) -> None:
         if "/lumenbase-" in path:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dealt(rows: DataFrame, n: float, each: int, *by: str) -> DataFrame:
+    """Rows dealt to a task for every ``each`` of ``n``, by columns where given. A number that is asked for is not lowered at run time,
+    while tasks that Spark sizes by bytes become few where narrow rows make much work."""
+    return rows.repartition(max(1, math.ceil(n / each)), *by)
