@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import dropped, written
+from .integrity import paired
 
 
 def latest(versions: DataFrame, by: str, order: str) -> DataFrame:
@@ -107,12 +108,13 @@ def clipping_added(users: DataFrame, additions: DataFrame) -> DataFrame:
 
 def overlapping(boxes: DataFrame, key: str, kind: str, cell: float) -> DataFrame:
     """(a, b): boxes (x, y, w, h) of one kind that overlap, a < b. Boxes are listed in the grid cells they touch and
-    joined by cell; a pair is taken in the one cell that holds its overlap's lower corner."""
+    joined by cell, crowded cells in parts; a pair is taken in the one cell that holds its overlap's lower corner."""
     cells = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size)) / cell))
     listed = boxes.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
-    a = listed.select(kind, "cx", "cy", F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("h").alias("ah"))
-    b = listed.select(kind, "cx", "cy", F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"))
-    hit = a.join(b, [kind, "cx", "cy"]).where("a < b and ax < bx + bw and bx < ax + aw and ay < by + bh and by < ay + ah")
+    left, right, _ = paired(listed, [kind, "cx", "cy"], key)
+    a = left.select(kind, "cx", "cy", "_part", F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("h").alias("ah"))
+    b = right.select(kind, "cx", "cy", "_part", F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"))
+    hit = a.join(b, [kind, "cx", "cy", "_part"]).where("a < b and ax < bx + bw and bx < ax + aw and ay < by + bh and by < ay + ah")
     own = (F.floor(F.greatest("ax", "bx") / cell) == F.col("cx")) & (F.floor(F.greatest("ay", "by") / cell) == F.col("cy"))
     return hit.where(own).select(kind, "a", "b")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import dealt
 
-#: Rows of a task that sorts or counts them, pairs compared in a task, rows of a part of a group whose rows are paired.
-ROWS, PAIRS, PART = 1_000_000, 20_000_000, 1024
+#: Rows of a task that sorts or counts them, pairs compared in a task, rows of a part of a group whose rows are paired, groups whose sizes are broadcast.
+ROWS, PAIRS, PART, GROUPS = 1_000_000, 20_000_000, 1024, 50_000
 
 
 def edges(rows: DataFrame, key: str, array: str) -> DataFrame:
@@ -145,9 +145,11 @@ def paired(rows: DataFrame, by: list[str], key: str) -> tuple[DataFrame, DataFra
 
     A group of more than ``PART`` rows is cut: on the left a row is in one part of its group, on the right in each. Tasks grow in
     number with the pairs, so neither a large group nor many pairs of few rows are one task's."""
+    rows = rows.dropna(subset=by)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    n, pairs = (v or 0.0 for v in sizes.agg(F.sum("_n"), F.sum(F.col("_n").cast("double") * F.col("_n"))).first())
-    known = rows.join(sizes.select(*by, F.ceil(F.col("_n") / PART).alias("_parts")), by)
+    groups, n, pairs = (v or 0.0 for v in sizes.agg(F.count("*"), F.sum("_n"), F.sum(F.col("_n").cast("double") * F.col("_n"))).first())
+    parts = sizes.select(*by, F.ceil(F.col("_n") / PART).alias("_parts"))
+    known = rows.join(F.broadcast(parts) if groups <= GROUPS else parts, by)
     left = known.withColumn("_part", F.pmod(F.xxhash64(key), "_parts")).drop("_parts")
     right = known.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
     tasks = n / ROWS + pairs / PAIRS
