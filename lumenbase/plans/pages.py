@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
+from ..session import dealt
 from .registry import Tables, registrar
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 query = registrar(QUERIES, ORACLE_SQL)
 
+#: Rows of a task that writes and parses their pages; the tables' rows are narrow, so few bytes make many pages.
+PAGES = 4000
+
+
+def of_pages(rows: DataFrame) -> DataFrame:
+    return dealt(rows, rows.count(), PAGES)
+
+
 #: Pixels of a part's i-th image, of p_size % 4 images.
 _WIDTH = "(p_partkey * (i + 3) % 17 + 1) * 10 + i"
 _THUMBNAILS = f"""concat('{{"ImageThumbnailsModel": [{{"Thumbnails": [', array_join(transform(filter(sequence(0, 3), i -> i < p_size % 4),
@@ -31,7 +41,7 @@ def artwork_details(t: Tables):
         '<li class="dictionary-values-gallery"><s>Media: </s> <span><a>', p_name, '</a></span></li><li class="dictionary-values"><s>Empty:</s><span>none</span></li></ul>',
         if(p_size % 2 = 0, concat('<div id="info-tab-description"><p>no</p><p itemprop="description">About <i>', p_name, '</i> <br> and more</p></div>'), ''),
         if(p_size % 3 > 0, concat('<div id="info-tab-wikipediadescription"><p>The ', p_brand, ' of ', p_type, '<p>second</p></p><a class="wiki-link" href=" https://w.example.org/', p_partkey, ' ">W</a></div>'), ''), '</main>')""")
-    out = P.artwork_details(t.part.select("p_partkey", page.alias("html")), "p_partkey", "html")
+    out = P.artwork_details(of_pages(t.part).select("p_partkey", page.alias("html")), "p_partkey", "html")
     of = lambda name: F.col("details")[name].alias(name)
     return out.select("p_partkey", "artist", "rights", of("date"), of("style"), of("medium"), "description", "wikipedia", "wikipedia_link", "small", F.col("medium").alias("medium_image"), "large", "extension")
 
@@ -43,7 +53,7 @@ def artist_details(t: Tables):
         if(c_nationkey % 3 = 0, concat('</p></div><a class="wiki-link" href="https://w.example.org/', c_custkey, '">W</a>'), ''), '<span itemprop="birthDate">', 1400 + c_nationkey, '</span>',
         '<span itemprop="nationality">Nation ', c_nationkey, '</span>', if(c_nationkey % 5 > 0, concat('<ul><li class="dictionary-values"><s>Nationality:</s> <a>', c_mktsegment, '</a></li></ul>'), ''),
         '<ul><li class="x dictionary-values"><s>Art Movement:</s><span><a>', c_mktsegment, '</a></span> <a>Other</a> <a> </a></ul>')""")
-    out = P.artist_details(t.customer.select("c_custkey", page.alias("html")), "c_custkey", "html")
+    out = P.artist_details(of_pages(t.customer).select("c_custkey", page.alias("html")), "c_custkey", "html")
     return out.select("c_custkey", "name", "description", "wikipedia_link", *[F.col("data")[c].alias(c) for c in ("birth", "nationality", "art_movement")])
 
 
@@ -66,5 +76,5 @@ def overview_links(t: Tables):
         "'<ul class=\"painting-list-text\"><li>'", link(own("/set/2"), "'In a list'"), "concat(' ', 1700 + p_size, '</li></ul>')",
     ]
     page = F.expr(f"concat('<body><div>', if(p_size % 5 > 0, concat({', '.join(many)}), {link(own('/only/'), chr(39) + 'Alone' + chr(39))}), '</div></body>')")
-    pages = t.part.select("p_partkey", F.expr(_SLUG).alias("slug"), F.lit("https://a.example.com/x/y").alias("url"), page.alias("html"))
+    pages = of_pages(t.part).select("p_partkey", F.expr(_SLUG).alias("slug"), F.lit("https://a.example.com/x/y").alias("url"), page.alias("html"))
     return P.overview_links(pages, "p_partkey", "url", "slug", "html", 2)

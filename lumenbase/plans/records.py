@@ -10,6 +10,7 @@ from ..operators import integrity as I
 from ..operators import maps as M
 from ..operators import records as R
 from ..operators import upsert as U
+from .pages import of_pages
 from .registry import Tables, registrar
 from .vectors import _XY, points
 
@@ -107,7 +108,7 @@ def overview_grid(t: Tables):
     late = """<img src="/lazy-load-placeholder.png" lazy-load="https://i.example.com/1.jpg">"""
     items = [item(0, '<img src="https://i.example.com/0.jpg">', link(0)), item(5, '<img src="x.jpg">', "'no link'"), item(1, late, link(1))]
     page = F.expr(f"""concat('<ul class="wiki-masonry-container">', {", ".join(items)}, '</ul>')""")
-    return H.artworks(t.part.select("p_partkey", F.lit("https://a.example.com/x").alias("url"), page.alias("html")), "p_partkey", "url", "html")
+    return H.artworks(of_pages(t.part).select("p_partkey", F.lit("https://a.example.com/x").alias("url"), page.alias("html")), "p_partkey", "url", "html")
 
 
 @query(f"""WITH e AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1)

@@ -1,5 +1,8 @@
 """What showed only on larger tables: cut entities, equal URLs, equal titles, work that landed in few tasks."""
 
+import pytest
+
+from lumenbase import plans
 from lumenbase.operators import canvas as C
 from lumenbase.operators import html as H
 from lumenbase.operators import integrity as I
@@ -70,3 +73,9 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["artwork_details", "artist_details", "overview_links", "overview_grid"])
+def test_pages_are_dealt_to_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(plans.pages, "PAGES", 50)
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/{'customer' if name == 'artist_details' else 'part'}.parquet").count()
+    assert plans.queries()[name](spark, folder).rdd.getNumPartitions() == -(-rows // 50) > 1
