@@ -4,7 +4,7 @@ Distinct vectors are nodes, numbered by the hash of the vector, so copies cost n
 partitioning. Random planes through the mean cut the nodes into blocks; a block that is still too large is cut by hash. Each node
 gets its nearest in its blocks, and rounds of NN-descent mend what the cuts part: the neighbours of a node, forwards and
 backwards, are compared with each other, and pairs nearer than what either has replace it. No step compares all with all: a
-block has ``BLOCK`` nodes, a node at most twice k others that it introduces to each other.
+block has ``BLOCK`` nodes, a node at most twice ``MOST`` others that it introduces to each other.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..session import dropped, written
 
-BLOCK, TABLES = 2048, 4
+#: Nodes of a block that are compared all with all, cuts into blocks, neighbours that a node introduces to each other in a round, each way.
+BLOCK, TABLES, MOST = 8192, 4, 30
 EDGES = "node long, other long, d double"
 
 
@@ -31,8 +32,10 @@ def node_of(vector: str) -> Column:
 
 def nodes(rows: DataFrame, vector: str, metric: str = "euclidean") -> DataFrame:
     """(node, v): each distinct vector once, at length one for the cosine metric."""
-    found = rows.select(node_of(vector).alias("node"), F.col(vector).cast("array<double>").alias("v")).where("node is not null").dropDuplicates(["node"])
-    return found if metric == "euclidean" else found.select("node", V.unit(F.col("v")).alias("v"))
+    # vectors of floats stay so, which halves what is shuffled
+    kind = "array<float>" if rows.select(vector).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    found = rows.select(node_of(vector).alias("node"), F.col(vector).cast(kind).alias("v")).where("node is not null").dropDuplicates(["node"])
+    return found if metric == "euclidean" else found.select("node", V.unit(F.col("v").cast("array<double>")).cast(kind).alias("v"))
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -67,9 +70,9 @@ def _vectors(table: pa.Table, column: str = "v") -> np.ndarray:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest others of each node; ties by a hash of both, so that no node is everyone's choice."""
+    """The k nearest others of each node; ties by a hash of both, so that no node is everyone's choice. One shuffle, by node."""
     order = Window.partitionBy("node").orderBy("d", F.xxhash64("node", "other"))
-    once = edges.groupBy("node", "other").agg(F.min("d").alias("d"))
+    once = edges.repartition("node").groupBy("node", "other").agg(F.min("d").alias("d"), *[F.min(c).alias(c) for c in edges.columns[3:]])
     return once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
@@ -92,7 +95,7 @@ def in_blocks(table: DataFrame, k: int, seed: int, block: int, tables: int = TAB
                 place = ((v @ planes[i] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(v), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(place), *batch.columns], ["t", "place", "node", "v"])
 
-    dealt = table.select("node", "v").mapInArrow(cut, "t int, place long, node long, v array<double>")
+    dealt = table.select("node", "v").mapInArrow(cut, f"t int, place long, node long, v {table.schema['v'].dataType.simpleString()}")
     # a block beyond its size is cut by hash: each row knows how many parts its block has
     sizes = dealt.groupBy("t", "place").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = dealt.join(sizes, ["t", "place"]).withColumn("part", F.expr(f"cast(pmod(xxhash64({seed}, t, node), parts) as int)"))
@@ -105,29 +108,84 @@ def in_blocks(table: DataFrame, k: int, seed: int, block: int, tables: int = TAB
     return _best(dealt.select("t", "place", "part", "node", "v").groupBy("t", "place", "part").applyInArrow(near, EDGES), k)
 
 
+def _met(node: np.ndarray, worst: np.ndarray, fresh: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, d) of what the members of some centres, each a row of ``node``, bring each other; at most k for a node."""
+    square = (v**2).sum(2)
+    d = square[:, :, None] + square[:, None] - 2 * v @ v.transpose(0, 2, 1)
+    meets = fresh[:, :, None] | fresh[:, None]
+    meets[:, np.arange(node.shape[1]), np.arange(node.shape[1])] = False
+    # a little room for what the product cancels; the distances kept are summed from differences
+    c, i, j = np.nonzero(meets & (d < (worst**2)[:, :, None] + 1e-9 * (1 + square[:, :, None] + square[:, None])))
+    exact = np.concatenate([np.sqrt(((v[c[s], i[s]] - v[c[s], j[s]]) ** 2).sum(1)) for s in (slice(at, at + 100_000) for at in range(0, len(c), 100_000))]) if len(c) else np.zeros(0)
+    near = exact < worst[c, i]
+    a, b, exact = node[c, i][near], node[c, j][near], exact[near]
+    order = np.lexsort((b, exact, a))
+    a, b, exact = a[order], b[order], exact[order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, exact = a[once], b[once], exact[once]
+    first = np.searchsorted(a, a, "left")
+    keep = np.arange(len(a)) - first < k
+    return a[keep], b[keep], exact[keep]
+
+
+def _whole_groups(batches):
+    """Tables of whole centres from batches sorted by centre; the last of a batch goes on in the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        centre = np.asarray(held.column("centre"))
+        done = int(np.searchsorted(centre, centre[-1], "left"))
+        if done:
+            yield held.slice(0, done)
+            held = held.slice(done)
+    if held is not None:
+        yield held
+
+
 def descend(table: DataFrame, graph: DataFrame, k: int, seed: int) -> DataFrame:
-    """One round of NN-descent: EDGES with what neighbours of neighbours bring."""
+    """One round of NN-descent: EDGES with what neighbours of neighbours bring, and ``fresh``, whether an edge has not introduced its ends
+    to others yet (all, if ``graph`` does not say). Only pairs of which one is fresh to their centre are compared. A centre introduces up to
+    ``MOST`` neighbours forwards and as many backwards, fresh ones first."""
     draw = lambda *c: F.xxhash64(F.lit(seed), *c)
-    # backward neighbours, at most k: first among 16 parts of a crowd, then among what these keep
-    back = graph.select(F.col("other").alias("centre"), F.col("node").alias("member"))
-    part = Window.partitionBy("centre", F.pmod(F.col("member"), F.lit(16))).orderBy(draw("centre", "member"))
-    back = back.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
-    back = back.withColumn("_r", F.row_number().over(Window.partitionBy("centre").orderBy(draw("centre", "member")))).where(F.col("_r") <= k).drop("_r")
-    lists = graph.select(F.col("node").alias("centre"), F.col("other").alias("member")).union(back).union(table.select(F.col("node").alias("centre"), F.col("node").alias("member"))).distinct()
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("fresh").desc(), draw("node", "other")))
+    most = min(k, MOST)
+    graph = graph if "fresh" in graph.columns else graph.withColumn("fresh", F.lit(True))
+    if k > MOST:
+        graph = graph.withColumn("_picked", first("node") <= most)
+    else:
+        graph = graph.withColumn("_picked", F.lit(True))
+    picked = graph.where("_picked")
+    # backward neighbours: first among 16 parts of a crowd, then among what these keep
+    back = picked.withColumn("_r", first("other", F.pmod(F.col("node"), F.lit(16)))).where(F.col("_r") <= most)
+    back = back.withColumn("_r", first("other")).where(F.col("_r") <= most)
+    lists = picked.select(F.col("node").alias("centre"), F.col("other").alias("member"), "fresh").union(back.select("other", "node", "fresh"))
+    lists = lists.union(table.select("node", "node", F.lit(False))).repartition("centre").groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
+    lists = lists.withColumn("_any", F.max("fresh").over(Window.partitionBy("centre"))).where("_any").drop("_any")
     worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
     members = table.join(worst, "node", "left").select(F.col("node").alias("member"), "v", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("worst"))
 
-    def meet(key, group):
-        node, worst, v = np.asarray(group.column("member")), np.asarray(group.column("worst")), _vectors(group)
-        order = np.argsort(node)
-        node, worst, v = node[order], worst[order], v[order]
-        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
-        np.fill_diagonal(d, np.inf)
-        i, j = np.nonzero(d < worst[:, None])
-        return _edges((node[i], node[j], d[i, j]))
-
-    met = lists.join(members, "member").groupBy("centre").applyInArrow(meet, EDGES)
-    return _best(graph.union(met), k)
+    def meet(batches):
+        for t in _whole_groups(batches):
+            centre, node, worst, fresh = (np.asarray(t.column(c)) for c in ("centre", "member", "worst", "fresh"))
+            v = _vectors(t)
+            start = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
+            size = np.diff(np.append(start, len(centre)))
+            found = []
+            for m in np.unique(size):
+                of = start[size == m]
+                step = max(1, 2_000_000 // int(m * m))
+                for at in range(0, len(of), step):
+                    rows = of[at : at + step, None] + np.arange(m)
+                    found.append(_met(node[rows], worst[rows], fresh[rows], v[rows], k))
+            yield from _edges(tuple(np.concatenate(c) for c in zip(*found))).combine_chunks().to_batches()
+
+    met = lists.join(members, "member").repartition("centre").sortWithinPartitions("centre").mapInArrow(meet, EDGES)
+    kept = graph.select("node", "other", "d", (F.col("fresh") & ~F.col("_picked")).alias("fresh"))
+    return _best(kept.union(met.withColumn("fresh", F.lit(True))), k)
 
 
 def graph(table: DataFrame, k: int, seed: int = 42, block: int = BLOCK, rounds: int = 6, least: float = 0.002) -> DataFrame:
@@ -136,12 +194,12 @@ def graph(table: DataFrame, k: int, seed: int = 42, block: int = BLOCK, rounds:
     edges = written(in_blocks(table, k, seed, block))
     if table.count() <= block:
         return edges
+    total = edges.count()
     for turn in range(rounds):
         after = written(descend(table, edges, k, seed + 1 + turn))
-        changed = after.join(edges, ["node", "other"], "left_anti").count()
+        changed = after.join(edges.select("node", "other"), ["node", "other"], "left_anti").count()
         dropped(edges)
         edges = after
-        if changed <= least * edges.count():
+        if changed <= least * total:
             break
-    return edges
-
+    return edges.select("node", "other", "d")

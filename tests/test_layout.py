@@ -66,6 +66,27 @@ def test_descent_mends_blocks(spark, vectors):
     assert before < 0.9 * 8 * len(x) and after > before + 0.5 * (8 * len(x) - before)
 
 
+def test_descent_compares_fresh_pairs_only(spark, vectors):
+    """Edges that have introduced their ends bring nothing more; a round says which of its edges are new, whatever k is."""
+    x, df = vectors
+    table = N.nodes(df, "v").cache()
+    first = N.in_blocks(table, 8, 42, 40, 2).cache()
+    rows = lambda edges: sorted((r["node"], r["other"], r["d"]) for r in edges.collect())
+    assert rows(N.descend(table, first.selectExpr("*", "false as fresh"), 8, 1)) == rows(first)
+    after = N.descend(table, first, 8, 1)
+    old = {(a, b) for a, b, _ in rows(first)}
+    assert all(r["fresh"] == ((r["node"], r["other"]) not in old) for r in after.collect())
+    many = N.in_blocks(table, N.MOST + 10, 42, 100, 2).cache()
+    left = {(r["node"], r["other"]) for r in N.descend(table, many, N.MOST + 10, 1).where("fresh").collect()} & {(a, b) for a, b, _ in rows(many)}
+    assert left  # not introduced yet: their turn comes
+
+
+def test_vectors_of_floats_stay_floats(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, v array<float>")
+    for metric in ("euclidean", "cosine"):
+        assert N.nodes(df, "v", metric).schema["v"].dataType.simpleString() == "array<float>"
+
+
 def test_curve_and_weights():
     a, b = L.curve(0.1)
     assert (a, b) == (pytest.approx(1.577, abs=2e-3), pytest.approx(0.895, abs=2e-3))
