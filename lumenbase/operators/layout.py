@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, written
+from ..session import bucketed, dropped, written
 from . import neighbours
 from .maps import pca_layout
 from .retrieval import minmax
 
 #: Nodes of a block, positions that stand for all others, epochs of a round where there are several blocks, grid intervals a side at most.
 BLOCK, POOL, EPOCHS, INTERVALS = 4096, 4096, 10, 256
+#: Buckets of the edges at most; with more blocks than these some share one.
+MOST_BUCKETS = 4096
 _STATE = "node long, block int, x double, y double, vx double, vy double, gx double, gy double"
 _LINKS = "node long, other long, w double"
 
@@ -153,9 +155,10 @@ class _Block:
 
 
 def _round(state: DataFrame, links: DataFrame, reach: DataFrame, move: Callable[[int, _Block], pa.Table]) -> DataFrame:
-    """``state`` after each block has moved its nodes."""
-    columns = ["node", "x", "y", "vx", "vy", "gx", "gy"]
-    seen = reach.join(state.select(*columns), "node").select(F.col("reaches").alias("block"), *columns, "own")
+    """``state`` after each block has moved its nodes. Links lie in buckets of their blocks, so only positions are shuffled."""
+    none = [F.lit(None).cast("double").alias(c) for c in ("vx", "vy", "gx", "gy")]
+    others = reach.join(state.select("node", "x", "y"), "node").select(F.explode("reaches").alias("block"), "node", "x", "y", *none, F.lit(False).alias("own"))
+    seen = state.select("block", "node", "x", "y", "vx", "vy", "gx", "gy", F.lit(True).alias("own")).union(others)
 
     def apply(key, edges, states):
         return move(key[0].as_py(), _Block(edges, states))
@@ -164,13 +167,12 @@ def _round(state: DataFrame, links: DataFrame, reach: DataFrame, move: Callable[
     return written(moved)
 
 
-def _prepared(state: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with the block of their node, and (node, reaches, own): the nodes that each block needs to know."""
+def _prepared(state: DataFrame, links: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with the block of their node, in a bucket of it, and (node, reaches): the other blocks that need to know a node."""
     home = state.select("node", "block")
-    edges = written(links.join(home, "node"))
-    others = edges.select(F.col("other").alias("node"), F.col("block").alias("reaches")).distinct()
-    reach = others.union(home.select("node", F.col("block").alias("reaches"))).distinct().join(home.withColumnRenamed("block", "_home"), "node")
-    return edges, written(reach.select("node", "reaches", (F.col("_home") == F.col("reaches")).alias("own")))
+    edges = bucketed(links.join(home, "node"), "block", min(blocks, MOST_BUCKETS))
+    others = edges.select(F.col("other").alias("node"), F.col("block").alias("reaches")).distinct().join(home, "node").where("reaches <> block")
+    return edges, written(others.groupBy("node").agg(F.collect_list("reaches").alias("reaches")))
 
 
 def umap_epochs(b: _Block, epochs: range, total: int, a: float, bb: float, top: float, pool: np.ndarray, share: float, rng: np.random.Generator, negatives: int = 5) -> None:
@@ -225,7 +227,7 @@ def umap(rows: DataFrame, key: str, vector: str, n_neighbors: int = 15, min_dist
     links = links.where(F.col("w") >= top / epochs)  # an edge that is drawn less than once
     a, b = curve(min_dist)
     state, blocks = _placed(table, n, 20.0, block, seed)
-    edges, reach = _prepared(state, links)
+    edges, reach = _prepared(state, links, blocks)
     rounds = 1 if blocks == 1 else -(-epochs // EPOCHS)
     for turn in range(rounds):
         span = range(turn * epochs // rounds, (turn + 1) * epochs // rounds)
@@ -236,11 +238,9 @@ def umap(rows: DataFrame, key: str, vector: str, n_neighbors: int = 15, min_dist
             umap_epochs(held, span, epochs, a, b, top, pool, 1.0 if blocks == 1 else held.own / n, np.random.default_rng([seed, turn, block]))
             return held.result(block)
 
-        moved = _round(state, edges, reach, move)
-        # a node without an edge that counts stays where it is
-        old, state = state, written(moved.union(state.join(moved.select("node"), "node", "left_anti").select(*moved.columns)))
+        old, state = state, _round(state, edges, reach, move)
         dropped(old)
-        dropped(moved)
+    dropped(edges)
     return _joined(rows, key, vector, state)
 
 
@@ -356,7 +356,7 @@ def tsne(rows: DataFrame, key: str, vector: str, perplexity: float = 30.0, metri
     links = written(joint(_per_node(found, lambda d: perplexity_weights(d, perplexity)), n))
     rate = max(n / exaggeration / 4, 50.0)
     state, blocks = _placed(table, n, 4e-4, block, seed)
-    edges, reach = _prepared(state, links)
+    edges, reach = _prepared(state, links, blocks)
     rounds = 1 if blocks == 1 else -(-steps // EPOCHS)
     for turn in range(rounds):
         span, fixed = range(turn * steps // rounds, (turn + 1) * steps // rounds), None
@@ -375,4 +375,5 @@ def tsne(rows: DataFrame, key: str, vector: str, perplexity: float = 30.0, metri
 
         old, state = state, _round(state, edges, reach, move)
         dropped(old)
+    dropped(edges)
     return _joined(rows, key, vector, state)

@@ -155,6 +155,26 @@ def test_tsne_divergence_falls():
     assert all(b <= a + 1e-3 for a, b in zip(found[8:], found[9:])) and found[-1] < 0.5 * found[0]
 
 
+def test_rounds_do_not_shuffle_edges(spark):
+    """Of a round only positions are shuffled: edges are read from buckets of their blocks, in order, and a node is sent once to a block."""
+    links = spark.createDataFrame([(i, (i + d) % 40, 0.5) for i in range(40) for d in (1, 2, 39)], "node long, other long, w double")
+    state = spark.range(40).selectExpr("id as node", "cast(id div 10 as int) as block", "cast(id as double) as x", "0D as y", "0D as vx", "0D as vy", "1D as gx", "1D as gy")
+    edges, reach = L._prepared(state, links, 4)
+    assert edges.count() == 120 and {r["node"]: r["reaches"] for r in reach.collect()} == {10 * b + at: [(b + to) % 4] for b in range(4) for at, to in ((0, -1), (1, -1), (9, 1))}
+    plans = []
+    def seen(block, held):  # noqa: E306
+        assert held.own == 10 and set(held.node[held.head]) == set(range(10 * block, 10 * block + 10)) and (held.at[:, 0] == held.node).all()
+        return held.result(block)
+    keep, L.written = L.written, lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+    try:
+        moved = L._round(state, edges, reach, seen)
+    finally:
+        L.written = keep
+    side = plans[0].split("FlatMapCoGroupsInArrow")[1].split("Union")[0]
+    left = side[side.index("Scan parquet") - 400 : side.index("Scan parquet")]
+    assert moved.count() == 40 and "Bucketed: true" in side and "Exchange" not in left and "Sort " not in left
+
+
 @pytest.mark.parametrize("method, block", [(L.umap, 4096), (L.umap, 200), (L.tsne, 4096), (L.tsne, 200)])
 def test_layout_keeps_neighbours(vectors, method, block):
     x, df = vectors
