@@ -25,8 +25,8 @@ from . import neighbours
 from .maps import pca_layout
 from .retrieval import minmax
 
-#: Nodes of a block, positions that stand for all others, epochs of a round where there are several blocks, grid intervals a side at most.
-BLOCK, POOL, EPOCHS, INTERVALS = 4096, 4096, 10, 256
+#: Nodes of a block (of t-SNE, whose nodes have six times the edges, so that each reaches fewer blocks), positions that stand for all others, epochs of a round where there are several blocks, grid intervals a side at most.
+BLOCK, TSNE_BLOCK, POOL, EPOCHS, INTERVALS = 4096, 16_384, 4096, 10, 256
 #: Buckets of the edges at most; with more blocks than these some share one.
 MOST_BUCKETS = 4096
 _STATE = "node long, block int, x double, y double, vx double, vy double, gx double, gy double"
@@ -343,7 +343,7 @@ def _charged(state: DataFrame, grid: Grid) -> np.ndarray:
     return out
 
 
-def tsne(rows: DataFrame, key: str, vector: str, perplexity: float = 30.0, metric: str = "cosine", seed: int = 42, steps: int = 500, early: int = 200, exaggeration: float = 12.0, block: int = BLOCK) -> DataFrame:
+def tsne(rows: DataFrame, key: str, vector: str, perplexity: float = 30.0, metric: str = "cosine", seed: int = 42, steps: int = 500, early: int = 200, exaggeration: float = 12.0, block: int = TSNE_BLOCK) -> DataFrame:
     """(key, x, y): the t-SNE layout of whole vectors in the unit box; the perplexity is at most the number of other nodes."""
     table = written(neighbours.nodes(rows, vector, metric))
     n = table.count()
