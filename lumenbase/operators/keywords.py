@@ -149,10 +149,12 @@ def keyword_lists(searches: list[tuple[DataFrame, DataFrame, int, float | None]]
 def after_stored(stored: DataFrame, found: DataFrame, key: str, cap: bool) -> DataFrame:
     """(key, keyword_id, distance, rank): the keywords that a row has already (key, keyword_id, pos), in their order and without a distance,
     then those found for it (of ``merged_keywords``) that it does not have; optionally the first 3 to 7. Either side may lack a key."""
-    have = stored.groupBy(key, "keyword_id").agg(F.min("pos").alias("_at")).select(key, "keyword_id", F.lit(None).cast("double").alias("distance"), F.lit(0).alias("_part"), F.col("_at").cast("long").alias("_at"))
-    fresh = found.join(stored.select(key, "keyword_id"), [key, "keyword_id"], "left_anti").select(key, "keyword_id", "distance", F.lit(1).alias("_part"), F.col("rank").cast("long").alias("_at"))
-    order = Window.partitionBy(key).orderBy("_part", "_at", "keyword_id")
-    ranked = have.unionByName(fresh).select(key, "keyword_id", "distance", F.row_number().over(order).alias("rank"))
+    have = stored.select(key, "keyword_id", F.lit(0).alias("_part"), F.col("pos").cast("long").alias("_at"), F.lit(None).cast("double").alias("distance"))
+    more = found.select(key, "keyword_id", F.lit(1).alias("_part"), F.col("rank").cast("long").alias("_at"), "distance")
+    # the first place of each keyword: what is stored comes before what is found, so neither side is computed twice
+    each = have.unionByName(more).groupBy(key, "keyword_id").agg(F.min(F.struct("_part", "_at", "distance")).alias("_first"))
+    order = Window.partitionBy(key).orderBy("_first._part", "_first._at", "keyword_id")
+    ranked = each.select(key, "keyword_id", F.col("_first.distance").alias("distance"), F.row_number().over(order).alias("rank"))
     return ranked.where("rank <= 7") if cap else ranked
 
 
