@@ -1,15 +1,17 @@
-"""Neighbour graphs of whole tables of vectors: hashed blocks first, then NN-descent.
+"""Neighbour graphs of whole tables of vectors: all pairs by matrix products up to ``EXACT`` nodes, else hashed blocks and NN-descent.
 
 Distinct vectors are nodes, numbered by the hash of the vector, so copies cost nothing and results do not depend on the
-partitioning. Random planes through the mean cut the nodes into blocks; a block that is still too large is cut by hash. Each node
+partitioning. Up to ``EXACT`` nodes a task asks for some of them and streams all others past these, which is exact and takes less time than
+descending. Beyond, random planes through the mean cut the nodes into blocks; a block that is still too large is cut by hash. Each node
 gets its nearest in its blocks, and rounds of NN-descent mend what the cuts part: the neighbours of a node, forwards and
-backwards, are compared with each other, and pairs nearer than what either has replace it. No step compares all with all: a
+backwards, are compared with each other, and pairs nearer than what either has replace it. There no step compares all with all: a
 block has ``BLOCK`` nodes, a node at most twice ``MOST`` others that it introduces to each other.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from ..session import dropped, written
 
 #: Nodes of a block that are compared all with all, cuts into blocks, neighbours that a node introduces to each other in a round, each way.
 BLOCK, TABLES, MOST = 8192, 4, 30
+#: Nodes up to which all pairs are compared; nodes that a task asks for, at least and at most; nodes that it compares with these at once, at least and at most.
+EXACT, ASKED, TILE = 1 << 20, (1024, 16_384), (1024, 8192)
+#: Share of both squares by which a product of floats may miss a squared distance (some 66 terms, each rounded).
+SLACK = 1.6e-5
 EDGES = "node long, other long, d double"
 
 
@@ -76,6 +82,128 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def _draw(node: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A hash of both, which decides between equal distances."""
+    h = node.astype(np.uint64) ^ (other.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
+class _Asked:
+    """The nearest so far of some nodes, while all nodes pass by in tiles.
+
+    A product of floats with room for its rounding says which pairs may be near enough; their distances are summed from differences in
+    doubles, so neither the tiles nor their order show in the result."""
+
+    ROWS = 256
+
+    def __init__(self, node: np.ndarray, v: np.ndarray, k: int):
+        self.node, self.v, self.k, self.seen = node, v.astype(np.float64), k, 0
+        sound = self.v[np.isfinite(self.v).all(1)]
+        self.centre = sound.mean(0) if len(sound) else np.zeros(v.shape[1])
+        widest = np.sqrt(((sound - self.centre) ** 2).sum(1)).max(initial=0.0)
+        self.scale = 2.0 ** -np.frexp(widest)[1] if 0 < widest < np.inf else 1.0
+        self.d, self.other = np.full((len(node), k), np.inf), np.zeros((len(node), k), np.int64)
+
+    def see(self, node: np.ndarray, v: np.ndarray) -> None:
+        at = 0
+        while at < len(node):  # a short tile first, which bounds what others bring
+            tile = slice(at, at := at + min(max(TILE[0], self.seen), TILE[1]))
+            self.meet(node[tile], v[tile])
+            self.seen += len(node[tile])
+
+    def meet(self, node: np.ndarray, v: np.ndarray) -> None:
+        v = v.astype(np.float64)
+        near = (v - self.centre) * self.scale
+        square = (near**2).sum(1)
+        # beyond the range of floats the products are of doubles
+        kind = np.float32 if square.max(initial=0.0) < 1e30 else np.float64
+        right = np.concatenate([near, ((1 - SLACK) * square)[:, None], np.ones((len(v), 1))], axis=1).astype(kind).T
+        for at in range(0, len(self.node), self.ROWS):
+            rows = slice(at, at + self.ROWS)
+            mine = (self.v[rows] - self.centre) * self.scale
+            own = (mine**2).sum(1)
+            low = np.concatenate([-2 * mine, np.ones((len(mine), 1)), ((1 - SLACK) * own)[:, None]], axis=1).astype(kind) @ right
+            worst = (self.d[rows, -1] * self.scale) ** 2
+            if np.isinf(worst).any() and len(v) > self.k:  # the node itself may be among the k + 1
+                worst = np.minimum(worst, np.partition(low, self.k, axis=1)[:, self.k] + 2 * SLACK * (own + square.max()))
+            found = np.flatnonzero(low <= (worst * (1 + 1e-6)).astype(kind)[:, None])
+            if len(found):
+                self._keep(rows, *np.divmod(found, len(v)), node, v)
+
+    def _keep(self, rows: slice, r: np.ndarray, c: np.ndarray, node: np.ndarray, v: np.ndarray) -> None:
+        asked, mine = self.node[rows], self.v[rows]
+        other = asked[r] != node[c]
+        r, c = r[other], c[other]
+        d = np.concatenate([np.zeros(0), *[np.sqrt(((mine[r[s]] - v[c[s]]) ** 2).sum(1)) for s in (slice(at, at + 16_384) for at in range(0, len(r), 16_384))]])
+        near = d <= self.d[rows, -1][r]
+        r, c, d = r[near], c[near], d[near]
+        if not len(r):
+            return
+        count = np.bincount(r, minlength=len(asked))
+        place = self.k + np.arange(len(r)) - (np.cumsum(count) - count)[r]
+        all_d, all_other = np.full((len(asked), self.k + count.max()), np.inf), np.zeros((len(asked), self.k + count.max()), np.int64)
+        all_d[:, : self.k], all_other[:, : self.k] = self.d[rows], self.other[rows]
+        all_d[r, place], all_other[r, place] = d, node[c]
+        best = np.argpartition(all_d, self.k - 1, axis=1)[:, : self.k]
+        last = np.take_along_axis(all_d, best, 1).max(1)
+        for i in np.flatnonzero(((all_d <= last[:, None]).sum(1) > self.k) & np.isfinite(last)):
+            best[i] = np.lexsort((_draw(asked[i], all_other[i]), all_d[i]))[: self.k]
+        all_d, all_other = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_other, best, 1)
+        order = np.lexsort((_draw(asked[:, None], all_other), all_d), axis=1)
+        self.d[rows], self.other[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_other, order, 1)
+
+    def edges(self) -> Iterator[pa.RecordBatch]:
+        step = max(1, 500_000 // self.k)
+        for at in range(0, len(self.node), step):
+            there = np.isfinite(self.d[at : at + step])
+            node = np.repeat(self.node[at : at + step], there.sum(1))
+            yield from _edges((node, self.other[at : at + step][there], self.d[at : at + step][there])).to_batches()
+
+
+def all_pairs(table: DataFrame, n: int, k: int) -> DataFrame:
+    """EDGES of the k nearest others of each of ``n`` nodes: a task asks for its part of them, and all nodes pass by."""
+    parts = math.ceil(n / min(max(n // 32, ASKED[0]), ASKED[1]))
+    kind = np.float32 if table.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    k = min(k, n - 1)
+
+    def pack(batches):
+        for batch in batches:
+            node = np.asarray(batch.column(0))
+            v = np.asarray(batch.column(1).flatten(), kind).reshape(len(node), -1)
+            for p in np.unique(node % parts):
+                rows = np.flatnonzero(node % parts == p)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([node[rows].tobytes()], pa.binary()), pa.array([v[rows].tobytes()], pa.binary())], ["part", "nodes", "vectors"])
+
+    def rows(batches):
+        for batch in batches:
+            for own, a, b in zip(*(batch.column(c) for c in ("own", "nodes", "vectors"))):
+                node = np.frombuffer(a.as_buffer(), np.int64)
+                yield own.as_py(), node, np.frombuffer(b.as_buffer(), kind).reshape(len(node), -1)
+
+    def search(batches):
+        asked, held = None, []
+        joined = lambda: [np.concatenate(c) for c in zip(*held)]
+        for own, node, v in rows(batches):
+            if not own and asked is None:
+                if not held:  # nobody asks here
+                    return
+                asked = _Asked(*joined(), k)
+            if asked and sum(len(x) for x, _ in held) >= TILE[1]:
+                asked.see(*joined())
+                held = []
+            held.append((node, v))
+        if held:
+            asked = asked or _Asked(*joined(), k)
+            asked.see(*joined())
+        if asked:
+            yield from asked.edges()
+
+    packed = table.select("node", "v").mapInArrow(pack, "part int, nodes binary, vectors binary")
+    dealt = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartitionById(parts, F.col("task"))
+    return dealt.select((F.col("part") == F.col("task")).alias("own"), "nodes", "vectors").sortWithinPartitions(F.col("own").desc()).mapInArrow(search, EDGES)
+
+
 def in_blocks(table: DataFrame, k: int, seed: int, block: int, tables: int = TABLES) -> DataFrame:
     """EDGES of the k nearest inside hashed blocks; exact if all nodes fit one block."""
     n = table.count()
@@ -188,11 +316,16 @@ def descend(table: DataFrame, graph: DataFrame, k: int, seed: int) -> DataFrame:
     return _best(kept.union(met.withColumn("fresh", F.lit(True))), k)
 
 
-def graph(table: DataFrame, k: int, seed: int = 42, block: int = BLOCK, rounds: int = 6, least: float = 0.002) -> DataFrame:
-    """EDGES of (about) the k nearest others of each node of ``table`` (node, v); rounds end when few edges change."""
+def graph(table: DataFrame, k: int, seed: int = 42, block: int | None = None, rounds: int = 6, least: float = 0.002) -> DataFrame:
+    """EDGES of the k nearest others of each node of ``table`` (node, v): of all pairs up to ``EXACT`` nodes. For more, or if ``block``
+    is given, about the k nearest by blocks of that size and rounds that end when few edges change."""
     table = written(table)
+    n = table.count()
+    if block is None and n <= EXACT:
+        return written(all_pairs(table, n, k) if n > 1 else table.where("false").selectExpr("node", "node as other", "0D as d"))
+    block = block or BLOCK
     edges = written(in_blocks(table, k, seed, block))
-    if table.count() <= block:
+    if n <= block:
         return edges
     total = edges.count()
     for turn in range(rounds):

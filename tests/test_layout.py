@@ -55,6 +55,38 @@ def test_neighbour_graph(spark, vectors, block, least):
     assert found >= least * 8 * len(x)
 
 
+def test_graph_compares_all_pairs(spark):
+    """Also of more nodes than a block of NN-descent holds each has all its nearest, and nothing is descended."""
+    x = np.random.default_rng(3).standard_normal((9000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(5)
+    number = {r["node"]: r["id"] for r in df.select("id", N.node_of("v").alias("node")).collect()}
+    got = N.graph(N.nodes(df, "v"), 10).toArrow()
+    found = {}
+    for a, b, d in zip(*(got.column(c).to_pylist() for c in ("node", "other", "d"))):
+        found.setdefault(number[a], {})[number[b]] = d
+    assert len(found) == len(x) and all(len(f) == 10 for f in found.values())
+    for i in range(0, len(x), 45):
+        d = np.sqrt(((x.astype(float) - x[i]) ** 2).sum(1))
+        near = np.argsort(d)[1:11]
+        assert set(found[i]) == set(near.tolist()) and all(found[i][j] == pytest.approx(d[j]) for j in near)
+
+
+@pytest.mark.parametrize("x", [np.eye(400), np.random.default_rng(4).standard_normal((400, 8)) + 1e5, np.random.default_rng(5).standard_normal((400, 4)) * 1e25, np.zeros((3, 2)) + np.arange(3)[:, None]])
+def test_nearest_do_not_depend_on_order(x):
+    """Equal distances, vectors far from zero, beyond the range of floats, fewer others than neighbours asked for."""
+    node, rng, k = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, len(x)), np.random.default_rng(7), min(20, len(x) - 1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    rows = set()
+    for order in (np.arange(len(x)), rng.permutation(len(x))):
+        asked = N._Asked(node[:100], x[:100], k)
+        for part in np.array_split(order, 3):
+            asked.see(node[part], x[part])
+        assert np.allclose(asked.d, np.sort(d, 1)[:100, :k], rtol=1e-9)
+        rows.add(asked.other.tobytes())
+    assert len(rows) == 1
+
+
 def test_descent_mends_blocks(spark, vectors):
     """What two sets of small blocks part, two rounds of NN-descent find."""
     x, df = vectors
@@ -138,6 +170,55 @@ def test_tsne_gradient(scale, near):
     assert np.allclose(part, force[:100]) and z == pytest.approx(k.sum(), rel=2e-3)
 
 
+def test_moving_block(spark):
+    """A block that moves among others that stand: forces and Z of all pairs, by FFT on no more of the grid than it needs."""
+    rng = np.random.default_rng(8)
+    y = rng.standard_normal((400, 2)) * 10
+    own = np.flatnonzero((y[:, 0] > 5) & (y[:, 1] > 0))
+    grid = L.Grid(y.min(0) - 15, y.max(0) + 15)
+    moving = L.Moving(L.Field(grid, grid.charges(y)), y[own])
+    for shift in (0.0, 0.7, -20.0):  # the last beyond the part that was cut
+        now = y.copy()
+        now[own] += shift
+        force, z = moving(now[own], len(y))
+        gap = now[own][:, None] - now[None]
+        k = 1 / (1 + (gap**2).sum(2))
+        want = (k[..., None] ** 2 * gap).sum(1)
+        assert np.abs(force - want).max() <= 2e-2 * np.abs(want).max()
+        assert z == pytest.approx(gradient(np.zeros((len(y), len(y))), now)[1].sum(), rel=2e-3)
+        if shift >= 0:
+            assert np.prod(moving.part.sides) < 0.5 * np.prod(grid.sides)
+
+
+def test_packed_rounds(spark):
+    """Of a round of t-SNE only states and positions are shuffled, each block has a task of its own, and each edge finds both its ends."""
+    links = spark.createDataFrame([(i, (i + d) % 50, i + d / 100) for i in range(50) for d in (1, 2, 7, 49)], "node long, other long, w double")
+    state = spark.range(50).selectExpr("id as node", "cast(id % 5 as int) as block", "cast(id as double) as x", "-1D * id as y", "0D as vx", "0D as vy", "1D as gx", "1D as gy")
+    edges, state = L._packed(state, links, 5)
+    names = sorted(r["block"] for r in state.where("kind = 2").collect())
+    assert names == sorted(L._one_a_bucket(spark, 5))
+    assert spark.createDataFrame([(n,) for n in names], "b int").selectExpr("pmod(hash(b), 5) as p").distinct().count() == 5
+    assert edges.groupBy("block").agg({"block": "count"}).count() == 5
+
+    def seen(block, held):
+        assert held.own == 10 and len(held.at) == len(np.unique(held.at, axis=0)) and np.array_equal(held.at[: held.own, 0], held.node)
+        head, tail = held.at[held.head, 0].astype(int), held.at[held.tail, 0].astype(int)
+        want = sorted((i, (i + d) % 50, i + d / 100) for i in held.node.tolist() for d in (1, 2, 7, 49))
+        assert sorted(zip(head.tolist(), tail.tolist(), held.w.tolist())) == want and (held.at[:, 1] == -held.at[:, 0]).all()
+        return held.result(block)
+
+    plans = []
+    keep, L.written = L.written, lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+    try:
+        state = L._packed_round(L._packed_round(state, edges, seen), edges, seen)
+    finally:
+        L.written = keep
+    side = plans[0].split("FlatMapCoGroupsInArrow")[1]
+    left = side[side.index("Scan parquet") - 400 : side.index("Scan parquet")]
+    assert "Bucketed: true" in side and "Exchange" not in left and "Sort " not in left
+    assert sorted((r["node"], r["x"], r["y"]) for r in L._unpacked(state).collect()) == [(i, float(i), -float(i)) for i in range(50)]
+
+
 def test_tsne_divergence_falls():
     x = strands(50)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
