@@ -422,13 +422,18 @@ def tsne_steps(b: _Block | _Packed, steps: range, early: int, exaggeration: floa
     own = b.own
     speed = np.stack([b.state["vx"], b.state["vy"]], axis=1)[:own]
     gain = np.stack([b.state["gx"], b.state["gy"]], axis=1)[:own]
-    moving = Moving(field, b.at[:own]) if field else None
+    moving, grid = Moving(field, b.at[:own]) if field else None, None
     for step in steps:
         here = b.at[:own]
         if moving:
             force, z = moving(here, n)
         else:
-            force, z = repulsion(Grid(here.min(0) - 1e-6, here.max(0) + 1e-6), here, 0.0, n - own)
+            low, high = here.min(0), here.max(0)
+            # a grid, whose kernels take as long as a step's forces, is kept while the map fills it and fits
+            if grid is None or (low < grid.low).any() or (high > grid.high).any() or max(high - low) < 0.8 * max(grid.high - grid.low):
+                room = 0.05 * max(high - low) + 1e-6
+                grid = Grid(low - room, high + room)
+            force, z = repulsion(grid, here, 0.0, n - own)
         gradient = 4 * ((exaggeration if step < early else 1.0) * attraction(b) - force / z)
         same = np.sign(gradient) == np.sign(speed)
         gain = np.maximum(np.where(same, gain * 0.8, gain + 0.2), 0.01)
